@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Each has QUERIES and SQL.
-MODULES = ("q_clusters", "q_leakage")
+MODULES = ("q_clusters", "q_docpairs", "q_leakage")
 
 QUERIES: dict = {}
 SQL: dict = {}
