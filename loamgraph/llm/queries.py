@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Each has QUERIES and SQL.
-MODULES = ("q_clusters", "q_docpairs", "q_handwritten", "q_leakage", "q_secrets")
+MODULES = ("q_clusters", "q_docpairs", "q_handwritten", "q_leakage", "q_mojibake", "q_secrets")
 
 QUERIES: dict = {}
 SQL: dict = {}
