@@ -299,10 +299,18 @@ def _call_argument(t: _Text, a: int, b: int, line_end: int, line_start: int, enc
     if c < 0 or not re.fullmatch(r"(?://|#|/\*)\s*", before[c:]) or text[b:line_end].strip(" */\r"):
         return
     strings = list(_QUOTED.finditer(text, line_start, line_start + c))
-    if strings:
-        m = strings[-1]
-        if _literal_value(m.group(2), True) and "://" not in m.group(2):
-            t.add([(m.start(2), m.end(2))], "named by comment")
+    if not strings:
+        return
+    run = [strings[-1]]  # pieces that are joined: only marks of joining stand between them
+    for m in reversed(strings[:-1]):
+        if not re.fullmatch(r"\s*[+,]?\s*", text[m.end() : run[0].start()]) or not re.search(r"concat\w*!?\s*\(\s*$|\+\s*$|[(=]\s*$|,\s*$", text[line_start : m.start()]):
+            break
+        run.insert(0, m)
+    joined = re.search(r"concat|\+", text[line_start : line_start + c])
+    run = run if joined else run[-1:]
+    value = "".join(m.group(2) for m in run)
+    if _literal_value(value, True) and "://" not in value:
+        t.add([m.span(2) for m in run], "named by comment")
 
 
 _COMMENTED = [
