@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Each has QUERIES and SQL.
-MODULES = ("q_clusters", "q_docpairs", "q_handwritten", "q_leakage", "q_mojibake", "q_secrets", "q_syntax")
+MODULES = ("q_ann", "q_clusters", "q_docpairs", "q_handwritten", "q_leakage", "q_mixing", "q_mojibake", "q_secrets", "q_syntax")
 
 QUERIES: dict = {}
 SQL: dict = {}
