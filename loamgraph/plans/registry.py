@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("incremental",)
+MODULES = ("catalog", "incremental")
 
 
 def collect(attr: str) -> dict:
