@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "incremental")
+MODULES = ("catalog", "incremental", "lexical", "retrieval")
 
 
 def collect(attr: str) -> dict:
