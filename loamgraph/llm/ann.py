@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-SHARD = 100_000
+SHARD = 150_000
 SLOT = 32_768
 M = 12
 EF_BUILD = 24
@@ -121,9 +121,11 @@ def select(x: np.ndarray, q: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: i
     return np.pad(out, ((0, 0), (0, m - out.shape[1])), constant_values=-1) if out.shape[1] < m else out
 
 
-def build(x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF_BUILD) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(order, layers): nodes sorted by layer, highest first; layers[l] is the neighbour matrix of the first rows,
-    those on layer l or above, in positions of that order."""
+def build(x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF_BUILD, least: float | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(order, layers, pairs): nodes sorted by layer, highest first; layers[l] is the neighbour matrix of the first
+    rows, those on layer l or above, in positions of that order; pairs are the positions of nodes as similar as
+    ``least``, as the insertions met them."""
+    met: list[np.ndarray] = []
     order = np.argsort(-level, kind="stable")
     x = x[order]
     level = level[order]
@@ -134,15 +136,16 @@ def build(x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF_BUILD) -> t
         width = 2 * m if lv == 0 else m
         graph = np.full((n, width), -1, np.int32)
         done = min(n, 128)
-        _link(x, graph, np.arange(done), np.full((done, 1), -1, np.int32), np.full((done, 1), -np.inf, np.float32), m, width)
+        report = met if lv == 0 and least is not None else None
+        _link(x, graph, np.arange(done), np.full((done, 1), -1, np.int32), np.full((done, 1), -np.inf, np.float32), m, width, least, report)
         while done < n:
             new = np.arange(done, min(n, done + min(2048, max(128, done))))
             entry = descend(x, layers, x[new], lv + 1, done)
             cand, sim = beam(x, graph[:done], x[new], entry, ef)
-            _link(x, graph, new, cand, sim, m, width)
+            _link(x, graph, new, cand, sim, m, width, least, report)
             done += len(new)
         layers[lv] = graph
-    return order, layers
+    return order, layers, np.concatenate(met) if met else np.empty((0, 2), np.int64)
 
 
 def descend(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, down_to: int, limit: int) -> np.ndarray:
@@ -166,10 +169,15 @@ def descend(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, down_to: int
     return entry
 
 
-def _link(x: np.ndarray, graph: np.ndarray, new: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int, width: int) -> None:
+def _link(x: np.ndarray, graph: np.ndarray, new: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int, width: int, least: float | None = None, met: list | None = None) -> None:
     """Connect a batch: candidates of the search and the batch itself; then the reverse edges."""
     own = x[new] @ x[new].T
     np.fill_diagonal(own, -np.inf)
+    if met is not None:
+        r, c = np.nonzero((cand >= 0) & (sim >= least - 1e-3))
+        met.append(np.stack([new[r], cand[r, c].astype(np.int64)], 1))
+        r, c = np.nonzero(np.triu(own >= least - 1e-3))
+        met.append(np.stack([new[r], new[c]], 1))
     k = min(m, len(new) - 1)
     if k > 0:
         part = np.argpartition(-own, k - 1, axis=1)[:, :k]
@@ -244,32 +252,58 @@ def classes(embeddings: DataFrame, shard: int = SHARD, slot: int = SLOT) -> tupl
     return spread.withColumns({"shard": h(1), "slot": h(2)}), members
 
 
-_GRAPH = "provider string, model_id string, dimensions int, shard int, slots int, ids array<string>, vectors binary, layers array<binary>, widths array<int>"
+_GRAPH = "provider string, model_id string, dimensions int, shard int, slots int, shards int, ids array<string>, vectors binary, layers array<binary>, widths array<int>, a array<string>, b array<string>, cos array<double>"
+_PAIRS = "provider string, model_id string, a string, b string, cos double"
 
 
-def graphs(vectors: DataFrame) -> DataFrame:
-    """One row per shard: ids, vectors and the layers' flat neighbour arrays."""
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision from the given floats."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return np.einsum("nd,nd->n", x, y) / np.sqrt(np.einsum("nd,nd->n", x, x) * np.einsum("nd,nd->n", y, y))
+
+
+def graphs(vectors: DataFrame, least: float | None = None) -> DataFrame:
+    """One row per shard: ids, vectors and the layers' flat neighbour arrays (empty for the only shard of a model
+    when just the pairs are wanted), and the pairs of the shard as similar as ``least``."""
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         provider, model, dims, shard = key
         raw = np.stack(b.embedding.to_numpy()).astype(np.float32)
         ids = b.class_id.to_numpy(dtype=object)
-        order, layers = build(_unit(raw), levels_of(ids))
-        row = (provider, model, int(dims), int(shard), int(b.slots.iloc[0]), list(ids[order]), raw[order].tobytes(), [g.tobytes() for g in layers], [g.shape[1] for g in layers])
-        return pd.DataFrame([row], columns=["provider", "model_id", "dimensions", "shard", "slots", "ids", "vectors", "layers", "widths"])
+        shards = int(b.shards.iloc[0])
+        order, layers, pairs = build(_unit(raw), levels_of(ids), least=least)
+        ids, raw = ids[order], raw[order]
+        cos = _exact(raw[pairs[:, 0]], raw[pairs[:, 1]]) if len(pairs) else np.empty(0)
+        ok = cos >= least if least is not None else np.zeros(0, bool)
+        pairs, cos = pairs[ok], cos[ok]
+        searched = shards > 1 or least is None
+        row = (
+            provider, model, int(dims), int(shard), int(b.slots.iloc[0]), shards, list(ids) if searched else [], raw.tobytes() if searched else b"",
+            [g.tobytes() for g in layers] if searched else [], [g.shape[1] for g in layers], list(ids[pairs[:, 0]]), list(ids[pairs[:, 1]]), list(cos),
+        )
+        return pd.DataFrame([row], columns=[c.strip().split(" ")[0] for c in _GRAPH.split(",")])
 
     return vectors.groupBy(*MODEL, "shard").applyInPandas(run, _GRAPH)
 
 
 def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, ef: int = EF_SEARCH) -> DataFrame:
-    """(provider, model_id, a, b, cos): for every vector, per shard, the found vectors with a cosine of at least
-    ``least``, or the ``top`` most similar."""
-    index = stored(graphs(vectors), "graphs")
-    graph_side = index.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    query_side = vectors.select(*MODEL, "slot", "class_id", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    """(provider, model_id, a, b, cos).  With ``least``: pairs at least so similar, each shard's as its graph was built
+    and between shards by searching the vectors of one in the graph of the other.  Without: for every vector the
+    ``top`` most similar of every shard."""
+    index = stored(graphs(vectors, least), "graphs")
+    own = index.select("provider", "model_id", F.explode(F.arrays_zip("a", "b", "cos")).alias("p")).select("provider", "model_id", "p.a", "p.b", "p.cos")
+    slots = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
     key = [*MODEL, "shard", "slot"]
-
-    def run(key: tuple, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    if least is not None:
+        graph_side = index.filter("shards > 1 and shard > 0").select("*", slots)
+        to = F.when(F.col("shard") + 1 < F.col("shards"), F.sequence(F.col("shard") + 1, F.col("shards") - 1))
+    else:
+        graph_side = index.select("*", slots)
+        to = F.sequence(F.lit(0), F.col("shards") - 1)
+    graph_side = graph_side.select(*key, "ids", "vectors", "layers", "widths")
+    query_side = vectors.select(*MODEL, "slot", "class_id", "embedding", F.explode(to).alias("shard"))
+
+    def run(key: tuple, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         cols = ["provider", "model_id", "a", "b", "cos"]
         if not len(g) or not len(q):
             return pd.DataFrame([], columns=cols)
@@ -280,26 +314,23 @@ def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, e
         x = _unit(raw)
         qr = np.stack(q.embedding.to_numpy()).astype(np.float32)
         qi = q.class_id.to_numpy(dtype=object)
-        norm_x = np.sqrt(np.einsum("nd,nd->n", raw.astype(np.float64), raw.astype(np.float64)))
         parts = []
         for a in range(0, len(qr), 2048):
             block, names = qr[a : a + 2048], qi[a : a + 2048]
             found, sim = search(x, layers, _unit(block), ef)
             if least is None:
                 best = np.argsort(-sim, axis=1)[:, : top + 2]
-                found, sim = np.take_along_axis(found, best, 1), np.take_along_axis(sim, best, 1)
+                found = np.take_along_axis(found, best, 1)
                 r, c = np.nonzero(found >= 0)
             else:
                 r, c = np.nonzero((found >= 0) & (sim >= least - 1e-3))
             f = found[r, c]
             other = ids[f] != names[r]
             r, f = r[other], f[other]
-            if not len(r):
-                continue
-            d = block[r].astype(np.float64)
-            cos = np.einsum("nd,nd->n", d, raw[f].astype(np.float64)) / (np.sqrt(np.einsum("nd,nd->n", d, d)) * norm_x[f])
-            ok = np.ones(len(r), bool) if least is None else cos >= least
-            parts.append(pd.DataFrame({"a": names[r][ok], "b": ids[f][ok], "cos": cos[ok]}))
+            if len(r):
+                cos = _exact(block[r], raw[f])
+                ok = np.ones(len(r), bool) if least is None else cos >= least
+                parts.append(pd.DataFrame({"a": names[r][ok], "b": ids[f][ok], "cos": cos[ok]}))
         if not parts:
             return pd.DataFrame([], columns=cols)
         out = pd.concat(parts)
@@ -307,14 +338,15 @@ def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, e
         out.insert(0, "provider", key[0])
         return out
 
-    return query_side.groupBy(*key).cogroup(graph_side.groupBy(*key)).applyInPandas(lambda k, q, g: run(k, g, q), "provider string, model_id string, a string, b string, cos double")
+    across = query_side.groupBy(*key).cogroup(graph_side.groupBy(*key)).applyInPandas(run, _PAIRS)
+    return own.unionByName(across)
 
 
 def similar_pairs(embeddings: DataFrame, least: float = 0.9, top: int = TOP) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: cosine of at least ``least``, one among the other's ``top`` highest."""
     vectors, members = classes(embeddings)
-    vectors, members = stored(vectors, "spread"), stored(members, "members")
-    found = neighbours(vectors, least)
+    members = stored(members, "members")
+    found = stored(neighbours(vectors, least), "found")
     near = stored(found.select("a", "b", F.round("cos", 12).alias("cos")).unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.round("cos", 12).alias("cos"))).distinct(), "near")
     size = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("m"))
     # how many vectors are strictly nearer to a than b is: classes count with all their copies
@@ -350,7 +382,7 @@ def nearest(embeddings: DataFrame, top: int = TOP) -> DataFrame:
     """(provider, model_id, chunk_id, neighbours): the ``top`` most similar chunks of each chunk's vector, best first,
     ties by chunk_id; an exact copy is as near as can be."""
     vectors, members = classes(embeddings)
-    vectors, members = stored(vectors, "spread"), stored(members, "members")
+    members = stored(members, "members")
     found = neighbours(vectors, None, top)
     from pyspark.sql import Window
 
