@@ -75,9 +75,9 @@ def beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
         flags = done[active]
         flags[row, pick] = True
         done[active] = flags
-        near = np.where(chosen[:, :, None] >= 0, graph[np.maximum(chosen, 0)], -1).reshape(len(active), wide * width)
+        near = np.where(chosen[:, :, None] >= 0, graph.take(np.maximum(chosen, 0), axis=0), -1).reshape(len(active), wide * width)
         safe = np.maximum(near, 0)
-        value = np.einsum("nkd,nd->nk", x[safe], q[active])
+        value = np.einsum("nkd,nd->nk", x.take(safe, axis=0), q[active])
         worst = sim[active].min(1, keepdims=True)
         value[(near < 0) | (value <= worst)] = -np.inf
         # only what would enter the beam is compared with it
@@ -104,8 +104,8 @@ def select(x: np.ndarray, q: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: i
     order = np.argsort(-sim, axis=1, kind="stable")
     cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
     n, c = cand.shape
-    v = x[np.maximum(cand, 0)]
-    cross = np.einsum("ncd,nkd->nck", v, v)
+    v = x.take(np.maximum(cand, 0), axis=0)
+    cross = np.matmul(v, v.transpose(0, 2, 1))
     kept = np.zeros((n, c), bool)
     count = np.zeros(n, np.int64)
     for i in range(c):
