@@ -81,7 +81,7 @@ _AUTOMATON: ahocorasick.Automaton | None = None
 
 _PLACE = re.compile(
     r"""^(?:|[xX]{3,}|\*+|\.+|-+|_+|0+|1234\w*|<[^>]*>|\$\{[^}]*\}.*|\$\{\{.*|\{\{.*|\$\(.*\)|\$\w+|%\w+%|%\([^)]*\)s|\{\w*\}|\[[^\]]*\]|@\w+@|__\w+__
-        |(?:your|my|the|some|an?|insert|enter|put|add|set|replace|change|fill)\b.*|your[_\-].*|my[_\-](?:secret|password|token|key|api).*
+        |(?:your|my|the|some|an?|insert|enter|put|add|set|replace|change|fill)\s.*|your[_\-].*|my[_\-](?:secret|password|token|key|api).*
         |(?:change|replace|fill|set|update)[_\-\s]?(?:me|this|it|in).*|.*(?:example|placeholder|dummy|sample|redacted|changeme|not[_\-]?set|to[_\-]?be[_\-]).*|.*(?:[-_. ]here)|(?:todo|tbd|fixme|none|null|nil|undefined|empty|unset|disabled|enabled|true|false|default|secret|password|passwd|token|key|test|string|str|n/a|na|xxx.*|unknown|optional|required|hidden|masked|vault|env|secret:.*|env:.*|vault:.*|arn:.*|file:.*|ref:.*|ssm:.*))$""",
     re.I | re.X,
 )
@@ -138,7 +138,7 @@ def _literal_value(v: str, strict: bool = False) -> bool:
         return False
     if _UPPER_NAME.match(s) or _WORDY.match(s) or _CAMEL.match(s):  # words only, as min-twelve or API_TOKEN
         return False
-    if re.fullmatch(r"[A-Za-z_][\w.]*\([^)]*\)?", s) or re.match(r"^(?:\.{0,2}/|https?://|[A-Za-z]:\\)", s):
+    if re.fullmatch(r"[A-Za-z_][\w.]*\([^)]*\)?", s) or re.match(r"^(?:\.{0,2}/[a-z0-9_.\-/]*$|https?://|[A-Za-z]:\\)", s):
         return False
     if re.fullmatch(r"[a-z]+(?:[-_.][a-z]+)*[-_.]?\d{0,3}", s):  # plain words with a number: a name
         return False
@@ -406,6 +406,10 @@ def scan(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[
                 if kind == "token":
                     if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
                         continue
+                    if at and text[at - 1] in "\"'`" and (joined := _pieces(text, at - 1, True)) and len(joined[1]) > 1:
+                        if _TOKEN_RX[i][1].match(joined[0]) and not is_placeholder(joined[0]):
+                            t.add(joined[1], "token")
+                        continue
                     m = _TOKEN_RX[i][1].match(text, at)
                     if m and not is_placeholder(m.group()) and not re.search(r"(?i)example|x{8,}|0{12,}", m.group()):
                         t.add([m.span()], "token")

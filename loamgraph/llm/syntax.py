@@ -422,6 +422,8 @@ def _for_head(t: Tokens, partner: list[int], ctx: list, i: int) -> bool:
 
 def _case_or_label(t: Tokens, i: int, statement: int) -> bool:
     """case x: / default: / label:"""
+    if i >= 1 and t.kind[i - 1] == "id" and (i == 1 or t.text[i - 2] in (";", "{", "}", ":", "else", ")")):
+        return True
     depth = 0
     for j in range(i - 1, -1, -1):
         if t.kind[j] == "close":
