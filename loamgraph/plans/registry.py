@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "graph", "incremental", "lexical", "reports", "retrieval", "sources")
+MODULES = ("catalog", "graph", "incremental", "lexical", "reports", "retrieval", "sources", "workspace")
 
 
 def collect(attr: str) -> dict:
