@@ -49,6 +49,10 @@ def _in_model(c: str) -> bool:
     return c < "\x80" or c in _MARKS or "À" <= c <= "ɏ" and c.isalpha()
 
 
+def _latin(c: str) -> bool:
+    return c.isalpha() and (c.isascii() or "À" <= c <= "ɏ")
+
+
 def _encode(text: str, page: str) -> bytes | None:
     out = bytearray()
     for c in text:
@@ -227,8 +231,8 @@ def mapping(counts: DataFrame) -> DataFrame:
             # a page-for-page swap is only believed where the reading is far likelier in its place
             values = [math.log(max(t, 1e-9)) + model.score(le, x, r) for x, _, t in options]
             best = max(range(len(options)), key=values.__getitem__)
-            # a lone symbol between spaces is no letter of a garbled word
-            if best and (_is_utf8(options[best][1]) or (le.isalpha() or r.isalpha()) and values[best] - values[0] >= LEAST_GAIN):
+            # a lone symbol between spaces, or a word of another script, is no letter of a garbled word
+            if best and (_is_utf8(options[best][1]) or (_latin(le) or _latin(r)) and values[best] - values[0] >= LEAST_GAIN):
                 rows.append((source, unit, le, r, options[best][0], options[best][1], values[best] - values[0]))
         return pd.DataFrame(rows, columns=["source", "unit", "left", "right", "reading", "how", "gain"])
 
