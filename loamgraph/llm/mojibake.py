@@ -231,15 +231,17 @@ def mapping(counts: DataFrame) -> DataFrame:
             # a page-for-page swap is only believed where the reading is far likelier in its place
             values = [math.log(max(t, 1e-9)) + model.score(le, x, r) for x, _, t in options]
             best = max(range(len(options)), key=values.__getitem__)
-            # a lone symbol between spaces, or a word of another script, is no letter of a garbled word
-            if best and (_is_utf8(options[best][1]) or (_latin(le) or _latin(r)) and values[best] - values[0] >= LEAST_GAIN):
-                rows.append((source, unit, le, r, options[best][0], options[best][1], values[best] - values[0]))
-        return pd.DataFrame(rows, columns=["source", "unit", "left", "right", "reading", "how", "gain"])
+            # a lone symbol between spaces, or a word of another script, is no evidence; a lone symbol is read so where
+            # the document is garbled in the same way
+            lone = not (_is_utf8(options[best][1]) or _latin(le) or _latin(r))
+            if best and (_is_utf8(options[best][1]) or values[best] - values[0] >= LEAST_GAIN):
+                rows.append((source, unit, le, r, options[best][0], options[best][1], values[best] - values[0], lone))
+        return pd.DataFrame(rows, columns=["source", "unit", "left", "right", "reading", "how", "gain", "lone"])
 
     return (
         counts.filter("kind = 'U'")
         .groupBy("source", "a")
-        .applyInPandas(run, "source string, unit string, left string, right string, reading string, how string, gain double")
+        .applyInPandas(run, "source string, unit string, left string, right string, reading string, how string, gain double, lone boolean")
     )
 
 
@@ -278,9 +280,9 @@ def evidence(documents: DataFrame) -> DataFrame:
     per_doc = known.groupBy("doc_id").agg(
         F.max((F.col("unit") == REPLACED).cast("int")).alias("lost"),
         F.max(F.when(utf8, F.col("gain"))).alias("utf8"),
-        F.sum(F.when(~utf8, F.col("gain") * F.least("n", F.lit(3)))).alias("swap"),
+        F.sum(F.when(~utf8 & ~F.col("lone"), F.col("gain") * F.least("n", F.lit(3)))).alias("swap"),
         # one row per distinct unit and context of the document
-        F.collect_list(F.when(F.col("reading").isNotNull(), F.struct("unit", "left", "right", "reading", "how", "gain"))).alias("readings"),
+        F.collect_list(F.when(F.col("reading").isNotNull(), F.struct("unit", "left", "right", "reading", "how", "gain", "lone"))).alias("readings"),
     )
     return per_doc.filter((F.col("lost") == 1) | (F.col("utf8") > UTF8_GAIN) | (F.col("swap") > SWAP_GAIN))
 
@@ -305,6 +307,8 @@ def garbled(documents: DataFrame) -> DataFrame:
         for b in batches:
             fixed, how = [], []
             for text, lost, use in zip(b.text, b.lost, b.readings):
+                sure = {x["how"] for x in use if not x["lone"]}
+                use = [x for x in use if not x["lone"] or x["how"] in sure]
                 ok = {(x["unit"], x["left"], x["right"]): x["reading"] for x in use}
                 how.append(sorted({x["how"] for x in use} | ({"lost"} if lost else set())))
                 fixed.append(None if lost else restore(text, ok))
