@@ -15,10 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may leave it unset (as in tests); it then gets a folder of its own.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
+    if own:
+        if not held.isDefined():  # named after the context had started
+            sc.setCheckpointDir(own)
+        return own.rstrip("/")
     if held.isDefined():
         return held.get().rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
