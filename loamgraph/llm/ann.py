@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-SHARD = 150_000
+SHARD = 100_000
 SLOT = 32_768
 M = 12
 EF_BUILD = 24
@@ -263,8 +263,8 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def graphs(vectors: DataFrame, least: float | None = None) -> DataFrame:
-    """One row per shard: ids, vectors and the layers' flat neighbour arrays (empty for the only shard of a model
-    when just the pairs are wanted), and the pairs of the shard as similar as ``least``."""
+    """One row per shard: ids, vectors and the layers' flat neighbour arrays, and the pairs of the shard as similar as
+    ``least`` that the insertions met."""
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         provider, model, dims, shard = key
@@ -276,44 +276,59 @@ def graphs(vectors: DataFrame, least: float | None = None) -> DataFrame:
         cos = _exact(raw[pairs[:, 0]], raw[pairs[:, 1]]) if len(pairs) else np.empty(0)
         ok = cos >= least if least is not None else np.zeros(0, bool)
         pairs, cos = pairs[ok], cos[ok]
-        searched = shards > 1 or least is None
         row = (
-            provider, model, int(dims), int(shard), int(b.slots.iloc[0]), shards, list(ids) if searched else [], raw.tobytes() if searched else b"",
-            [g.tobytes() for g in layers] if searched else [], [g.shape[1] for g in layers], list(ids[pairs[:, 0]]), list(ids[pairs[:, 1]]), list(cos),
+            provider, model, int(dims), int(shard), int(b.slots.iloc[0]), shards, list(ids), raw.tobytes(),
+            [g.tobytes() for g in layers], [g.shape[1] for g in layers], list(ids[pairs[:, 0]]), list(ids[pairs[:, 1]]), list(cos),
         )
         return pd.DataFrame([row], columns=[c.strip().split(" ")[0] for c in _GRAPH.split(",")])
 
     return vectors.groupBy(*MODEL, "shard").applyInPandas(run, _GRAPH)
 
 
+def _read_graph(file: str, model: tuple, shard: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, vectors and layers of one shard, from its file in the shared folder."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    at, path = fs.FileSystem.from_uri(file)
+    with pq.ParquetFile(at.open_input_file(path)) as f:
+        for i in range(f.num_row_groups):
+            keys = f.read_row_group(i, [*MODEL, "shard"])
+            same = pc.equal(keys["shard"], shard)
+            for c, v in zip(MODEL, model):
+                same = pc.and_(same, pc.equal(keys[c], v))
+            if not pc.any(same).as_py():
+                continue
+            g = f.read_row_group(i, ["ids", "vectors", "layers", "widths"]).filter(same)
+            ids = g["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            raw = np.frombuffer(g["vectors"][0].as_py(), np.float32).reshape(len(ids), -1)
+            return ids, raw, [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(g["layers"][0].as_py(), g["widths"][0].as_py())]
+    raise RuntimeError(f"shard {shard} of {model} is not in {file}")
+
+
 def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, ef: int = EF_SEARCH) -> DataFrame:
-    """(provider, model_id, a, b, cos).  With ``least``: pairs at least so similar, each shard's as its graph was built
-    and between shards by searching the vectors of one in the graph of the other.  Without: for every vector the
-    ``top`` most similar of every shard."""
+    """(provider, model_id, a, b, cos): every vector is searched in the graph of every shard, its own included.  With
+    ``least``: pairs at least so similar, also those that the insertions met.  Without: for every vector the ``top``
+    most similar of every shard.  A task searches one slot of vectors and reads one graph after the other from the
+    shared folder, so no graph is sent with the queries."""
     index = stored(graphs(vectors, least), "graphs")
     own = index.select("provider", "model_id", F.explode(F.arrays_zip("a", "b", "cos")).alias("p")).select("provider", "model_id", "p.a", "p.b", "p.cos")
-    slots = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
-    key = [*MODEL, "shard", "slot"]
-    if least is not None:
-        graph_side = index.filter("shards > 1 and shard > 0").select("*", slots)
-        to = F.when(F.col("shard") + 1 < F.col("shards"), F.sequence(F.col("shard") + 1, F.col("shards") - 1))
-    else:
-        graph_side = index.select("*", slots)
-        to = F.sequence(F.lit(0), F.col("shards") - 1)
-    graph_side = graph_side.select(*key, "ids", "vectors", "layers", "widths")
-    query_side = vectors.select(*MODEL, "slot", "class_id", "embedding", F.explode(to).alias("shard"))
-
-    def run(key: tuple, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        cols = ["provider", "model_id", "a", "b", "cos"]
-        if not len(g) or not len(q):
-            return pd.DataFrame([], columns=cols)
-        g = g.iloc[0]
-        ids = np.asarray(g["ids"], dtype=object)
-        raw = np.frombuffer(g["vectors"], np.float32).reshape(len(ids), -1)
-        layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(g["layers"], g["widths"])]
-        x = _unit(raw)
+    # where each shard's graph lies: one short row per shard
+    where: dict[tuple, list[tuple[int, str]]] = {}
+    for r in index.select(*MODEL, "shard", F.col("_metadata.file_path").alias("file")).collect():
+        where.setdefault((r.provider, r.model_id, r.dimensions), []).append((r.shard, r.file))
+
+    def run(key: tuple, q: pd.DataFrame) -> pd.DataFrame:
+        model = (key[0], key[1], int(key[2]))
         qr = np.stack(q.embedding.to_numpy()).astype(np.float32)
         qi = q.class_id.to_numpy(dtype=object)
+        parts = [x for shard, file in sorted(where.get(model, [])) for x in searched(model, shard, file, qr, qi)]
+        return pd.concat(parts) if parts else pd.DataFrame([], columns=["provider", "model_id", "a", "b", "cos"])
+
+    def searched(model: tuple, shard: int, file: str, qr: np.ndarray, qi: np.ndarray) -> list[pd.DataFrame]:
+        ids, raw, layers = _read_graph(file, model, shard)
+        x = _unit(raw)
         parts = []
         for a in range(0, len(qr), 2048):
             block, names = qr[a : a + 2048], qi[a : a + 2048]
@@ -331,14 +346,12 @@ def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, e
                 cos = _exact(block[r], raw[f])
                 ok = np.ones(len(r), bool) if least is None else cos >= least
                 parts.append(pd.DataFrame({"a": names[r][ok], "b": ids[f][ok], "cos": cos[ok]}))
-        if not parts:
-            return pd.DataFrame([], columns=cols)
-        out = pd.concat(parts)
-        out.insert(0, "model_id", key[1])
-        out.insert(0, "provider", key[0])
-        return out
-
-    across = query_side.groupBy(*key).cogroup(graph_side.groupBy(*key)).applyInPandas(run, _PAIRS)
+        for part in parts:
+            part.insert(0, "model_id", model[1])
+            part.insert(0, "provider", model[0])
+        return parts
+
+    across = vectors.select(*MODEL, "slot", "class_id", "embedding").groupBy(*MODEL, "slot").applyInPandas(run, _PAIRS)
     return own.unionByName(across)
 
 
