@@ -223,6 +223,22 @@ def search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, ef: int = EF_
     return beam(x, layers[0], q, descend(x, layers, q, 1, len(x)), ef)
 
 
+def partners(x: np.ndarray, q: np.ndarray, least: float, top: int, size: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) by products with all nodes: every node as similar as ``least`` that can be among the ``top``
+    highest, ties included.  One place more is kept, as the query itself may be a node; what is below those has ``top``
+    nearer nodes here and so no place whatever the other shards hold."""
+    rs, fs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    k = min(top + 1, len(x))
+    for a in range(0, len(q), size):
+        sim = q[a : a + size] @ x.T
+        last = np.partition(sim, len(x) - k, axis=1)[:, len(x) - k]
+        # single precision: the margin is far above its error
+        r, f = np.nonzero(sim >= np.maximum(least - 1e-3, last - 1e-5)[:, None])
+        rs.append(r + a)
+        fs.append(f)
+    return np.concatenate(rs), np.concatenate(fs)
+
+
 # -- Spark -----------------------------------------------------------------------------------------------------
 def usable(embeddings: DataFrame) -> DataFrame:
     """(provider, model_id, dimensions, embedding_id, chunk_id, embedding) of usable vectors."""
@@ -340,6 +356,12 @@ def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, e
             else:
                 r, c = np.nonzero((found >= 0) & (sim >= least - 1e-3))
             f = found[r, c]
+            if least is not None:
+                # a beam that is full of partners may have left others out
+                full = np.flatnonzero((found >= 0).all(1) & (sim.min(1) >= least - 1e-3))
+                all_r, all_f = partners(x, _unit(block[full]), least, top)
+                part = ~np.isin(r, full)
+                r, f = np.concatenate([r[part], full[all_r]]), np.concatenate([f[part], all_f])
             other = ids[f] != names[r]
             r, f = r[other], f[other]
             if len(r):

@@ -36,3 +36,16 @@ def test_hub_is_found_by_its_partners_in_every_shard(spark, hub_shard):
     found = {(r.a, r.b) for r in ann.neighbours(vectors, 0.9).collect()}
     missed = [i for i in spokes if (f"e{i:04d}", f"e{hub:04d}") not in found]
     assert not missed
+
+
+def test_hot_group_of_one_direction(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 16))
+    x[:150] = x[0] * rng.uniform(0.5, 2, 150)[:, None]  # ties at 1.0, not byte-equal
+    x[150:300] = x[150] + 0.1 * rng.normal(size=(150, 16))  # all near, none tied
+    x = rng.permutation(x).astype(np.float32)
+    s = cosines(x)
+    five = np.sort(s, axis=1)[:, -5]
+    want = {(f"c{i:04d}", f"c{j:04d}") for i, j in zip(*np.nonzero((s >= 0.9) & ((s >= five[:, None]) | (s >= five[None, :])))) if i < j}
+    assert len(want) > 150 * 149 // 2
+    assert {tuple(r) for r in ann.similar_pairs(table(spark, x)).collect()} == want
