@@ -335,6 +335,7 @@ def _comment(t: _Text, line: str, line_start: int) -> None:
 
 _URL = re.compile(r"://([^\s/@:\"'`<>{}$]*):([^\s/@\"'`<>]+)@[\w.\-\[\]]+")
 _ARMOUR_RX = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+_SCHEME_WORD = re.compile(r"\b(?:bearer|basic|token)(?=\s)", re.I)
 _AUTH = re.compile(r"\b(?:(?P<scheme>bearer|basic|token)\s+)(?P<v>[A-Za-z0-9+/=._~\-]{8,})", re.I)
 
 
@@ -366,9 +367,15 @@ def _header(t: _Text, at: int) -> None:
     """Authorization schemes: at the word itself or just before it."""
     text = t.text
     line_start = text.rfind("\n", 0, at) + 1
-    for m in _AUTH.finditer(text, at, min(len(text), at + 400)):
-        if "\n" in text[at : m.start()]:
+    over = at
+    for begin in _SCHEME_WORD.finditer(text, at, min(len(text), at + 400)):
+        if "\n" in text[at : begin.start()]:
             break
+        # the 400 characters bound where the scheme begins, not its value
+        m = _AUTH.match(text, begin.start()) if begin.start() >= over else None
+        if not m:
+            continue
+        over = m.end()
         if m.start() != at and not re.search(r"authorization", text[line_start : m.start()], re.I):
             break
         v = m.group("v")
