@@ -51,18 +51,34 @@ NOTICES = [
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\[|!\[)|/\*|\*|--|;;|<!--|'''|\"\"\"|%)")
 
 
+_DOCSTRING = re.compile(r"[rRuU]?(\"\"\"|''')")
+_BRACKETS = re.compile(r"[\[\](){}]")
+
+
 def header(text: str) -> list[str]:
-    """The comment lines before the first line of code, at most the first screen of them."""
-    out, block = [], False
-    for line in text.lstrip("﻿").splitlines()[:60]:
+    """The comment lines before the first line of code: all of them, docstrings too; inner attributes and "use strict"
+    may stand between."""
+    out: list[str] = []
+    close, depth = "", 0
+    for line in text.lstrip("\ufeff").splitlines():
         s = line.strip()
         if not s:
             continue
-        if block or _COMMENT_LINE.match(line):
+        if close:
+            out.append(s)
+            close = "" if close in s else close
+        elif depth or s.startswith("#!["):
+            depth += sum(1 if c in "[({" else -1 for c in _BRACKETS.findall(re.sub(r'"(?:\\.|[^"\\])*"', "", s)))
+            depth = max(depth, 0)
+        elif m := _DOCSTRING.match(s):
+            out.append(s[m.start(1) :])
+            close = "" if m.group(1) in s[m.end() :] else m.group(1)
+        elif _COMMENT_LINE.match(line):
             out.append(s)
-            opened = block or s.startswith("/*") or s.startswith("<!--")
-            block = opened and not ("*/" in s or "-->" in s)
-        else:
+            for mark, end in (("/*", "*/"), ("<!--", "-->")):
+                if s.startswith(mark) and end not in s[len(mark) :]:
+                    close = end
+        elif not re.fullmatch(r"[\"']use strict[\"'];?", s):
             break
     return out
 
@@ -80,7 +96,7 @@ def foreign_notice(text: str, own: str | None) -> bool:
     head = header(text)
     if not head:
         return False
-    joined = "\n".join(head)[:4000]
+    joined = "\n".join(head)
     for rx in NOTICES:
         for m in rx.finditer(joined):
             if not own or m.group(1).lower() != own.lower():
@@ -143,7 +159,7 @@ def signs(path: str | None, text: str | None, own: str | None) -> list[str]:
     ext = name.rpartition(".")[2].lower()
     if low & GENERATED_DIRS or GENERATED_NAME.search(name) or is_generated(text):
         out.append("generated")
-    if MINIFIED_NAME.search(name) or is_minified(text, ext) or ext in SCRIPT and SOURCE_MAP.search(text[-400:]):
+    if MINIFIED_NAME.search(name) or is_minified(text, ext) or ext in SCRIPT and SOURCE_MAP.search(text):
         out.append("minified")
     if low & THIRD_PARTY_DIRS or foreign_notice(text, own):
         out.append("third_party")
