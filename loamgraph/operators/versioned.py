@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,11 +191,14 @@ class VersionedTable:
         old, new = self.manifest(start), self.manifest(self.latest() if end is None else end)
         same_file = ["file"]
         fingerprint = ["bucket", "rows", "digest_a", "digest_b"]
-        clean_old, clean_new = old.filter("dv is null"), new.filter("dv is null")
         only_new = new.join(old, same_file, "left_anti")
         only_old = old.join(new, same_file, "left_anti")
-        added = only_new.filter("dv is not null").unionByName(only_new.filter("dv is null").join(clean_old, fingerprint, "left_anti"))
-        removed = only_old.filter("dv is not null").unionByName(only_old.filter("dv is null").join(clean_new, fingerprint, "left_anti"))
+        # a file that came cancels one equal file that went, one for one
+        nth = F.row_number().over(Window.partitionBy(*fingerprint).orderBy("file"))
+        clean_old, clean_new = (x.filter("dv is null").withColumn("_vt_nth", nth) for x in (only_old, only_new))
+        equal = [*fingerprint, "_vt_nth"]
+        added = only_new.filter("dv is not null").unionByName(clean_new.join(clean_old, equal, "left_anti").drop("_vt_nth"))
+        removed = only_old.filter("dv is not null").unionByName(clean_old.join(clean_new, equal, "left_anti").drop("_vt_nth"))
         parts = [(self._rows(added), 1), (self._rows(removed), -1)]
         kept = new.join(old.select("file", F.col("dv").alias("was")), "file").filter("not (dv <=> was)")
         if kept.limit(1).count():
@@ -221,7 +225,9 @@ class VersionedTable:
 def run_incremental(source: VersionedTable, sink: VersionedTable, work: Callable[[DataFrame], DataFrame]) -> int | None:
     """Process what changed in ``source`` since the version stored in ``sink``'s last commit.
 
-    The output rows replace the sink's rows of the same keys; the processed version is part of that commit.
+    ``work`` gets all rows that the touched keys have now, as its output replaces the sink's rows of these keys; if the
+    tables' keys differ, nothing is replaced and it gets the inserted rows, each as often as it was inserted.  The
+    processed version is part of that commit.
     None if nothing is new.  A failure at any point leaves the old pair of (output, processed version).
     """
     done, now = sink.latest(), source.latest()
@@ -233,7 +239,17 @@ def run_incremental(source: VersionedTable, sink: VersionedTable, work: Callable
     if "_vt_none" in delta.columns or len(delta.columns) == 2:
         return sink._commit(done + 1, sink._write_manifest(files), {"op": "empty", "source_version": now})
     keys = delta.select(*source.key).distinct()
-    fresh = sink._write(work(delta.filter("_vt_change = 'insert'").drop("_vt_change", "_vt_count")))
+    if set(sink.key) == set(source.key):
+        named = keys.select([F.col(k).alias(f"_vt_k{i}") for i, k in enumerate(source.key)])
+        rows = source.snapshot(now)
+        if set(source.key) <= set(rows.columns):
+            rows = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(source.key)], "left_semi")
+        else:  # no file is left
+            rows = delta.drop("_vt_change", "_vt_count").limit(0)
+    else:
+        inserted = delta.filter("_vt_change = 'insert'").withColumn("_vt_change", F.explode(F.sequence(F.lit(1), F.col("_vt_count").cast("int"))))
+        rows = inserted.drop("_vt_change", "_vt_count")
+    fresh = sink._write(work(rows))
     touched = sink.spark.createDataFrame([], "file string, hit boolean")
     if done >= 0 and set(sink.key) == set(source.key) and files.limit(1).count():
         dv = f"{sink.root}/dv/{uuid.uuid4().hex}"
