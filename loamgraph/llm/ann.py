@@ -1,37 +1,56 @@
 """Problem 1: the most similar vectors for every vector.
 
-Vectors of one model are spread by hash over shards of bounded size.  Each shard builds a hierarchical navigable
-small-world graph, kept as flat neighbour arrays (one int32 matrix per layer) and written once to the shared
-folder.  Every vector is searched in every shard of its model and the shards' results are merged.  Building inserts
-in batches and searching advances many queries at once, so both are matrix operations.
+Pivots are fitted per model to a bounded sample (``SAMPLE`` vectors, two-level k-means); a vector belongs to the shard of
+its nearest pivot, so a shard holds about ``SHARD`` vectors and near vectors mostly share one.  Each shard builds a
+hierarchical navigable small-world graph, kept as flat neighbour arrays (one int32 matrix per layer) and written once to
+the shared folder.  A vector is searched in its own shard (its insertion is that search) and in every shard whose
+dividing plane it is near: within ``SIGMAS`` standard deviations of where a partner can lie across the plane, at most
+``ROUTES`` shards.  Query blocks travel to the graphs; a graph is copied only once per ``SLOT`` queries.  The shards'
+results are merged.  Building inserts in batches and searching advances many queries at once, so both are matrix
+operations.
 
 Exact copies of a vector are one class: the graph holds it once, and its members are joined back at the end.
 Cosines are recomputed in double precision from the given floats before any comparison.
 
-Accuracy: approximate search, no bound on similarity is used to prune; recall against brute force is measured in
-tests and in the README.
+Accuracy: approximate search and routing; recall against brute force is measured in tests and in the README.  A beam
+that comes back full of partners is followed by an exact comparison with the whole shard.
 
 Defined results: a vector that is null, of another size than ``dimensions``, zero, or not finite is left out, as are
 null ids; repeated rows count once; equal cosines (to 12 digits) share a rank, so all of them are among the five
-highest; classes of more than ``EXPAND`` exact copies are linked as a star around their first five members instead
-of as all pairs; other columns are ignored.
+highest; of two copies (or members of two linked classes) a pair is given if either is one of the first ``EXPAND``
+members of its class, so a class of any size gives rows in proportion to it, and ``copies`` names all members; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 
-SHARD = 100_000
-SLOT = 32_768
-M = 12
-EF_BUILD = 24
-EF_SEARCH = 20
-#: At most so many exact copies are expanded to all pairs.
+#: Vectors of a shard, about; a shard of more than twice as many is split by hash and all its parts are searched.
+SHARD = 4_096
+#: Pivots are held by the driver and by every task that routes: at most so many per model; beyond, shards grow.
+MOST_SHARDS = 65_536
+#: Vectors per model to which the pivots are fitted.
+SAMPLE = 131_072
+#: Width of the zone beside a dividing plane from which the neighbouring shard is searched; most shards so searched.
+SIGMAS = 2.5
+SIGMAS_NEAREST = 2.0
+ROUTES = 32
+#: Queries of one shard that one task searches.
+SLOT = 16_384
+M = 10
+EF_BUILD = 16
+EF_SEARCH = 12
+#: The same for the nearest of all, where partners don't stand out.
+M_NEAREST = 16
+EF_NEAREST = 48
+#: Members of a class that are paired with all others.
 EXPAND = 64
 TOP = 5
 MODEL = ["provider", "model_id", "dimensions"]
@@ -121,30 +140,37 @@ def select(x: np.ndarray, q: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: i
     return np.pad(out, ((0, 0), (0, m - out.shape[1])), constant_values=-1) if out.shape[1] < m else out
 
 
-def build(x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF_BUILD, least: float | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def build(x: np.ndarray, level: np.ndarray, m: int = M, ef: int = EF_BUILD, least: float | None = None, top: int = TOP) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(order, layers, pairs): nodes sorted by layer, highest first; layers[l] is the neighbour matrix of the first
     rows, those on layer l or above, in positions of that order; pairs are the positions of nodes as similar as
-    ``least``, as the insertions met them."""
+    ``least``, as the insertions met them.  A node whose insertion met partners only is compared with all nodes, as
+    others may have been left out."""
     met: list[np.ndarray] = []
+    crowded: list[np.ndarray] = []
     order = np.argsort(-level, kind="stable")
     x = x[order]
     level = level[order]
-    top = int(level.max()) if len(level) else 0
-    layers: list[np.ndarray] = [None] * (top + 1)
-    for lv in range(top, -1, -1):
+    highest = int(level.max()) if len(level) else 0
+    layers: list[np.ndarray] = [None] * (highest + 1)
+    for lv in range(highest, -1, -1):
         n = int((level >= lv).sum())
         width = 2 * m if lv == 0 else m
         graph = np.full((n, width), -1, np.int32)
         done = min(n, 128)
         report = met if lv == 0 and least is not None else None
-        _link(x, graph, np.arange(done), np.full((done, 1), -1, np.int32), np.full((done, 1), -np.inf, np.float32), m, width, least, report)
+        _link(x, graph, np.arange(done), np.full((done, 1), -1, np.int32), np.full((done, 1), -np.inf, np.float32), m, width, least, report, top)
         while done < n:
             new = np.arange(done, min(n, done + min(2048, max(128, done))))
             entry = descend(x, layers, x[new], lv + 1, done)
             cand, sim = beam(x, graph[:done], x[new], entry, ef)
-            _link(x, graph, new, cand, sim, m, width, least, report)
+            if report is not None:
+                crowded.append(new[sim.min(1) >= least - 1e-3])
+            _link(x, graph, new, cand, sim, m, width, least, report, top)
             done += len(new)
         layers[lv] = graph
+    if crowded and len(full := np.concatenate(crowded)):
+        r, c = partners(x, x[full], least, top)
+        met.append(np.stack([full[r], c], 1)[full[r] != c])
     return order, layers, np.concatenate(met) if met else np.empty((0, 2), np.int64)
 
 
@@ -169,14 +195,17 @@ def descend(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, down_to: int
     return entry
 
 
-def _link(x: np.ndarray, graph: np.ndarray, new: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int, width: int, least: float | None = None, met: list | None = None) -> None:
+def _link(x: np.ndarray, graph: np.ndarray, new: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int, width: int, least: float | None = None, met: list | None = None, top: int = TOP) -> None:
     """Connect a batch: candidates of the search and the batch itself; then the reverse edges."""
     own = x[new] @ x[new].T
     np.fill_diagonal(own, -np.inf)
     if met is not None:
         r, c = np.nonzero((cand >= 0) & (sim >= least - 1e-3))
         met.append(np.stack([new[r], cand[r, c].astype(np.int64)], 1))
-        r, c = np.nonzero(np.triu(own >= least - 1e-3))
+        # of the batch itself only what can be among the highest of one of the two
+        k = min(top + 1, len(new))
+        last = np.maximum(least - 1e-3, np.partition(own, len(new) - k, axis=1)[:, len(new) - k] - 1e-5)
+        r, c = np.nonzero(own >= last[:, None])
         met.append(np.stack([new[r], new[c]], 1))
     k = min(m, len(new) - 1)
     if k > 0:
@@ -223,17 +252,16 @@ def search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, ef: int = EF_
     return beam(x, layers[0], q, descend(x, layers, q, 1, len(x)), ef)
 
 
-def partners(x: np.ndarray, q: np.ndarray, least: float, top: int, size: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) by products with all nodes: every node as similar as ``least`` that can be among the ``top``
-    highest, ties included.  One place more is kept, as the query itself may be a node; what is below those has ``top``
-    nearer nodes here and so no place whatever the other shards hold."""
+def partners(x: np.ndarray, q: np.ndarray, least: float, top: int, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) by products with all nodes: those as similar as ``least`` where one can be among the ``top`` highest
+    of the other, ties included.  One place more is kept, as a query may itself be a node; what is left out has ``top``
+    nearer ones on both sides and so no place whatever the other shards hold."""
     rs, fs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    k = min(top + 1, len(x))
     for a in range(0, len(q), size):
         sim = q[a : a + size] @ x.T
-        last = np.partition(sim, len(x) - k, axis=1)[:, len(x) - k]
         # single precision: the margin is far above its error
-        r, f = np.nonzero(sim >= np.maximum(least - 1e-3, last - 1e-5)[:, None])
+        line = lambda axis, n: np.partition(sim, max(0, n - top - 1), axis=axis).take([max(0, n - top - 1)], axis=axis) - 1e-5  # noqa: B023, E731
+        r, f = np.nonzero((sim >= least - 1e-3) & ((sim >= line(1, len(x))) | (sim >= line(0, len(sim)))))
         rs.append(r + a)
         fs.append(f)
     return np.concatenate(rs), np.concatenate(fs)
@@ -249,27 +277,138 @@ def usable(embeddings: DataFrame) -> DataFrame:
     ).filter((F.size(v) == F.col("dimensions")) & finite & F.exists(v, lambda e: e != 0))
 
 
-def classes(embeddings: DataFrame, shard: int = SHARD, slot: int = SLOT) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors with their shard, and (class_id, chunk_id) of all members."""
+def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per different vector of a model, and (class_id, chunk_id) of all members."""
     rows = usable(embeddings).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(11), F.col("embedding"))})
     key = [*MODEL, "k1", "k2"]
-    distinct = rows.groupBy(*key).agg(F.min("embedding_id").alias("class_id"), F.min_by("embedding", "embedding_id").alias("embedding"))
-    distinct = stored(distinct, "vectors")
+    distinct = stored(rows.groupBy(*key).agg(F.min("embedding_id").alias("class_id"), F.min_by("embedding", "embedding_id").alias("embedding")), "vectors")
     members = rows.select(*key, "chunk_id").join(distinct.select(*key, "class_id"), key).select("class_id", "chunk_id").distinct()
-    sizes = distinct.groupBy(*MODEL).agg(F.count(F.lit(1)).alias("n"))
-    spread = distinct.join(sizes, MODEL).select(
-        *MODEL,
-        "class_id",
-        "embedding",
-        F.ceil(F.col("n") / shard).cast("int").alias("shards"),
-        F.ceil(F.col("n") / slot).cast("int").alias("slots"),
-    )
-    h = lambda n: F.pmod(F.xxhash64("class_id", F.lit(n)), F.col("shards" if n == 1 else "slots")).cast("int")
-    return spread.withColumns({"shard": h(1), "slot": h(2)}), members
-
-
-_GRAPH = "provider string, model_id string, dimensions int, shard int, slots int, shards int, ids array<string>, vectors binary, layers array<binary>, widths array<int>, a array<string>, b array<string>, cos array<double>"
-_PAIRS = "provider string, model_id string, a string, b string, cos double"
+    return distinct.select(*MODEL, "class_id", "embedding"), members
+
+
+def _centres(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of k-means by cosine; a centre without members stays where it was."""
+    at = x[:k].copy()
+    for _ in range(rounds):
+        own = np.concatenate([(x[a : a + 4096] @ at.T).argmax(1) for a in range(0, len(x), 4096)])
+        o = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(own[o]) > 0])
+        total = np.add.reduceat(x[o], first, axis=0)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        who = own[o][first]
+        at[who] = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), at[who])
+    return at
+
+
+def fit(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coarse, pivots, start): about k pivots in two levels; those below coarse centre i are pivots[start[i]:start[i+1]]."""
+    coarse = _centres(x, min(len(x), max(1, round(k**0.5))))
+    own = np.concatenate([(x[a : a + 4096] @ coarse.T).argmax(1) for a in range(0, len(x), 4096)])
+    parts, start = [], [0]
+    for i in range(len(coarse)):
+        part = x[own == i]
+        parts.append(_centres(part, min(len(part), max(1, round(k * len(part) / len(x))))) if len(part) else coarse[i : i + 1])
+        start.append(start[-1] + len(parts[-1]))
+    return coarse, np.concatenate(parts), np.asarray(start)
+
+
+def route(x: np.ndarray, coarse: np.ndarray, pivots: np.ndarray, start: np.ndarray, most: int = ROUTES, wide: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, distances) per vector: the nearest pivot first, then others by the distance of the vector from the plane
+    that divides the two cells (0 for the own one, infinite where there is none).  Pivots below the ``wide`` nearest
+    coarse centres are looked at."""
+    n, wide = len(x), min(wide, len(coarse))
+    width = int(np.diff(start).max())
+    up = np.argpartition(-(x @ coarse.T), wide - 1, axis=1)[:, :wide]
+    score = np.full((n, wide, width), -np.inf, np.float32)
+    cell = np.full((n, wide, width), -1, np.int32)
+    for i in range(len(coarse)):
+        r, place = np.nonzero(up == i)
+        if len(r):
+            m = start[i + 1] - start[i]
+            score[r, place, :m] = x[r] @ pivots[start[i] : start[i + 1]].T
+            cell[r, place, :m] = np.arange(start[i], start[i + 1])
+    score, cell = score.reshape(n, -1), cell.reshape(n, -1)
+    k = min(2 * most, score.shape[1])
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    score, cell = np.take_along_axis(score, best, 1), np.take_along_axis(cell, best, 1)
+    row = np.arange(n)
+    lead = score.argmax(1)
+    own = cell[row, lead]
+    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("nkd,nd->nk", pivots[np.maximum(cell, 0)], pivots[own]), 1e-9))
+    far = np.where(cell >= 0, (score[row, lead][:, None] - score) / apart, np.inf).astype(np.float32)
+    far[row, lead] = -1
+    order = np.argsort(far, axis=1, kind="stable")[:, : most + 1]
+    far, cell = np.take_along_axis(far, order, 1), np.take_along_axis(cell, order, 1)
+    return cell, np.maximum(far, 0)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of an Arrow column of lists, all of one length."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(a), -1)
+
+
+_ROUTED = "provider string, model_id string, dimensions int, class_id string, embedding array<float>, cell int, routes array<int>, far array<float>"
+
+
+def routed(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The vectors with the cell of their nearest pivot and the cells beside it."""
+    spark = distinct.sparkSession
+    # one row per model
+    sizes = {(r.provider, r.model_id, r.dimensions): r.n for r in distinct.groupBy(*MODEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = {m: max(1, min(MOST_SHARDS, -(-n // shard))) for m, n in sizes.items()}
+    if not sizes:
+        return spark.createDataFrame([], _ROUTED)
+    share = spark.createDataFrame([(*m, min(1.0, SAMPLE / n)) for m, n in sizes.items()], "provider string, model_id string, dimensions int, share double")
+    h = F.xxhash64(F.lit(5), F.col("class_id"))
+    sample = distinct.join(F.broadcast(share), MODEL).filter(F.shiftrightunsigned(h, 11) / float(2**53) < F.col("share")).select(*MODEL, "class_id", "embedding")
+
+    def learn(key: tuple, t: pa.Table) -> pa.Table:
+        model = tuple(k.as_py() for k in key)
+        t = t.sort_by("class_id")
+        x = _unit(_matrix(t["embedding"]))
+        # in an order that has nothing to do with the ids
+        coarse, pivots, start = fit(x[np.random.default_rng(len(x)).permutation(len(x))], cells[model])
+        row = [*model, coarse.tobytes(), pivots.tobytes(), start.astype(np.int64).tobytes()]
+        return pa.table([[v] for v in row], schema=pa.schema([("provider", pa.string()), ("model_id", pa.string()), ("dimensions", pa.int32()), ("coarse", pa.binary()), ("pivots", pa.binary()), ("start", pa.binary())]))
+
+    # at most MOST_SHARDS pivots per model: 16 MB at 64 dimensions
+    learnt = sample.groupBy(*MODEL).applyInArrow(learn, "provider string, model_id string, dimensions int, coarse binary, pivots binary, start binary").collect()
+    model_of = {
+        (r.provider, r.model_id, r.dimensions): (np.frombuffer(r.coarse, np.float32).reshape(-1, r.dimensions), np.frombuffer(r.pivots, np.float32).reshape(-1, r.dimensions), np.frombuffer(r.start, np.int64)) for r in learnt
+    }
+
+    def send(batches):
+        for b in batches:
+            key = list(zip(b["provider"].to_pylist(), b["model_id"].to_pylist(), b["dimensions"].to_pylist()))
+            cell = np.zeros(len(key), np.int32)
+            beside: list = [[]] * len(key)
+            far: list = [[]] * len(key)
+            for m in set(key):
+                rows = np.flatnonzero([k == m for k in key])
+                if m not in model_of:  # too few vectors for the sample to hold one
+                    continue
+                for a in range(0, len(rows), 1024):
+                    r = rows[a : a + 1024]
+                    c, f = route(_unit(_matrix(b["embedding"].take(pa.array(r)))), *model_of[m])
+                    cell[r] = c[:, 0]
+                    keep = np.isfinite(f)
+                    for i, j in enumerate(r):
+                        beside[j], far[j] = c[i, 1:][keep[i, 1:]], f[i, 1:][keep[i, 1:]]
+            yield pa.RecordBatch.from_arrays(
+                [*(b[c] for c in (*MODEL, "class_id", "embedding")), pa.array(cell), pa.array(beside, pa.list_(pa.int32())), pa.array(far, pa.list_(pa.float32()))],
+                names=[*MODEL, "class_id", "embedding", "cell", "routes", "far"],
+            )
+
+    return stored(distinct.mapInArrow(send, _ROUTED), "routed")
+
+
+def classes(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors with their shard (cell, sub) and the cells beside it, and (class_id, chunk_id) of all members."""
+    distinct, members = distinct_vectors(embeddings)
+    v = routed(distinct, shard)
+    parts = v.groupBy(*MODEL, "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).cast("int").alias("subs"))
+    return v.join(parts, [*MODEL, "cell"]).withColumn("sub", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("subs")).cast("int")), members
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -278,102 +417,127 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("nd,nd->n", x, y) / np.sqrt(np.einsum("nd,nd->n", x, x) * np.einsum("nd,nd->n", y, y))
 
 
-def graphs(vectors: DataFrame, least: float | None = None) -> DataFrame:
-    """One row per shard: ids, vectors and the layers' flat neighbour arrays, and the pairs of the shard as similar as
-    ``least`` that the insertions met."""
+SHARD_KEY = [*MODEL, "cell", "sub"]
+_GRAPH = pa.schema(
+    [("provider", pa.string()), ("model_id", pa.string()), ("dimensions", pa.int32()), ("cell", pa.int32()), ("sub", pa.int32()), ("ids", pa.list_(pa.string())), ("vectors", pa.binary()), ("layers", pa.list_(pa.binary())), ("widths", pa.list_(pa.int32())), ("a", pa.string()), ("b", pa.string()), ("cos", pa.float64())]
+)
+_GRAPH_SQL = "provider string, model_id string, dimensions int, cell int, sub int, ids array<string>, vectors binary, layers array<binary>, widths array<int>, a string, b string, cos double"
+_PAIRS = pa.schema([("provider", pa.string()), ("model_id", pa.string()), ("a", pa.string()), ("b", pa.string()), ("cos", pa.float64())])
+_PAIRS_SQL = "provider string, model_id string, a string, b string, cos double"
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        provider, model, dims, shard = key
-        raw = np.stack(b.embedding.to_numpy()).astype(np.float32)
-        ids = b.class_id.to_numpy(dtype=object)
-        shards = int(b.shards.iloc[0])
-        order, layers, pairs = build(_unit(raw), levels_of(ids), least=least)
+
+def graphs(vectors: DataFrame, least: float | None = None, top: int = TOP) -> DataFrame:
+    """Per shard one row with ids, vectors and the layers' flat neighbour arrays; and rows (a, b, cos) of the shard's own
+    results: with ``least`` the pairs at least so similar that the insertions met, else the ``top`` and two more
+    nearest of each vector by a search in the finished graph."""
+    m, ef = (M, EF_BUILD) if least is not None else (M_NEAREST, EF_NEAREST)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        raw, ids = _matrix(t["embedding"]), t["class_id"].to_numpy()
+        o = np.argsort(ids)
+        raw, ids = raw[o], ids[o]
+        order, layers, pairs = build(_unit(raw), levels_of(ids, m), m, ef, least, top)
         ids, raw = ids[order], raw[order]
-        cos = _exact(raw[pairs[:, 0]], raw[pairs[:, 1]]) if len(pairs) else np.empty(0)
-        ok = cos >= least if least is not None else np.zeros(0, bool)
-        pairs, cos = pairs[ok], cos[ok]
-        row = (
-            provider, model, int(dims), int(shard), int(b.slots.iloc[0]), shards, list(ids), raw.tobytes(),
-            [g.tobytes() for g in layers], [g.shape[1] for g in layers], list(ids[pairs[:, 0]]), list(ids[pairs[:, 1]]), list(cos),
-        )
-        return pd.DataFrame([row], columns=[c.strip().split(" ")[0] for c in _GRAPH.split(",")])
-
-    return vectors.groupBy(*MODEL, "shard").applyInPandas(run, _GRAPH)
-
-
-def _read_graph(file: str, model: tuple, shard: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids, vectors and layers of one shard, from its file in the shared folder."""
-    import pyarrow.compute as pc
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    at, path = fs.FileSystem.from_uri(file)
-    with pq.ParquetFile(at.open_input_file(path)) as f:
-        for i in range(f.num_row_groups):
-            keys = f.read_row_group(i, [*MODEL, "shard"])
-            same = pc.equal(keys["shard"], shard)
-            for c, v in zip(MODEL, model):
-                same = pc.and_(same, pc.equal(keys[c], v))
-            if not pc.any(same).as_py():
-                continue
-            g = f.read_row_group(i, ["ids", "vectors", "layers", "widths"]).filter(same)
-            ids = g["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            raw = np.frombuffer(g["vectors"][0].as_py(), np.float32).reshape(len(ids), -1)
-            return ids, raw, [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(g["layers"][0].as_py(), g["widths"][0].as_py())]
-    raise RuntimeError(f"shard {shard} of {model} is not in {file}")
-
-
-def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP, ef: int = EF_SEARCH) -> DataFrame:
-    """(provider, model_id, a, b, cos): every vector is searched in the graph of every shard, its own included.  With
-    ``least``: pairs at least so similar, also those that the insertions met.  Without: for every vector the ``top``
-    most similar of every shard.  A task searches one slot of vectors and reads one graph after the other from the
-    shared folder, so no graph is sent with the queries."""
-    index = stored(graphs(vectors, least), "graphs")
-    own = index.select("provider", "model_id", F.explode(F.arrays_zip("a", "b", "cos")).alias("p")).select("provider", "model_id", "p.a", "p.b", "p.cos")
-    # where each shard's graph lies: one short row per shard
-    where: dict[tuple, list[tuple[int, str]]] = {}
-    for r in index.select(*MODEL, "shard", F.col("_metadata.file_path").alias("file")).collect():
-        where.setdefault((r.provider, r.model_id, r.dimensions), []).append((r.shard, r.file))
-
-    def run(key: tuple, q: pd.DataFrame) -> pd.DataFrame:
-        model = (key[0], key[1], int(key[2]))
-        qr = np.stack(q.embedding.to_numpy()).astype(np.float32)
-        qi = q.class_id.to_numpy(dtype=object)
-        parts = [x for shard, file in sorted(where.get(model, [])) for x in searched(model, shard, file, qr, qi)]
-        return pd.concat(parts) if parts else pd.DataFrame([], columns=["provider", "model_id", "a", "b", "cos"])
-
-    def searched(model: tuple, shard: int, file: str, qr: np.ndarray, qi: np.ndarray) -> list[pd.DataFrame]:
-        ids, raw, layers = _read_graph(file, model, shard)
+        if least is None:
+            x = _unit(raw)
+            found = []
+            for a in range(0, len(x), 2048):
+                near, sim = search(x, layers, x[a : a + 2048], ef)
+                near = np.take_along_axis(near, np.argsort(-sim, axis=1)[:, : top + 3], 1)
+                r, c = np.nonzero(near >= 0)
+                found.append(np.stack([r + a, near[r, c]], 1))
+            pairs = np.concatenate(found)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        cos = _exact(raw[pairs[:, 0]], raw[pairs[:, 1]])
+        ok = cos >= (least if least is not None else -2)
+        pairs, cos, n = pairs[ok], cos[ok], 1 + int(ok.sum())
+        own = [pa.array([k.as_py()] * n, f.type) for k, f in zip(key, _GRAPH)]
+        one = lambda v, i: pa.array([v, *[None] * (n - 1)], _GRAPH.field(i).type)
+        graph = [one(list(ids), 5), one(raw.tobytes(), 6), one([g.tobytes() for g in layers], 7), one([g.shape[1] for g in layers], 8)]
+        return pa.table([*own, *graph, pa.array([None, *ids[pairs[:, 0]]], pa.string()), pa.array([None, *ids[pairs[:, 1]]], pa.string()), pa.array([None, *cos], pa.float64())], schema=_GRAPH)
+
+    # a task for each shard, about: put together by size, a few tasks would do all the work
+    shards = vectors.select(*SHARD_KEY).distinct().count()
+    spread = vectors.select(*SHARD_KEY, "class_id", "embedding").repartition(max(1, min(shards, 16_384)), *SHARD_KEY)
+    return spread.groupBy(*SHARD_KEY).applyInArrow(run, _GRAPH_SQL)
+
+
+def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP) -> DataFrame:
+    """(provider, model_id, a, b, cos): what the shards' own graphs gave and what the searches in the shards beside give.
+    With ``least``: pairs at least so similar.  Without: for every vector the nearest of every shard searched; a shard is
+    searched if a vector may lie there that is nearer than the ``top``-th of the own shard."""
+    index = stored(graphs(vectors, least, top), "graphs")
+    own = index.filter("a is not null").select("provider", "model_id", "a", "b", "cos")
+    ef = EF_SEARCH if least is not None else EF_NEAREST
+    if least is not None:
+        # of two partners one is no farther from the dividing plane than half their distance across it
+        reach = F.lit(SIGMAS / 2 * (2 - 2 * least) ** 0.5) / F.sqrt("dimensions")
+        asked = vectors.withColumn("reach", reach)
+    else:
+        rank = F.row_number().over(Window.partitionBy("provider", "model_id", "a").orderBy(F.desc("cos"), "b"))
+        fifth = own.withColumn("r", rank).filter(F.col("r") == top).select("provider", "model_id", F.col("a").alias("class_id"), "cos")
+        reach = F.lit(SIGMAS_NEAREST) * F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(0.0)) / F.col("dimensions"))
+        asked = vectors.join(fifth, ["provider", "model_id", "class_id"], "left").withColumn("reach", F.coalesce(reach, F.lit(9.0))).drop("cos")
+    beside = F.transform(F.filter(F.arrays_zip("routes", "far"), lambda r: r["far"] <= F.col("reach")), lambda r: r["routes"])
+    parts = vectors.select(*MODEL, F.col("cell").alias("to"), "subs").distinct().withColumnRenamed("subs", "to_subs")
+    hops = (
+        asked.select(*SHARD_KEY, "class_id", F.explode(F.concat(F.array("cell"), beside)).alias("to"))
+        .filter("to <> cell")
+        # the other parts of the own cell, where it was split
+        .unionByName(asked.filter("subs > 1").select(*SHARD_KEY, "class_id", F.col("cell").alias("to")))
+        .join(parts, [*MODEL, "to"])
+        .withColumn("to_sub", F.explode(F.sequence(F.lit(0), F.col("to_subs") - 1)))
+        .filter("not (to = cell and to_sub = sub)")
+        .select(*MODEL, "class_id", F.col("to").alias("cell"), F.col("to_sub").alias("sub"))
+    )
+    hops = stored(hops, "hops")
+    slots = hops.groupBy(*SHARD_KEY).agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots"))
+    queries = (
+        hops.join(slots, SHARD_KEY)
+        .withColumn("slot", F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("slots")).cast("int"))
+        .join(vectors.select(*MODEL, "class_id", "embedding"), [*MODEL, "class_id"])
+        .select(*SHARD_KEY, "slot", "class_id", "embedding")
+    )
+    stacks = (
+        index.filter("ids is not null").select(*SHARD_KEY, "ids", "vectors", "layers", "widths").join(slots, SHARD_KEY)
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    )
+
+    def run(key: tuple, g: pa.Table, q: pa.Table) -> pa.Table:
+        if not g.num_rows or not q.num_rows:
+            return _PAIRS.empty_table()
+        ids = g["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(g["vectors"][0].as_py(), np.float32).reshape(len(ids), -1)
+        layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(g["layers"][0].as_py(), g["widths"][0].as_py())]
         x = _unit(raw)
+        qr, names = _matrix(q["embedding"]), q["class_id"].to_numpy()
         parts = []
         for a in range(0, len(qr), 2048):
-            block, names = qr[a : a + 2048], qi[a : a + 2048]
-            found, sim = search(x, layers, _unit(block), ef)
+            block = _unit(qr[a : a + 2048])
+            found, sim = search(x, layers, block, ef)
             if least is None:
-                best = np.argsort(-sim, axis=1)[:, : top + 2]
-                found = np.take_along_axis(found, best, 1)
-                r, c = np.nonzero(found >= 0)
+                near = np.take_along_axis(found, np.argsort(-sim, axis=1)[:, : top + 2], 1)
+                r, c = np.nonzero(near >= 0)
+                f = near[r, c]
             else:
                 r, c = np.nonzero((found >= 0) & (sim >= least - 1e-3))
-            f = found[r, c]
-            if least is not None:
+                f = found[r, c]
                 # a beam that is full of partners may have left others out
                 full = np.flatnonzero((found >= 0).all(1) & (sim.min(1) >= least - 1e-3))
-                all_r, all_f = partners(x, _unit(block[full]), least, top)
-                part = ~np.isin(r, full)
-                r, f = np.concatenate([r[part], full[all_r]]), np.concatenate([f[part], all_f])
-            other = ids[f] != names[r]
-            r, f = r[other], f[other]
-            if len(r):
-                cos = _exact(block[r], raw[f])
-                ok = np.ones(len(r), bool) if least is None else cos >= least
-                parts.append(pd.DataFrame({"a": names[r][ok], "b": ids[f][ok], "cos": cos[ok]}))
-        for part in parts:
-            part.insert(0, "model_id", model[1])
-            part.insert(0, "provider", model[0])
-        return parts
-
-    across = vectors.select(*MODEL, "slot", "class_id", "embedding").groupBy(*MODEL, "slot").applyInPandas(run, _PAIRS)
+                if len(full):
+                    all_r, all_f = partners(x, block[full], least, top)
+                    part = ~np.isin(r, full)
+                    r, f = np.concatenate([r[part], full[all_r]]), np.concatenate([f[part], all_f])
+            parts.append((r + a, f))
+        r, f = (np.concatenate(p) for p in zip(*parts))
+        cos = _exact(qr[r], raw[f])
+        ok = cos >= (least if least is not None else -2)
+        n = int(ok.sum())
+        return pa.table([pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.string()), pa.array(names[r[ok]], pa.string()), pa.array(ids[f[ok]], pa.string()), pa.array(cos[ok])], schema=_PAIRS)
+
+    slot_key = [*SHARD_KEY, "slot"]
+    n = max(1, min(slots.agg(F.sum("slots")).first()[0] or 0, 16_384))
+    across = stacks.repartition(n, *slot_key).groupBy(*slot_key).cogroup(queries.repartition(n, *slot_key).groupBy(*slot_key)).applyInArrow(run, _PAIRS_SQL)
     return own.unionByName(across)
 
 
@@ -381,14 +545,12 @@ def similar_pairs(embeddings: DataFrame, least: float = 0.9, top: int = TOP) ->
     """(chunk_id_a, chunk_id_b), a < b: cosine of at least ``least``, one among the other's ``top`` highest."""
     vectors, members = classes(embeddings)
     members = stored(members, "members")
-    found = stored(neighbours(vectors, least), "found")
+    found = stored(neighbours(vectors, least, top), "found")
     near = stored(found.select("a", "b", F.round("cos", 12).alias("cos")).unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.round("cos", 12).alias("cos"))).distinct(), "near")
     size = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("m"))
     # how many vectors are strictly nearer to a than b is: classes count with all their copies
     per = near.join(size.select(F.col("class_id").alias("b"), F.col("m").alias("mb")), "b")
     level = per.groupBy("a", "cos").agg(F.sum("mb").alias("here"))
-    from pyspark.sql import Window
-
     before = F.sum("here").over(Window.partitionBy("a").orderBy(F.desc("cos")).rowsBetween(Window.unboundedPreceding, -1))
     ranked = (
         level.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -398,29 +560,38 @@ def similar_pairs(embeddings: DataFrame, least: float = 0.9, top: int = TOP) ->
         .select("a", "cos")
     )
     linked = near.join(ranked, ["a", "cos"]).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    side = lambda c, n: members.select(F.col("class_id").alias(c), F.col("chunk_id").alias(n))
-    across = linked.join(side("x", "i"), "x").join(side("y", "j"), "y").select("i", "j")
-    # copies of one vector
-    w = Window.partitionBy("class_id").orderBy("chunk_id")
-    many = members.join(size.filter("m > 1"), "class_id").withColumn("r", F.row_number().over(w))
-    heads = many.filter((F.col("m") <= EXPAND) | (F.col("r") <= top)).select("class_id", F.col("chunk_id").alias("i"))
-    within = many.join(heads, "class_id").select("i", F.col("chunk_id").alias("j"))
+    # the limit is applied before the shuffle, so a class of many copies doesn't come to one task
+    heads = members.withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("chunk_id"))).filter(F.col("r") <= EXPAND).drop("r")
+    later = members.join(heads, ["class_id", "chunk_id"], "left_anti")
+    # copies of one vector are as near as can be
+    same = size.filter("m > 1").select(F.col("class_id").alias("x"), F.col("class_id").alias("y"))
+    links = stored(linked.unionByName(same), "links")
+    side = lambda m, c, n: m.select(F.col("class_id").alias(c), F.col("chunk_id").alias(n))
+    forth = links.join(side(heads, "x", "i"), "x").join(side(members, "y", "j"), "y").select("i", "j")
+    # what the heads of y have with the later members of x
+    back = links.join(side(heads, "y", "j"), "y").join(side(later, "x", "i"), "x").select("i", "j")
     return (
-        across.unionByName(within)
+        forth.unionByName(back)
         .filter("i <> j")
         .select(F.least("i", "j").alias("chunk_id_a"), F.greatest("i", "j").alias("chunk_id_b"))
         .distinct()
     )
 
 
+def copies(embeddings: DataFrame) -> DataFrame:
+    """(class_id, chunk_id, copies): the chunks of each vector that several chunks of a model have."""
+    _, members = distinct_vectors(embeddings)
+    members = stored(members, "members")
+    many = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return members.join(many, "class_id").select("class_id", "chunk_id", "copies")
+
+
 def nearest(embeddings: DataFrame, top: int = TOP) -> DataFrame:
     """(provider, model_id, chunk_id, neighbours): the ``top`` most similar chunks of each chunk's vector, best first,
     ties by chunk_id; an exact copy is as near as can be."""
     vectors, members = classes(embeddings)
     members = stored(members, "members")
     found = neighbours(vectors, None, top)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     best = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("provider", "model_id", "a", "b", "cos")
     # of each class only the first members can be among the nearest

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamgraph.llm import ann
 
@@ -20,22 +21,61 @@ def cosines(x):
     return s
 
 
-@pytest.mark.parametrize("hub_shard", [0, 1, 2])
-def test_hub_is_found_by_its_partners_in_every_shard(spark, hub_shard):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 32)).astype(np.float32)
-    shard = {int(r.class_id[1:]): r.shard for r in ann.classes(table(spark, x), shard=200)[0].select("class_id", "shard").collect()}
-    assert set(shard.values()) == {0, 1, 2}
-    hub = min(i for i in shard if shard[i] == hub_shard)
-    spokes = [i for k in range(3) for i in [j for j in shard if shard[j] == k and j != hub][:60]]
-    x[hub] = np.eye(32)[0]
-    for i in spokes:
+def brute(x, ids="e"):
+    s = cosines(x)
+    return {(f"{ids}{i:04d}", f"{ids}{j:04d}") for i, j in zip(*np.nonzero(s >= 0.9)) if i < j}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_hub_is_found_by_its_partners_in_every_shard(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(900, 32)).astype(np.float32)
+    for i in range(1, 181):
         side = np.r_[0, rng.normal(size=31)]
-        x[i] = 0.93 * x[hub] + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side)
+        x[i] = 0.93 * np.eye(32)[0] + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side)
+    x[0] = np.eye(32)[0]
+    vectors, _ = ann.classes(table(spark, x), shard=100)
+    at = {r.class_id: (r.cell, r.sub) for r in vectors.collect()}
+    assert len(set(at.values())) >= 8
+    assert len({at[f"e{i:04d}"] for i in range(181)}) > 1  # the hub's partners lie in several shards
+    found = {tuple(sorted((r.a, r.b))) for r in ann.neighbours(vectors, 0.9).collect()}
+    missed = [i for i in range(1, 181) if ("e0000", f"e{i:04d}") not in found]
+    assert len(missed) <= 1
+
+
+def test_near_pairs_across_shards(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 48))
+    x[1500:] = x[:1500] / np.linalg.norm(x[:1500], axis=1, keepdims=True) + rng.uniform(0.02, 0.06, (1500, 1)) * rng.normal(size=(1500, 48))
+    x = x.astype(np.float32)
     vectors, _ = ann.classes(table(spark, x), shard=200)
-    found = {(r.a, r.b) for r in ann.neighbours(vectors, 0.9).collect()}
-    missed = [i for i in spokes if (f"e{i:04d}", f"e{hub:04d}") not in found]
-    assert not missed
+    at = {r.class_id: (r.cell, r.sub) for r in vectors.select("class_id", "cell", "sub").collect()}
+    want = brute(x)
+    assert sum(at[a] != at[b] for a, b in want) > 100
+    found = {tuple(sorted((r.a, r.b))) for r in ann.neighbours(vectors, 0.9).collect()}
+    assert len(want - found) <= 0.01 * len(want)
+    assert found <= want
+
+
+def test_shard_too_large_is_split_and_searched_whole(spark):
+    rng = np.random.default_rng(9)
+    x = (np.eye(16)[0] * 3 + rng.normal(size=(700, 16))).astype(np.float32)
+    vectors, _ = ann.classes(table(spark, x), shard=700)
+    split = vectors.withColumns({"subs": F.lit(4), "sub": F.pmod(F.xxhash64("class_id"), F.lit(4)).cast("int")})
+    found = {tuple(sorted((r.a, r.b))) for r in ann.neighbours(split, 0.9).collect()}
+    s = cosines(x)
+    five = np.sort(s, axis=1)[:, -5]
+    want = {(f"e{i:04d}", f"e{j:04d}") for i, j in zip(*np.nonzero((s >= 0.9) & ((s >= five[:, None]) | (s >= five[None, :])))) if i < j}
+    assert len(want - found) <= 0.01 * len(want)
+
+
+def test_copies_of_a_large_class(spark, monkeypatch):
+    monkeypatch.setattr(ann, "EXPAND", 3)
+    x = np.ones((10, 4), np.float32)
+    got = {tuple(r) for r in ann.similar_pairs(table(spark, x)).collect()}
+    assert got == {(f"c{i:04d}", f"c{j:04d}") for i in range(3) for j in range(10) if i < j}
+    rows = ann.copies(table(spark, x)).collect()
+    assert len(rows) == 10 and {(r.class_id, r.copies) for r in rows} == {("e0000", 10)}
 
 
 def test_hot_group_of_one_direction(spark):
