@@ -9,9 +9,16 @@ commit file exists, so a job that dies leaves files no version names.
 both whose deletion vector grew or shrank yields exactly those rows.  Files with equal bucket, row count and
 digest hold the same rows and cancel without being read.  Rows that a rewrite merely carried over cancel too.
 
+``refresh(df)`` makes the table hold ``df``: buckets whose digest an earlier version already had keep that file, only
+the others are written; if nothing differs, no version is made.
+
 ``run_incremental`` processes such a delta and stores the processed source version in the *same* commit as the
 output; a run that fails before the commit is repeated from the old version, one that fails after it is not.
 
+A commit is made by renaming a finished file, which excludes other writers where rename is exclusive (HDFS, local
+disks); on an object store without that, a table may have one writer at a time.  File names and deletion vectors'
+folders are planned by the driver, as for any scan; rows are not.
+
 Defined results: null keys go to one bucket and compare equal; repeated rows count with multiplicity; an empty
 table commits an empty manifest; columns may have any name except the prefix ``_vt_``.
 """
@@ -22,8 +29,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +53,12 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, key: list[str], buckets: int | None = None):
         """buckets: files of an overwrite; by default the session's shuffle partitions."""
         self.spark, self.root, self.key = spark, root.rstrip("/"), list(key)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        now = self.latest() if buckets is None else -1
+        held = self.commit_info(now).get("buckets") if now >= 0 else None
+        self.buckets = buckets or held or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # -- commits ---------------------------------------------------------------------------------------------
     def _commit_path(self, version: int) -> str:
@@ -72,7 +80,7 @@ class VersionedTable:
             stream.close()
 
     def _commit(self, version: int, manifest: str, meta: dict) -> int:
-        body = json.dumps({"version": version, "manifest": manifest, "meta": meta}).encode()
+        body = json.dumps({"version": version, "manifest": manifest, "buckets": self.buckets, "meta": meta}).encode()
         part = self._path(f"{self.root}/commits/_{uuid.uuid4().hex}")
         out = self._fs.create(part, False)
         out.write(bytearray(body))
@@ -95,28 +103,26 @@ class VersionedTable:
         return self.spark.read.schema(MANIFEST).parquet(self.commit_info(version)["manifest"])
 
     # -- writing ---------------------------------------------------------------------------------------------
+    def bucket_of(self, *key: Column) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+
+    @staticmethod
+    def _digest(columns: list[str]) -> list[Column]:
+        cols = [F.col(f"`{c}`") for c in columns]
+        # sums, not xor: a repeated row must not cancel itself; the top 36 bits, so that 2^27 rows fit a long
+        a, b = F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
+        return [F.count(F.lit(1)).alias("rows"), F.sum(F.shiftright(a, 28)).alias("digest_a"), F.sum(F.shiftright(b, 28)).alias("digest_b")]
+
     def _write(self, df: DataFrame) -> DataFrame:
-        """Write the rows bucketed by key; give back the manifest rows of the new files."""
+        """Write the rows, one file for each bucket that has any; give back the manifest rows of the new files."""
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        bucketed = df.withColumn("_vt_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        bucketed = df.withColumn("_vt_bucket", self.bucket_of(*self.key))
         bucketed.repartition(self.buckets, "_vt_bucket").write.partitionBy("_vt_bucket").parquet(path)
-        try:
-            back = self.spark.read.schema(bucketed.schema).option("basePath", path).parquet(path)
-        except Exception:  # no rows, no files
+        if not self._fs.globStatus(self._path(f"{path}/_vt_bucket=*/*.parquet")):  # no rows, no files
             return self.spark.createDataFrame([], MANIFEST)
-        cols = [F.col(f"`{c}`") for c in df.columns]
+        back = self.spark.read.schema(bucketed.schema).option("basePath", path).parquet(path)
         row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_vt_bucket").alias("bucket"))
-        return (
-            back.select(row.alias("f"), F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7), *cols).alias("b"))
-            .groupBy("f")
-            # sums, not xor: a repeated row must not cancel itself; the top 36 bits, so that 2^27 rows fit a long
-            .agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.sum(F.shiftright("a", 28)).alias("digest_a"),
-                F.sum(F.shiftright("b", 28)).alias("digest_b"),
-            )
-            .select("f.file", "f.bucket", "rows", "digest_a", "digest_b", F.lit(None).cast("string").alias("dv"))
-        )
+        return back.select(row.alias("f"), *df.columns).groupBy("f").agg(*self._digest(df.columns)).select("f.file", "f.bucket", "rows", "digest_a", "digest_b", F.lit(None).cast("string").alias("dv"))
 
     def overwrite(self, df: DataFrame, meta: dict | None = None) -> int:
         version = self.latest() + 1
@@ -127,22 +133,61 @@ class VersionedTable:
         rows = self.manifest(now).unionByName(self._write(df))
         return self._commit(now + 1, self._write_manifest(rows), {"op": "append", **(meta or {})})
 
-    def delete(self, keys: DataFrame, meta: dict | None = None) -> int:
-        """Mark every row with one of the keys as deleted; no data file is rewritten."""
+    def refresh(self, df: DataFrame, meta: dict | None = None, back: int = 16) -> int:
+        """The version that holds exactly ``df``: an old one of the last ``back``, or a new one for which only those
+        buckets are written that none of these had with the same rows."""
+        now = self.latest()
+        if now < 0:
+            return self.overwrite(df, meta)
+        fingerprint = ["bucket", "rows", "digest_a", "digest_b"]
+        versions = range(now, max(-1, now - back), -1)
+        known: dict[tuple, str] = {}
+        held: dict[frozenset, int] = {}
+        for v in versions:  # a row of a manifest is a file's name and four numbers
+            rows = self.manifest(v).collect()
+            held.setdefault(frozenset((r.file, r.dv) for r in rows), v)
+            for r in rows:
+                if r.dv is None:
+                    known.setdefault((r.bucket, r.rows, r.digest_a, r.digest_b), r.file)
+        wanted = df.withColumn("_vt_bucket", self.bucket_of(*self.key)).groupBy("_vt_bucket").agg(*self._digest(df.columns)).withColumnRenamed("_vt_bucket", "bucket").collect()
+        keep = [(known[tuple(r)], *tuple(r), None) for r in wanted if tuple(r) in known]
+        fresh = [r.bucket for r in wanted if tuple(r) not in known]
+        if not fresh:
+            same = held.get(frozenset((k[0], None) for k in keep))
+            if same is not None:
+                return same
+        rows = self.spark.createDataFrame(keep, MANIFEST)
+        if fresh:
+            rows = rows.unionByName(self._write(df.filter(self.bucket_of(*self.key).isin(fresh)) if keep else df))
+        return self._commit(now + 1, self._write_manifest(rows.select("file", *fingerprint, "dv")), {"op": "refresh", **(meta or {})})
+
+    def replace_buckets(self, df: DataFrame, buckets: list[int] | None, meta: dict | None = None) -> int:
+        """Put ``df`` in place of all rows of the given buckets (None: of all)."""
         now = self.latest()
-        files = self.manifest(now)
+        kept = self.manifest(now).filter(~F.col("bucket").isin(buckets)) if buckets is not None else self.manifest(-1)
+        return self._commit(now + 1, self._write_manifest(kept.unionByName(self._write(df))), {"op": "replace", **(meta or {})})
+
+    def _mark(self, files: DataFrame, keys: DataFrame, on: list[str] | None = None) -> DataFrame:
+        """The manifest rows with every row deleted that has one of the keys; no data file is rewritten."""
+        on = on or self.key
+        if not files.limit(1).count():
+            return files
         dv = f"{self.root}/dv/{uuid.uuid4().hex}"
-        hit = self._rows(files, positions=True).join(
-            keys.select([F.col(k).alias(f"_vt_k{i}") for i, k in enumerate(self.key)]).distinct(),
-            [F.col(k).eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(self.key)],
-            "left_semi",
-        )
+        named = keys.select([F.col(f"`{c}`").alias(f"_vt_k{i}") for i, c in enumerate(keys.columns)]).distinct()
+        hit = self._rows(files, positions=True).join(named, [F.col(f"`{k}`").eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(on)], "left_semi")
         hit.select("_vt_file", "_vt_pos").unionByName(self._dead(files)).distinct().write.parquet(dv)
-        touched = self.spark.read.parquet(dv).select(F.col("_vt_file").alias("file")).distinct()
-        rows = files.join(touched.withColumn("_vt_hit", F.lit(True)), "file", "left").withColumn(
-            "dv", F.when(F.col("_vt_hit"), F.lit(dv)).otherwise(F.col("dv"))
-        )
-        return self._commit(now + 1, self._write_manifest(rows), {"op": "delete", **(meta or {})})
+        touched = self.spark.read.schema("_vt_file string, _vt_pos long").parquet(dv).select(F.col("_vt_file").alias("file")).distinct()
+        return files.join(touched.withColumn("_vt_hit", F.lit(True)), "file", "left").withColumn("dv", F.when(F.col("_vt_hit"), F.lit(dv)).otherwise(F.col("dv"))).drop("_vt_hit")
+
+    def delete(self, keys: DataFrame, meta: dict | None = None) -> int:
+        now = self.latest()
+        return self._commit(now + 1, self._write_manifest(self._mark(self.manifest(now), keys.select(*self.key))), {"op": "delete", **(meta or {})})
+
+    def upsert(self, df: DataFrame, meta: dict | None = None) -> int:
+        """Replace all rows of the keys in ``df`` by its rows, in one commit."""
+        now = self.latest()
+        files = self._mark(self.manifest(now), df.select(*self.key)) if now >= 0 else self.manifest(-1)
+        return self._commit(now + 1, self._write_manifest(files.unionByName(self._write(df))), {"op": "upsert", **(meta or {})})
 
     # -- reading ---------------------------------------------------------------------------------------------
     def _schema_of(self, paths: list[str]) -> T.StructType:
@@ -183,12 +228,19 @@ class VersionedTable:
     def snapshot(self, version: int | None = None) -> DataFrame:
         return self._rows(self.manifest(self.latest() if version is None else version))
 
-    def changes(self, start: int, end: int | None = None) -> DataFrame:
-        """Net record delta from version ``start`` (-1: before the first) to ``end``.
+    def files_changed(self, start: int, end: int) -> list[int]:
+        """The buckets that don't have the same files and deletion vectors in both versions; only manifests are read."""
+        both = self.manifest(start).select("bucket", "file", "dv").withColumn("n", F.lit(1)).unionByName(self.manifest(end).select("bucket", "file", "dv").withColumn("n", F.lit(-1)))
+        return [r.bucket for r in both.groupBy("bucket", "file", "dv").agg(F.sum("n").alias("n")).filter("n <> 0").select("bucket").distinct().collect()]
+
+    def changes(self, start: int, end: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Net record delta from version ``start`` (-1: before the first) to ``end``, of all buckets or the given ones.
 
         The table's columns, ``_vt_change`` (insert or delete) and ``_vt_count``.
         """
         old, new = self.manifest(start), self.manifest(self.latest() if end is None else end)
+        if buckets is not None:
+            old, new = (m.filter(F.col("bucket").isin(buckets)) for m in (old, new))
         same_file = ["file"]
         fingerprint = ["bucket", "rows", "digest_a", "digest_b"]
         only_new = new.join(old, same_file, "left_anti")
@@ -222,12 +274,12 @@ class VersionedTable:
         )
 
 
-def run_incremental(source: VersionedTable, sink: VersionedTable, work: Callable[[DataFrame], DataFrame]) -> int | None:
+def run_incremental(source: VersionedTable, sink: VersionedTable, work: Callable[[DataFrame], DataFrame], holds: list[str] | None = None) -> int | None:
     """Process what changed in ``source`` since the version stored in ``sink``'s last commit.
 
-    ``work`` gets all rows that the touched keys have now, as its output replaces the sink's rows of these keys; if the
-    tables' keys differ, nothing is replaced and it gets the inserted rows, each as often as it was inserted.  The
-    processed version is part of that commit.
+    ``work`` gets all rows that the touched keys have now, as its output replaces the sink's rows of these keys;
+    ``holds`` names the sink's columns that hold the source's key (by default those of the same names, which its output
+    must have).  The processed version is part of that commit.
     None if nothing is new.  A failure at any point leaves the old pair of (output, processed version).
     """
     done, now = sink.latest(), source.latest()
@@ -239,23 +291,15 @@ def run_incremental(source: VersionedTable, sink: VersionedTable, work: Callable
     if "_vt_none" in delta.columns or len(delta.columns) == 2:
         return sink._commit(done + 1, sink._write_manifest(files), {"op": "empty", "source_version": now})
     keys = delta.select(*source.key).distinct()
-    if set(sink.key) == set(source.key):
+    rows = source.snapshot(now)
+    if set(source.key) <= set(rows.columns):
         named = keys.select([F.col(k).alias(f"_vt_k{i}") for i, k in enumerate(source.key)])
-        rows = source.snapshot(now)
-        if set(source.key) <= set(rows.columns):
-            rows = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(source.key)], "left_semi")
-        else:  # no file is left
-            rows = delta.drop("_vt_change", "_vt_count").limit(0)
-    else:
-        inserted = delta.filter("_vt_change = 'insert'").withColumn("_vt_change", F.explode(F.sequence(F.lit(1), F.col("_vt_count").cast("int"))))
-        rows = inserted.drop("_vt_change", "_vt_count")
-    fresh = sink._write(work(rows))
-    touched = sink.spark.createDataFrame([], "file string, hit boolean")
-    if done >= 0 and set(sink.key) == set(source.key) and files.limit(1).count():
-        dv = f"{sink.root}/dv/{uuid.uuid4().hex}"
-        gone = keys.select([F.col(k).alias(f"_vt_k{i}") for i, k in enumerate(sink.key)])
-        hit = sink._rows(files, positions=True).join(gone, [F.col(k).eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(sink.key)], "left_semi")
-        hit.select("_vt_file", "_vt_pos").unionByName(sink._dead(files)).distinct().write.parquet(dv)
-        touched = sink.spark.read.parquet(dv).select(F.col("_vt_file").alias("file")).distinct().withColumn("hit", F.lit(True))
-        files = files.join(touched, "file", "left").withColumn("dv", F.when(F.col("hit"), F.lit(dv)).otherwise(F.col("dv"))).drop("hit")
-    return sink._commit(done + 1, sink._write_manifest(files.unionByName(fresh)), {"op": "incremental", "source_version": now})
+        rows = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(source.key)], "left_semi")
+    else:  # no file is left
+        rows = delta.drop("_vt_change", "_vt_count").limit(0)
+    out = work(rows)
+    holds = holds or source.key
+    if missing := set(holds) - set(out.columns):
+        raise ValueError(f"the output has no column {sorted(missing)}: name those that hold the source's key, so that changed records can be replaced")
+    fresh = sink._write(out)
+    return sink._commit(done + 1, sink._write_manifest(sink._mark(files, keys, holds).unionByName(fresh)), {"op": "incremental", "source_version": now})

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import incremental as I
-from ..session import table
+from ..session import kept, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return I.pending_chunks(table(spark, d, "chunks"), table(spark, d, "run_chunks"), table(spark, d, "analysis_runs"))
+    return I.pending_chunks(table(spark, d, "chunks"), table(spark, d, "run_chunks"), table(spark, d, "analysis_runs"), kept(spark, "pending-chunks", d))
 
 
 def p4_plan(spark: SparkSession, d: str) -> DataFrame:
-    return I.run_plan(*(table(spark, d, t) for t in ("repositories", "chunks", "run_chunks", "analysis_runs")))
+    return I.run_plan(*(table(spark, d, t) for t in ("repositories", "chunks", "run_chunks", "analysis_runs")), kept(spark, "pending-chunks", d))
 
 
 _PENDING = """

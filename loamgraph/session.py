@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -36,6 +37,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, name: str, of: str) -> str:
+    """The path of what is kept between runs over the tables in ``of``: in ``spark.loamgraph.state.dir`` if that is set,
+    else in the shared folder."""
+    base = spark.conf.get("spark.loamgraph.state.dir", None) or shared_dir(spark)
+    return f"{base.rstrip('/')}/{name}-v1-{hashlib.sha256(of.rstrip('/').encode()).hexdigest()[:24]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -45,9 +53,24 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: used where a result is read several times."""
     path = scratch(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Intermediate results of this process; queries are lazy, so they stay until their owner calls ``clean``.
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate results written so far, once nothing built on them is to run any more; how many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _written:
+        p = path(_written.pop())
+        gone += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return gone
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,17 +29,18 @@ def once(events: DataFrame, key: list[str], late: str = "2 hours") -> DataFrame:
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def upkeep(feed: DataFrame, table: VersionedTable, checkpoint: str):
-    """Upsert every micro-batch of a feed into the table; a batch that is delivered again is recognised by its number,
-    which is part of the commit."""
+def upkeep(feed: DataFrame, table: VersionedTable, checkpoint: str, order: str | None = None):
+    """Upsert every micro-batch of a feed into the table, one commit each; a batch that is delivered again is recognised
+    by its number, which is part of the commit.  Of several rows of a key the one with the greatest ``order`` counts (all
+    columns break ties); without ``order`` the greatest row does."""
 
     def apply(batch: DataFrame, number: int) -> None:
         now = table.latest()
         if now >= 0 and table.commit_info(now)["meta"].get("batch", -1) >= number:
             return
-        rows = batch.dropDuplicates(table.key)
-        if now >= 0:
-            table.delete(rows.select(*table.key), {"batch": number - 1})
-        table.append(rows, {"batch": number})
+        rest = [c for c in batch.columns if c not in table.key and c != order]
+        last = F.max(F.struct(*([order] if order else []), *rest)).alias("_last")
+        rows = batch.groupBy(*table.key).agg(last).select(*[c if c in table.key else F.col(f"_last.{c}").alias(c) for c in batch.columns])
+        table.upsert(rows, {"batch": number})
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,3 +86,78 @@ def test_pending_chunks(spark):
     empty = log.limit(0)
     assert len(rows(pending_chunks(chunks, empty, runs))) == 6
     assert rows(pending_chunks(chunks.limit(0), log, runs)) == []
+
+
+def test_rows_added_again_after_a_delete(spark, table):
+    d = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    v0 = table.overwrite(d)
+    v1 = table.delete(d.select("k"))
+    v2 = table.append(d)
+    assert rows(table.changes(v1, v2)) == [("a", 1, "insert", 1), ("b", 2, "insert", 1), ("c", 3, "insert", 1)]
+    assert table.changes(v0, v2).count() == 0
+    assert rows(table.snapshot()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_a_failed_read_back_is_no_empty_table(spark, table, monkeypatch):
+    table.overwrite(spark.createDataFrame([("a", 1)], "k string, v int"))
+    monkeypatch.setattr(VersionedTable, "_digest", staticmethod(lambda columns: (_ for _ in ()).throw(OSError("store is away"))))
+    with pytest.raises(OSError):
+        table.overwrite(spark.createDataFrame([("b", 2)], "k string, v int"))
+    monkeypatch.undo()
+    assert rows(table.snapshot()) == [("a", 1)]
+
+
+def test_a_crash_between_data_and_commit(spark, table, monkeypatch):
+    table.overwrite(spark.createDataFrame([("a", 1)], "k string, v int"))
+    monkeypatch.setattr(VersionedTable, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        table.append(spark.createDataFrame([("b", 2)], "k string, v int"))
+    monkeypatch.undo()
+    assert rows(table.snapshot()) == [("a", 1)]
+    v = table.append(spark.createDataFrame([("b", 2)], "k string, v int"))
+    assert (v, rows(table.snapshot())) == (1, [("a", 1), ("b", 2)])
+
+
+def test_refresh_writes_changed_buckets_only(spark):
+    table = VersionedTable(spark, scratch(spark, "vt-refresh"), ["k"], 8)
+    make = lambda *r: spark.createDataFrame(list(r), "k string, bucket int")
+    a = [(f"k{i}", i) for i in range(40)]
+    v0 = table.refresh(make(*a))
+    assert table.refresh(make(*reversed(a))) == v0
+    b = [(k, 99 if k == "k7" else v) for k, v in a]
+    v1 = table.refresh(make(*b))
+    assert len(table.files_changed(v0, v1)) == 1
+    assert rows(table.changes(v0, v1)) == [("k7", 7, "delete", 1), ("k7", 99, "insert", 1)]
+    assert table.refresh(make(*a)) == v0 and table.latest() == v1  # as it was: nothing is written
+    assert table.refresh(make()) == v1 + 1 and table.snapshot().count() == 0
+
+
+def test_pending_chunks_of_a_second_run(spark):
+    kept = scratch(spark, "kept")
+    chunks = spark.createDataFrame([(f"c{i}", "x", f"h{i}") for i in range(50)], "chunk_id string, content string, content_hash string")
+    runs = spark.createDataFrame([("r1", "completed")], "run_id string, status string")
+    log = spark.createDataFrame([("r1", f"c{i}", f"h{i}", "2025-01-01") for i in range(40)], "run_id string, chunk_id string, content_hash string, written_at string")
+    from loamgraph.operators import incremental
+
+    first = rows(pending_chunks(chunks, log, runs, kept))
+    assert len(first) == 10
+    answer = VersionedTable(spark, f"{kept}/pending", ["chunk_id"])
+    state = VersionedTable(spark, f"{kept}/state", ["chunk_id"])
+    versions = answer.latest(), state.latest()
+    assert rows(pending_chunks(chunks, log, runs, kept)) == first
+    assert (answer.latest(), state.latest()) == versions  # nothing changed: nothing is written, no delta is read
+    more = log.union(spark.createDataFrame([("r1", "c45", "h45", "2025-01-02")], log.schema))
+    assert rows(pending_chunks(chunks, more, runs, kept)) == [r for r in first if r != ("c45",)]
+    assert len(state.files_changed(versions[1], state.latest())) >= 1
+    assert incremental.pending_chunks(chunks, log, runs, kept).count() == 10  # a log that was taken back
+
+
+def test_output_must_hold_the_key(spark, table):
+    out = VersionedTable(spark, scratch(spark, "vt-other"), ["v"], 3)
+    table.overwrite(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"))
+    with pytest.raises(ValueError):
+        run_incremental(table, out, lambda df: df.select("v"))
+    run_incremental(table, out, lambda df: df.selectExpr("v * 10 v", "k of_key"), ["of_key"])
+    table.upsert(spark.createDataFrame([("a", 5)], "k string, v int"))
+    run_incremental(table, out, lambda df: df.selectExpr("v * 10 v", "k of_key"), ["of_key"])
+    assert rows(out.snapshot()) == [(20, "b"), (50, "a")]
