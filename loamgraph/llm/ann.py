@@ -277,13 +277,15 @@ def usable(embeddings: DataFrame) -> DataFrame:
     ).filter((F.size(v) == F.col("dimensions")) & finite & F.exists(v, lambda e: e != 0))
 
 
-def distinct_vectors(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per different vector of a model, and (class_id, chunk_id) of all members."""
-    rows = usable(embeddings).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(11), F.col("embedding"))})
-    key = [*MODEL, "k1", "k2"]
-    distinct = stored(rows.groupBy(*key).agg(F.min("embedding_id").alias("class_id"), F.min_by("embedding", "embedding_id").alias("embedding")), "vectors")
-    members = rows.select(*key, "chunk_id").join(distinct.select(*key, "class_id"), key).select("class_id", "chunk_id").distinct()
-    return distinct.select(*MODEL, "class_id", "embedding"), members
+def keyed(embeddings: DataFrame) -> DataFrame:
+    """Usable rows with the id of their vector's class: 128 bits of hash of model and vector."""
+    k = lambda n: F.hex(F.xxhash64(F.lit(n), *MODEL, "embedding"))
+    return usable(embeddings).select(*MODEL, F.concat_ws("-", k(3), k(11)).alias("class_id"), "chunk_id", "embedding")
+
+
+def membership(embeddings: DataFrame) -> DataFrame:
+    """(class_id, chunk_id), one row each."""
+    return keyed(embeddings).select("class_id", "chunk_id").distinct()
 
 
 def _centres(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -351,17 +353,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 _ROUTED = "provider string, model_id string, dimensions int, class_id string, embedding array<float>, cell int, routes array<int>, far array<float>"
 
 
-def routed(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The vectors with the cell of their nearest pivot and the cells beside it."""
-    spark = distinct.sparkSession
-    # one row per model
-    sizes = {(r.provider, r.model_id, r.dimensions): r.n for r in distinct.groupBy(*MODEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+def routed(rows: DataFrame, shard: int = SHARD) -> DataFrame:
+    """One row per different vector of a model, with the cell of its nearest pivot and the cells beside it."""
+    spark = rows.sparkSession
+    # one row per model; the number of different vectors is only needed about
+    sizes = {(r.provider, r.model_id, r.dimensions): max(1, r.n) for r in rows.groupBy(*MODEL).agg(F.approx_count_distinct("class_id", 0.02).alias("n")).collect()}
     cells = {m: max(1, min(MOST_SHARDS, -(-n // shard))) for m, n in sizes.items()}
     if not sizes:
         return spark.createDataFrame([], _ROUTED)
     share = spark.createDataFrame([(*m, min(1.0, SAMPLE / n)) for m, n in sizes.items()], "provider string, model_id string, dimensions int, share double")
     h = F.xxhash64(F.lit(5), F.col("class_id"))
-    sample = distinct.join(F.broadcast(share), MODEL).filter(F.shiftrightunsigned(h, 11) / float(2**53) < F.col("share")).select(*MODEL, "class_id", "embedding")
+    in_sample = F.shiftrightunsigned(h, 11) / float(2**53) < F.col("share")
+    sample = rows.join(F.broadcast(share), MODEL).filter(in_sample).groupBy(*MODEL, "class_id").agg(F.first("embedding").alias("embedding"))
+    distinct = rows.groupBy(*MODEL, "class_id").agg(F.first("embedding").alias("embedding"))
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
         model = tuple(k.as_py() for k in key)
@@ -405,10 +409,11 @@ def routed(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def classes(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors with their shard (cell, sub) and the cells beside it, and (class_id, chunk_id) of all members."""
-    distinct, members = distinct_vectors(embeddings)
-    v = routed(distinct, shard)
+    v = routed(keyed(embeddings), shard)
+    # at most MOST_SHARDS rows per model
     parts = v.groupBy(*MODEL, "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).cast("int").alias("subs"))
-    return v.join(parts, [*MODEL, "cell"]).withColumn("sub", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("subs")).cast("int")), members
+    v = v.join(F.broadcast(parts), [*MODEL, "cell"])
+    return v.withColumn("sub", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("subs")).cast("int")), membership(embeddings)
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -426,82 +431,83 @@ _PAIRS = pa.schema([("provider", pa.string()), ("model_id", pa.string()), ("a",
 _PAIRS_SQL = "provider string, model_id string, a string, b string, cos double"
 
 
-def graphs(vectors: DataFrame, least: float | None = None, top: int = TOP) -> DataFrame:
-    """Per shard one row with ids, vectors and the layers' flat neighbour arrays; and rows (a, b, cos) of the shard's own
-    results: with ``least`` the pairs at least so similar that the insertions met, else the ``top`` and two more
-    nearest of each vector by a search in the finished graph."""
+def _answers(x: np.ndarray, raw: np.ndarray, ids: np.ndarray, layers: list[np.ndarray], q: pa.Table, least: float | None, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) of a block of queries searched in one graph."""
+    qr, names = _matrix(q["q_embedding"]), q["q_class_id"].to_numpy()
+    ef = EF_SEARCH if least is not None else EF_NEAREST
+    parts = []
+    for at in range(0, len(qr), 2048):
+        block = _unit(qr[at : at + 2048])
+        found, sim = search(x, layers, block, ef)
+        if least is None:
+            near = np.take_along_axis(found, np.argsort(-sim, axis=1)[:, : top + 2], 1)
+            r, c = np.nonzero(near >= 0)
+            f = near[r, c]
+        else:
+            r, c = np.nonzero((found >= 0) & (sim >= least - 1e-3))
+            f = found[r, c]
+            # a beam that is full of partners may have left others out
+            full = np.flatnonzero((found >= 0).all(1) & (sim.min(1) >= least - 1e-3))
+            if len(full):
+                all_r, all_f = partners(x, block[full], least, top)
+                part = ~np.isin(r, full)
+                r, f = np.concatenate([r[part], full[all_r]]), np.concatenate([f[part], all_f])
+        parts.append((r + at, f))
+    r, f = (np.concatenate(p) for p in zip(*parts))
+    cos = _exact(qr[r], raw[f])
+    ok = cos >= (least if least is not None else -2)
+    return names[r[ok]], ids[f[ok]], cos[ok]
+
+
+def graphs(vectors: DataFrame, queries: DataFrame | None = None, least: float | None = None, top: int = TOP) -> DataFrame:
+    """Per shard one row with ids, vectors and the layers' flat neighbour arrays; and rows (a, b, cos): with ``least`` the
+    pairs of the shard at least so similar that the insertions met, else the ``top`` and two more nearest of each vector
+    by a search in the finished graph; and what the given queries from other shards find."""
     m, ef = (M, EF_BUILD) if least is not None else (M_NEAREST, EF_NEAREST)
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table, q: pa.Table | None = None) -> pa.Table:
+        if not t.num_rows:
+            return _GRAPH.empty_table()
         raw, ids = _matrix(t["embedding"]), t["class_id"].to_numpy()
         o = np.argsort(ids)
         raw, ids = raw[o], ids[o]
         order, layers, pairs = build(_unit(raw), levels_of(ids, m), m, ef, least, top)
         ids, raw = ids[order], raw[order]
+        x = _unit(raw)
         if least is None:
-            x = _unit(raw)
             found = []
-            for a in range(0, len(x), 2048):
-                near, sim = search(x, layers, x[a : a + 2048], ef)
+            for at in range(0, len(x), 2048):
+                near, sim = search(x, layers, x[at : at + 2048], ef)
                 near = np.take_along_axis(near, np.argsort(-sim, axis=1)[:, : top + 3], 1)
                 r, c = np.nonzero(near >= 0)
-                found.append(np.stack([r + a, near[r, c]], 1))
+                found.append(np.stack([r + at, near[r, c]], 1))
             pairs = np.concatenate(found)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         cos = _exact(raw[pairs[:, 0]], raw[pairs[:, 1]])
         ok = cos >= (least if least is not None else -2)
-        pairs, cos, n = pairs[ok], cos[ok], 1 + int(ok.sum())
+        a, b, cos = ids[pairs[ok, 0]], ids[pairs[ok, 1]], cos[ok]
+        if q is not None and q.num_rows:
+            qa, qb, qc = _answers(x, raw, ids, layers, q, least, top)
+            a, b, cos = np.concatenate([a, qa]), np.concatenate([b, qb]), np.concatenate([cos, qc])
+        n = 1 + len(cos)
         own = [pa.array([k.as_py()] * n, f.type) for k, f in zip(key, _GRAPH)]
         one = lambda v, i: pa.array([v, *[None] * (n - 1)], _GRAPH.field(i).type)
         graph = [one(list(ids), 5), one(raw.tobytes(), 6), one([g.tobytes() for g in layers], 7), one([g.shape[1] for g in layers], 8)]
-        return pa.table([*own, *graph, pa.array([None, *ids[pairs[:, 0]]], pa.string()), pa.array([None, *ids[pairs[:, 1]]], pa.string()), pa.array([None, *cos], pa.float64())], schema=_GRAPH)
+        return pa.table([*own, *graph, pa.array([None, *a], pa.string()), pa.array([None, *b], pa.string()), pa.array([None, *cos], pa.float64())], schema=_GRAPH)
 
     # a task for each shard, about: put together by size, a few tasks would do all the work
-    shards = vectors.select(*SHARD_KEY).distinct().count()
-    spread = vectors.select(*SHARD_KEY, "class_id", "embedding").repartition(max(1, min(shards, 16_384)), *SHARD_KEY)
-    return spread.groupBy(*SHARD_KEY).applyInArrow(run, _GRAPH_SQL)
+    n = max(1, min(vectors.select(*SHARD_KEY).distinct().count(), 16_384))
+    spread = vectors.select(*SHARD_KEY, "class_id", "embedding").repartition(n, *SHARD_KEY).groupBy(*SHARD_KEY)
+    if queries is None:
+        return spread.applyInArrow(lambda key, t: run(key, t), _GRAPH_SQL)
+    # other names, as both sides come from the same table
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in (*SHARD_KEY, "class_id", "embedding")])
+    q_key = [f"q_{c}" for c in SHARD_KEY]
+    return spread.cogroup(asked.repartition(n, *q_key).groupBy(*q_key)).applyInArrow(lambda key, t, q: run(key, t, q), _GRAPH_SQL)
 
 
-def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP) -> DataFrame:
-    """(provider, model_id, a, b, cos): what the shards' own graphs gave and what the searches in the shards beside give.
-    With ``least``: pairs at least so similar.  Without: for every vector the nearest of every shard searched; a shard is
-    searched if a vector may lie there that is nearer than the ``top``-th of the own shard."""
-    index = stored(graphs(vectors, least, top), "graphs")
-    own = index.filter("a is not null").select("provider", "model_id", "a", "b", "cos")
-    ef = EF_SEARCH if least is not None else EF_NEAREST
-    if least is not None:
-        # of two partners one is no farther from the dividing plane than half their distance across it
-        reach = F.lit(SIGMAS / 2 * (2 - 2 * least) ** 0.5) / F.sqrt("dimensions")
-        asked = vectors.withColumn("reach", reach)
-    else:
-        rank = F.row_number().over(Window.partitionBy("provider", "model_id", "a").orderBy(F.desc("cos"), "b"))
-        fifth = own.withColumn("r", rank).filter(F.col("r") == top).select("provider", "model_id", F.col("a").alias("class_id"), "cos")
-        reach = F.lit(SIGMAS_NEAREST) * F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(0.0)) / F.col("dimensions"))
-        asked = vectors.join(fifth, ["provider", "model_id", "class_id"], "left").withColumn("reach", F.coalesce(reach, F.lit(9.0))).drop("cos")
-    beside = F.transform(F.filter(F.arrays_zip("routes", "far"), lambda r: r["far"] <= F.col("reach")), lambda r: r["routes"])
-    parts = vectors.select(*MODEL, F.col("cell").alias("to"), "subs").distinct().withColumnRenamed("subs", "to_subs")
-    hops = (
-        asked.select(*SHARD_KEY, "class_id", F.explode(F.concat(F.array("cell"), beside)).alias("to"))
-        .filter("to <> cell")
-        # the other parts of the own cell, where it was split
-        .unionByName(asked.filter("subs > 1").select(*SHARD_KEY, "class_id", F.col("cell").alias("to")))
-        .join(parts, [*MODEL, "to"])
-        .withColumn("to_sub", F.explode(F.sequence(F.lit(0), F.col("to_subs") - 1)))
-        .filter("not (to = cell and to_sub = sub)")
-        .select(*MODEL, "class_id", F.col("to").alias("cell"), F.col("to_sub").alias("sub"))
-    )
-    hops = stored(hops, "hops")
-    slots = hops.groupBy(*SHARD_KEY).agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots"))
-    queries = (
-        hops.join(slots, SHARD_KEY)
-        .withColumn("slot", F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("slots")).cast("int"))
-        .join(vectors.select(*MODEL, "class_id", "embedding"), [*MODEL, "class_id"])
-        .select(*SHARD_KEY, "slot", "class_id", "embedding")
-    )
-    stacks = (
-        index.filter("ids is not null").select(*SHARD_KEY, "ids", "vectors", "layers", "widths").join(slots, SHARD_KEY)
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
-    )
+def searched(index: DataFrame, queries: DataFrame, slots: DataFrame, least: float | None, top: int) -> DataFrame:
+    """(provider, model_id, a, b, cos) of queries in stored graphs; a graph is read once per slot of queries."""
 
     def run(key: tuple, g: pa.Table, q: pa.Table) -> pa.Table:
         if not g.num_rows or not q.num_rows:
@@ -509,62 +515,83 @@ def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP) -
         ids = g["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         raw = np.frombuffer(g["vectors"][0].as_py(), np.float32).reshape(len(ids), -1)
         layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(g["layers"][0].as_py(), g["widths"][0].as_py())]
-        x = _unit(raw)
-        qr, names = _matrix(q["embedding"]), q["class_id"].to_numpy()
-        parts = []
-        for a in range(0, len(qr), 2048):
-            block = _unit(qr[a : a + 2048])
-            found, sim = search(x, layers, block, ef)
-            if least is None:
-                near = np.take_along_axis(found, np.argsort(-sim, axis=1)[:, : top + 2], 1)
-                r, c = np.nonzero(near >= 0)
-                f = near[r, c]
-            else:
-                r, c = np.nonzero((found >= 0) & (sim >= least - 1e-3))
-                f = found[r, c]
-                # a beam that is full of partners may have left others out
-                full = np.flatnonzero((found >= 0).all(1) & (sim.min(1) >= least - 1e-3))
-                if len(full):
-                    all_r, all_f = partners(x, block[full], least, top)
-                    part = ~np.isin(r, full)
-                    r, f = np.concatenate([r[part], full[all_r]]), np.concatenate([f[part], all_f])
-            parts.append((r + a, f))
-        r, f = (np.concatenate(p) for p in zip(*parts))
-        cos = _exact(qr[r], raw[f])
-        ok = cos >= (least if least is not None else -2)
-        n = int(ok.sum())
-        return pa.table([pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.string()), pa.array(names[r[ok]], pa.string()), pa.array(ids[f[ok]], pa.string()), pa.array(cos[ok])], schema=_PAIRS)
+        a, b, cos = _answers(_unit(raw), raw, ids, layers, q, least, top)
+        return pa.table([pa.array([key[0].as_py()] * len(cos), pa.string()), pa.array([key[1].as_py()] * len(cos), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(cos)], schema=_PAIRS)
 
-    slot_key = [*SHARD_KEY, "slot"]
+    stacks = (
+        index.filter("ids is not null").select(*SHARD_KEY, "ids", "vectors", "layers", "widths").join(F.broadcast(slots), SHARD_KEY)
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    )
+    key = [*SHARD_KEY, "slot"]
     n = max(1, min(slots.agg(F.sum("slots")).first()[0] or 0, 16_384))
-    across = stacks.repartition(n, *slot_key).groupBy(*slot_key).cogroup(queries.repartition(n, *slot_key).groupBy(*slot_key)).applyInArrow(run, _PAIRS_SQL)
-    return own.unionByName(across)
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "class_id", "embedding")])
+    q_key = [f"q_{c}" for c in key]
+    return stacks.repartition(n, *key).groupBy(*key).cogroup(asked.repartition(n, *q_key).groupBy(*q_key)).applyInArrow(run, _PAIRS_SQL)
+
+
+def _hops(asked: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
+    """A row for every shard beside its own in which a vector (with its ``reach``) is to be searched."""
+    beside = F.transform(F.filter(F.arrays_zip("routes", "far"), lambda r: r["far"] <= F.col("reach")), lambda r: r["routes"])
+    own = F.when(F.col("subs") > 1, F.array("cell")).otherwise(F.array().cast("array<int>"))  # the other parts of the own cell
+    return (
+        asked.select(*SHARD_KEY, "class_id", *more, F.explode(F.concat(own, beside)).alias("to"))
+        .join(F.broadcast(parts), [*MODEL, "to"])
+        .withColumn("to_sub", F.explode(F.sequence(F.lit(0), F.col("to_subs") - 1)))
+        .filter("not (to = cell and to_sub = sub)")
+        .select(*MODEL, F.col("to").alias("cell"), F.col("to_sub").alias("sub"), "class_id", *more)
+    )
+
+
+def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP) -> DataFrame:
+    """(provider, model_id, a, b, cos): what the shards' own graphs gave and what the searches in the shards beside give.
+    With ``least``: pairs at least so similar.  Without: for every vector the nearest of every shard searched; a shard is
+    searched if a vector may lie there that is nearer than the ``top``-th of the own shard."""
+    # both at most a row per shard
+    parts = vectors.groupBy(*MODEL, F.col("cell").alias("to")).agg(F.max("subs").alias("to_subs"))
+    counted = lambda hops: hops.groupBy(*SHARD_KEY).agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots"))
+    placed = lambda hops, slots: hops.join(F.broadcast(slots), SHARD_KEY).withColumn("slot", F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("slots")).cast("int"))
+    pairs = lambda index: index.filter("a is not null").select("provider", "model_id", "a", "b", "cos")
+    if least is None:
+        index = stored(graphs(vectors, None, None, top), "graphs")
+        rank = F.row_number().over(Window.partitionBy("provider", "model_id", "a").orderBy(F.desc("cos"), "b"))
+        fifth = pairs(index).withColumn("r", rank).filter(F.col("r") == top).select("provider", "model_id", F.col("a").alias("class_id"), "cos")
+        reach = F.lit(SIGMAS_NEAREST) * F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(0.0)) / F.col("dimensions"))
+        asked = vectors.join(fifth, ["provider", "model_id", "class_id"], "left").withColumn("reach", F.coalesce(reach, F.lit(9.0))).drop("cos")
+        hops = stored(_hops(asked, parts, "embedding"), "hops")
+        slots = stored(counted(hops), "slots")
+        return pairs(index).unionByName(searched(index, placed(hops, slots), slots, None, top))
+    # of two partners one is no farther from the dividing plane than half their distance across it
+    asked = vectors.withColumn("reach", F.lit(SIGMAS / 2 * (2 - 2 * least) ** 0.5) / F.sqrt("dimensions"))
+    slots = stored(counted(_hops(asked, parts)), "slots")
+    queries = placed(_hops(asked, parts, "embedding"), slots)
+    # the first slot is answered where the graph is built; more than one only a shard has that very many ask
+    index = stored(graphs(vectors, queries.filter("slot = 0"), least, top), "graphs")
+    if not slots.filter("slots > 1").limit(1).count():
+        return pairs(index)
+    return pairs(index).unionByName(searched(index, queries.filter("slot > 0"), slots, least, top))
 
 
 def similar_pairs(embeddings: DataFrame, least: float = 0.9, top: int = TOP) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b: cosine of at least ``least``, one among the other's ``top`` highest."""
     vectors, members = classes(embeddings)
     members = stored(members, "members")
-    found = stored(neighbours(vectors, least, top), "found")
-    near = stored(found.select("a", "b", F.round("cos", 12).alias("cos")).unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.round("cos", 12).alias("cos"))).distinct(), "near")
-    size = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("m"))
-    # how many vectors are strictly nearer to a than b is: classes count with all their copies
-    per = near.join(size.select(F.col("class_id").alias("b"), F.col("m").alias("mb")), "b")
-    level = per.groupBy("a", "cos").agg(F.sum("mb").alias("here"))
-    before = F.sum("here").over(Window.partitionBy("a").orderBy(F.desc("cos")).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (
-        level.withColumn("before", F.coalesce(before, F.lit(0)))
-        .join(size.select(F.col("class_id").alias("a"), F.col("m").alias("ma")), "a")
-        # a's own copies are nearer than anything that is not itself as near as a copy
-        .filter(F.col("before") + F.when(F.col("cos") < 1.0, F.col("ma") - 1).otherwise(0) < top)
-        .select("a", "cos")
-    )
-    linked = near.join(ranked, ["a", "cos"]).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    found = neighbours(vectors, least, top).select("a", "b", F.round("cos", 12).alias("cos"))
+    near = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).distinct()
+    copied = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # of the highest of each vector (ties included) ...
+    highest = F.rank().over(Window.partitionBy("a").orderBy(F.desc("cos")))
+    first = near.withColumn("k", highest).filter(F.col("k") <= top).drop("k")
+    # ... those to which fewer than top chunks are strictly nearer; classes count with all their copies, and the own copies
+    # are nearer than anything that is not itself as near as a copy
+    first = first.join(copied.select(F.col("class_id").alias("b"), F.col("m").alias("mb")), "b", "left").join(copied.select(F.col("class_id").alias("a"), F.col("m").alias("ma")), "a", "left")
+    nearer = Window.partitionBy("a").orderBy(-F.round(F.col("cos") * 1e12).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.coalesce("mb", F.lit(1))).over(nearer), F.lit(0)) + F.when(F.col("cos") < 1.0, F.coalesce("ma", F.lit(1)) - 1).otherwise(0)
+    linked = first.withColumn("before", before).filter(F.col("before") < top).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     # the limit is applied before the shuffle, so a class of many copies doesn't come to one task
     heads = members.withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("chunk_id"))).filter(F.col("r") <= EXPAND).drop("r")
     later = members.join(heads, ["class_id", "chunk_id"], "left_anti")
     # copies of one vector are as near as can be
-    same = size.filter("m > 1").select(F.col("class_id").alias("x"), F.col("class_id").alias("y"))
+    same = copied.select(F.col("class_id").alias("x"), F.col("class_id").alias("y"))
     links = stored(linked.unionByName(same), "links")
     side = lambda m, c, n: m.select(F.col("class_id").alias(c), F.col("chunk_id").alias(n))
     forth = links.join(side(heads, "x", "i"), "x").join(side(members, "y", "j"), "y").select("i", "j")
@@ -579,11 +606,11 @@ def similar_pairs(embeddings: DataFrame, least: float = 0.9, top: int = TOP) ->
 
 
 def copies(embeddings: DataFrame) -> DataFrame:
-    """(class_id, chunk_id, copies): the chunks of each vector that several chunks of a model have."""
-    _, members = distinct_vectors(embeddings)
-    members = stored(members, "members")
-    many = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return members.join(many, "class_id").select("class_id", "chunk_id", "copies")
+    """(provider, model_id, first_chunk_id, chunk_id, copies): the chunks of each vector that several chunks of a model
+    have; a vector is named by the first of its chunks."""
+    members = stored(keyed(embeddings).select("provider", "model_id", "class_id", "chunk_id").distinct(), "members")
+    many = members.groupBy("class_id").agg(F.min("chunk_id").alias("first_chunk_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return members.join(many, "class_id").select("provider", "model_id", "first_chunk_id", "chunk_id", "copies")
 
 
 def nearest(embeddings: DataFrame, top: int = TOP) -> DataFrame:

@@ -20,9 +20,6 @@ SQL = {
       r AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY c DESC) AS k FROM s)
       SELECT DISTINCT least(i, j) AS chunk_id_a, greatest(i, j) AS chunk_id_b FROM r WHERE k <= 5 AND c >= 0.9""",
     "p1_copies": f"""WITH {_USABLE},
-      ids AS (SELECT provider, model_id, dimensions, embedding, min(embedding_id) AS class_id FROM chunk_embeddings
-              WHERE chunk_id IS NOT NULL AND embedding_id IS NOT NULL AND embedding IS NOT NULL GROUP BY ALL),
-      g AS (SELECT provider, model_id, dimensions, raw, count(*) AS copies FROM v GROUP BY ALL HAVING count(*) > 1)
-      SELECT i.class_id, v.chunk_id, g.copies FROM g JOIN v USING (provider, model_id, dimensions, raw)
-      JOIN ids i ON i.provider = g.provider AND i.model_id = g.model_id AND i.dimensions = g.dimensions AND i.embedding = g.raw""",
+      g AS (SELECT provider, model_id, dimensions, raw, min(chunk_id) AS first_chunk_id, count(*) AS copies FROM v GROUP BY ALL HAVING count(*) > 1)
+      SELECT provider, model_id, g.first_chunk_id, v.chunk_id, g.copies FROM g JOIN v USING (provider, model_id, dimensions, raw)""",
 }
