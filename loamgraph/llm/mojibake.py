@@ -32,21 +32,29 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "iso8859-15", "koi8-r", "cp866")
+#: Pages by what they were made for; a text is written with a page of its script and read with any other page.
+WESTERN = ("cp1252", "mac_roman", "cp850")
+CENTRAL = ("cp1250", "iso8859-2", "cp852")
+CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
 #: Single-byte swaps: written with the first, read with the second.
-SWAPS = tuple((a, b) for a in ("cp1252", "mac_roman", "cp850") for b in ("mac_roman", "cp850", "cp437", "cp1252", "cp1251") if a != b)
+SWAPS = (
+    *((a, b) for a in WESTERN for b in ("mac_roman", "cp850", "cp437", "cp1252", "cp1251") if a != b),
+    *((a, b) for a in CENTRAL for b in (*CENTRAL, "cp1252") if a != b),
+    *((a, b) for a in CYRILLIC for b in (*CYRILLIC, "cp1252", "latin-1", "mac_roman", "cp437", "cp850") if a != b),
+)
 REPLACED = "�"
 RUN = re.compile(r"[^\x00-\x7f]+")
 CODE = re.compile(r"```.*?(?:```|\Z)|``[^\n]*?``|`[^`\n]*`", re.S)
-MAX_ROUNDS = 4
 EM_ROUNDS = 25
 #: Log-likelihood that a page-for-page reading must gain in its place.
 LEAST_GAIN = 3.0
-#: The language model has the letters and marks of Latin text only, which bounds its size (about 450 x 580 pairs).
+#: The language model has the letters of Latin and Cyrillic and the marks of such texts, which bounds its size (about 550
+#: x 680 pairs).  What has other letters is judged by its form as UTF-8 only.
 _MARKS = set("‘’‚“”„–—…•‹›€«»¿¡§°·´¨ºª©®™\xa0½¼¾²³¹×÷±")
 
 
 def _in_model(c: str) -> bool:
-    return c < "\x80" or c in _MARKS or "À" <= c <= "ɏ" and c.isalpha()
+    return c < "\x80" or c in _MARKS or "À" <= c <= "ɏ" and c.isalpha() or "Ѐ" <= c <= "ӿ" and c.isalpha()
 
 
 def _latin(c: str) -> bool:
@@ -71,7 +79,7 @@ def readings(unit: str) -> tuple[tuple[str, str], ...]:
     """(reading, how) of what the unit could have been: UTF-8 read as a code page, once or repeatedly; page for page."""
     out: dict[str, str] = {}
     now = {unit: ""}
-    for _ in range(MAX_ROUNDS):
+    while now:  # every round makes the text shorter
         nxt: dict[str, str] = {}
         for text, how in now.items():
             for page in PAGES:
@@ -84,22 +92,23 @@ def readings(unit: str) -> tuple[tuple[str, str], ...]:
                     continue
                 if plain != text and len(plain) < len(text):
                     nxt.setdefault(plain, f"{how}utf-8 as {page};")
-        if not nxt:
-            break
         for k, v in nxt.items():
             out.setdefault(k, v)
         now = nxt
-    if len(unit) <= 4:
-        for wrote, read in SWAPS:
-            raw = _encode(unit, read)
-            if raw is None:
-                continue
-            try:
-                plain = raw.decode(wrote)
-            except UnicodeDecodeError:
-                continue
-            if plain != unit and all(_in_model(c) and not unicodedata.category(c).startswith("C") for c in plain):
-                out.setdefault(plain, f"{wrote} as {read};")
+    for wrote, read in SWAPS:
+        raw = _encode(unit, read)
+        if raw is None:
+            continue
+        try:
+            plain = raw.decode(wrote)
+        except UnicodeDecodeError:
+            continue
+        if plain == unit or not all(_in_model(c) and not unicodedata.category(c).startswith("C") for c in plain):
+            continue
+        # another script is only read into what has known letters and marks only, and only as letters of it
+        if wrote in CYRILLIC and not (all(_in_model(c) for c in unit) and all("Ѐ" <= c <= "ӿ" for c in plain)):
+            continue
+        out.setdefault(plain, f"{wrote} as {read};")
     out.pop(unit, None)
     return tuple(out.items())
 
@@ -125,11 +134,27 @@ def units(text: str) -> Iterator[tuple[int, str, str, str]]:
             yield from _parts(m.start(), run, left, right)
 
 
+def _longest(text: str) -> int:
+    """Characters of the longest beginning that is UTF-8 read as a code page."""
+    best = 1
+    for page in PAGES:
+        end = next((i for i, c in enumerate(text) if _encode(c, page) is None), len(text))
+        raw = _encode(text[:end], page) or b""
+        try:
+            good = raw.decode("utf-8")
+        except UnicodeDecodeError as e:
+            good = raw[: e.start].decode("utf-8")
+            end = e.start
+        if len(good) < end:
+            best = max(best, end)
+    return best
+
+
 def _parts(at: int, run: str, left: str, right: str) -> Iterator[tuple[int, str, str, str]]:
     """Parts of a run that is not wholly readable: the longest readable piece from each place, else the character."""
     i = 0
     while i < len(run):
-        size = next((n for n in range(min(len(run) - i, 12), 1, -1) if (i or n < len(run)) and any(_is_utf8(h) for _, h in readings(run[i : i + n]))), 1)
+        size = _longest(run[i:])
         yield at + i, run[i : i + size], run[i - 1] if i else left, run[i + size] if i + size < len(run) else right
         i += size
 
@@ -148,30 +173,33 @@ def _counts(source: str, text: str) -> tuple[Counter, Counter]:
     return pairs, seen
 
 
-def gather(documents: DataFrame) -> DataFrame:
-    """(kind, source, a, b, c, n): counts over all documents."""
+def scanned(documents: DataFrame) -> DataFrame:
+    """(kind, doc_id, source, a, b, c, n), in one pass over all texts: L letters, B bigrams, and U for every document its
+    units that have another reading, with their contexts (and the mark of lost characters)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             total: Counter = Counter()
-            for source, text in zip(b.source, b.text):
+            rows = []
+            for doc, source, text in zip(b.doc_id, b.source, b.text):
                 if text.isascii():
                     for c, n in Counter(text).items():
-                        total["L", "", c, "", ""] += n
+                        total["L", c, ""] += n
                     continue
                 for c, n in Counter(visible(text)).items():
                     if _in_model(c):
-                        total["L", "", c, "", ""] += n
+                        total["L", c, ""] += n
                 pairs, seen = _counts(source, text)
                 for (x, y), n in pairs.items():
                     if _in_model(x) and _in_model(y):
-                        total["B", "", x, y, ""] += n
-                for (u, le, r), n in seen.items():
-                    total["U", source, u, le, r] += n
-            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "source", "a", "b", "c", "n"])
+                        total["B", x, y] += n
+                if REPLACED in visible(text):
+                    rows.append(("U", doc, source, REPLACED, "", "", 1))
+                rows += [("U", doc, source, u, le, r, n) for (u, le, r), n in seen.items()]
+            yield pd.DataFrame([*rows, *((k, None, "", x, y, "", n) for (k, x, y), n in total.items())], columns=["kind", "doc_id", "source", "a", "b", "c", "n"]).astype({"doc_id": "Int64"})
 
-    rows = documents.filter("text is not null").select(F.coalesce("source", F.lit("")).alias("source"), "text")
-    return rows.mapInPandas(run, "kind string, source string, a string, b string, c string, n long").groupBy("kind", "source", "a", "b", "c").agg(F.sum("n").alias("n"))
+    rows = documents.filter("text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    return rows.mapInPandas(run, "kind string, doc_id long, source string, a string, b string, c string, n long")
 
 
 class Language:
@@ -215,9 +243,9 @@ def learn(unit: str, contexts: list[tuple[str, str, int]], lm: Language) -> list
     return [(x, h, t) for (x, h), t in zip(options, theta)]
 
 
-def mapping(counts: DataFrame) -> DataFrame:
+def mapping(seen: DataFrame) -> DataFrame:
     """(source, unit, left, right, reading, how, gain): every context in which a unit is read as something else."""
-    lm = counts.filter("kind in ('L', 'B')").select("kind", "a", "b", "n").collect()  # bounded by the model's alphabet
+    lm = seen.filter("kind in ('L', 'B')").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # bounded by the model's alphabet
     letters = {r.a: r.n for r in lm if r.kind == "L"}
     pairs = {(r.a, r.b): r.n for r in lm if r.kind == "B"}
 
@@ -233,35 +261,15 @@ def mapping(counts: DataFrame) -> DataFrame:
             best = max(range(len(options)), key=values.__getitem__)
             # a lone symbol between spaces, or a word of another script, is no evidence; a lone symbol is read so where
             # the document is garbled in the same way
-            lone = not (_is_utf8(options[best][1]) or _latin(le) or _latin(r))
+            lone = not (_is_utf8(options[best][1]) or _latin(le) or _latin(r) or len(options[best][0]) > 2 and options[best][1].split(" ")[0] in CYRILLIC)
             if best and (_is_utf8(options[best][1]) or values[best] - values[0] >= LEAST_GAIN):
                 rows.append((source, unit, le, r, options[best][0], options[best][1], values[best] - values[0], lone))
         return pd.DataFrame(rows, columns=["source", "unit", "left", "right", "reading", "how", "gain", "lone"])
 
-    return (
-        counts.filter("kind = 'U'")
-        .groupBy("source", "a")
-        .applyInPandas(run, "source string, unit string, left string, right string, reading string, how string, gain double, lone boolean")
-    )
-
-
-def occurrences(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, unit, left, right, n, replaced): every unit of every document that has another reading."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, source, text in zip(b.doc_id, b.source, b.text):
-                if text.isascii():
-                    continue
-                if REPLACED in visible(text):
-                    rows.append((doc, source, REPLACED, "", "", 1))
-                for (u, le, r), n in Counter((u, le, r) for _, u, le, r in units(text) if readings(u)).items():
-                    rows.append((doc, source, u, le, r, n))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "unit", "left", "right", "n"])
-
-    rows = documents.filter("text is not null and doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    return rows.mapInPandas(run, "doc_id long, source string, unit string, left string, right string, n long")
+    counts = seen.filter((F.col("kind") == "U") & (F.col("a") != REPLACED)).groupBy("source", "a", "b", "c").agg(F.sum("n").alias("n"))
+    # by number: put together by size, one task would learn everything
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.repartition(parts, "source", "a").groupBy("source", "a").applyInPandas(run, "source string, unit string, left string, right string, reading string, how string, gain double, lone boolean")
 
 
 #: Log-likelihood that a document's page-for-page units must gain together.
@@ -271,31 +279,73 @@ UTF8_GAIN = 0.0
 
 def evidence(documents: DataFrame) -> DataFrame:
     """(doc_id, readings): garbled documents with the readings to apply, null where nothing can be restored."""
-    counts = stored(gather(documents), "encoding-counts")
-    learned = stored(mapping(counts), "encoding-map")
-    at = occurrences(documents)
+    seen = stored(scanned(documents), "encoding-units")
+    learned = stored(mapping(seen), "encoding-map")
+    at = seen.filter("kind = 'U' and doc_id is not null").select("doc_id", "source", F.col("a").alias("unit"), F.col("b").alias("left"), F.col("c").alias("right"), "n").dropDuplicates(["doc_id", "unit", "left", "right"])
     key = ["source", "unit", "left", "right"]
     known = at.join(learned, key, "left").filter((F.col("unit") == REPLACED) | F.col("reading").isNotNull())
     utf8 = F.col("how").startswith("utf-8 as")
     per_doc = known.groupBy("doc_id").agg(
         F.max((F.col("unit") == REPLACED).cast("int")).alias("lost"),
         F.max(F.when(utf8, F.col("gain"))).alias("utf8"),
-        F.sum(F.when(~utf8 & ~F.col("lone"), F.col("gain") * F.least("n", F.lit(3)))).alias("swap"),
+        F.sum(F.when(~utf8 & ~F.col("lone"), F.col("gain") * (1 + F.log2("n")))).alias("swap"),
         # one row per distinct unit and context of the document
         F.collect_list(F.when(F.col("reading").isNotNull(), F.struct("unit", "left", "right", "reading", "how", "gain", "lone"))).alias("readings"),
     )
     return per_doc.filter((F.col("lost") == 1) | (F.col("utf8") > UTF8_GAIN) | (F.col("swap") > SWAP_GAIN))
 
 
-def restore(text: str, table: dict[tuple[str, str, str], str]) -> str:
-    """Apply the learned readings place by place, then what is single characters with translate()."""
+@functools.lru_cache(maxsize=256)
+def page_cipher(how: str) -> dict[int, str]:
+    """The whole mapping of characters of a page-for-page swap."""
+    wrote, read = how.rstrip(";").split(" as ")
+    out = {}
+    for byte in range(0x80, 0x100):
+        try:
+            wrong, right = bytes([byte]).decode(read), bytes([byte]).decode(wrote)
+        except UnicodeDecodeError:
+            continue
+        if wrong != right:
+            out[ord(wrong)] = right
+    return out
+
+
+def translated(text: str, cipher: dict[int, str]) -> str:
+    """The text outside code, translated."""
     out, at = [], 0
+    for m in CODE.finditer(text):
+        out += [text[at : m.start()].translate(cipher), m.group()]
+        at = m.end()
+    return "".join(out) + text[at:].translate(cipher)
+
+
+def restore(text: str, table: dict[tuple[str, str, str], str]) -> str:
+    """Apply the learned readings outside code: single characters that the document always reads alike with translate(),
+    the rest place by place."""
+    spans, ways = [], {}
     for place, unit, le, r in units(text):
         reading = table.get((unit, le, r))
-        if reading is not None and place >= at:
-            out += [text[at:place], reading]
+        if len(unit) == 1:
+            ways.setdefault(unit, set()).add(reading)
+        if reading is not None:
+            spans.append((place, unit, reading))
+    cipher = str.maketrans({u: next(iter(w)) for u, w in ways.items() if len(w) == 1 and None not in w})
+    keep = [m.span() for m in CODE.finditer(text)] if cipher else []
+
+    def plain(a: int, b: int) -> str:
+        out = []
+        for x, y in keep:
+            if y > a and x < b:
+                out += [text[a : max(a, x)].translate(cipher), text[max(a, x) : min(b, y)]]
+                a = min(b, y)
+        return "".join(out) + text[a:b].translate(cipher)
+
+    out, at = [], 0
+    for place, unit, reading in spans:
+        if place >= at and not (len(unit) == 1 and ord(unit) in cipher):
+            out += [plain(at, place), reading]
             at = place + len(unit)
-    return "".join(out) + text[at:]
+    return "".join(out) + plain(at, len(text))
 
 
 def garbled(documents: DataFrame) -> DataFrame:
@@ -311,7 +361,13 @@ def garbled(documents: DataFrame) -> DataFrame:
                 use = [x for x in use if not x["lone"] or x["how"] in sure]
                 ok = {(x["unit"], x["left"], x["right"]): x["reading"] for x in use}
                 how.append(sorted({x["how"] for x in use} | ({"lost"} if lost else set())))
-                fixed.append(None if lost else restore(text, ok))
+                votes = Counter(x["how"] for x in use if not x["lone"])
+                most = max(votes, key=lambda h: (votes[h], h), default="")
+                if most.split(" ")[0] in CYRILLIC:  # in such a text every letter is of the page, words of one letter too
+                    fixed.append(None if lost else translated(text, page_cipher(most)))
+                    how[-1] = sorted({most} | ({"lost"} if lost else set()))
+                else:
+                    fixed.append(None if lost else restore(text, ok))
             yield pd.DataFrame({"doc_id": b.doc_id, "how": how, "restored": fixed})
 
     return rows.select("doc_id", "text", "lost", "readings").mapInPandas(run, "doc_id long, how array<string>, restored string")
