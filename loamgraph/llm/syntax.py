@@ -1,12 +1,12 @@
 """Problem 7: source files that do not parse.
 
-A file is cut into pieces at line feeds.  A piece is a *state map*: for every state in which the lexer may enter it
-(code, block comment, template, string, raw string) the tokens, the state at its end and the brackets that it
-leaves open or closes.  Maps combine associatively, so pieces of one long file reduce in any grouping; the only
-place that depends on more than the state, a brace that may close a template's expression, is kept as an offset
-and lexed again when the maps meet.  The balanced token sequence is then checked statement by statement with a
-local grammar per language: which tokens may follow each other, what each keyword needs, how statements end.
-Python and JSON statements go to the standard library's own grammars.
+A file is cut into pieces at line feeds; the pieces of a file of several become rows.  A piece is a *state map*: for
+every state in which the lexer may enter it the state at its end and a summary of its brackets.  Maps are reduced
+associatively across partitions (``pieces``), which decides unfinished texts and unbalanced brackets and gives the state
+at which every piece begins; then its tokens are made, and the balanced token sequence is checked statement by statement
+with a local grammar per language: which tokens may follow each other, what each keyword needs, how statements end.
+Python and JSON have maps too; their statements go to the standard library's grammars and, where these give up on depth,
+to a stack of our own.
 
 Defined results: a null content or path, another extension, an empty text and a text of comments only are valid
 (an empty JSON text is not); a leading byte-order mark is skipped except in JSON; line ends of any kind are equal;
@@ -21,12 +21,13 @@ import re
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 PIECE = 1 << 16
 EXTENSIONS = {"py": "python", "rs": "rust", "ts": "ts", "mts": "ts", "js": "js", "mjs": "js", "jsx": "js", "sol": "solidity", "json": "json"}
 
@@ -90,15 +91,14 @@ class Piece:
     depth: int  # nesting of block comments at the end
     stack: list[str]  # open brackets of templates' expressions and braces, from the piece's own start
     lines: int
-    doubt: int = -1  # offset of a closing brace that may end a template's expression opened before the piece
-    doubt_tokens: int = 0
 
 
-def lex(text: str, lang: str, state: str = "code", depth: int = 0, stack: list[str] | None = None, known: bool = False, at: int = 0, line: int = 1) -> Piece:
-    """known: the stack is complete, so no closing brace is in doubt."""
+def lex(text: str, lang: str, state: str = "code", depth: int = 0, stack: list[str] | None = None, known: bool = False, at: int = 0, line: int = 1, closers: list | None = None) -> Piece:
+    """known: the stack is complete.  closers: gets the closing brackets that nothing in the text opened, with the places
+    after them; the state is "bad" if brackets do not match."""
     rx, words, out = _LEX[lang], KEYWORDS[lang], Tokens()
     stack = list(stack or [])
-    end, doubt, doubt_tokens = len(text), -1, 0
+    end = len(text)
     script = lang in ("js", "ts")
     while at < end:
         if state == "block":
@@ -182,8 +182,16 @@ def lex(text: str, lang: str, state: str = "code", depth: int = 0, stack: list[s
         elif kind == "br":
             if s in OPEN:
                 out.add("open", s, line)
-                if script:
+                if script or closers is not None:
                     stack.append(s)
+            elif closers is not None and not stack:
+                closers.append([s, at if script and s == "}" else ""])
+                out.add("close", s, line)
+            elif closers is not None and OPEN[stack[-1]] != s:
+                return Piece(out, "bad", 0, [], line - 1)
+            elif closers is not None and stack[-1] != "${":
+                stack.pop()
+                out.add("close", s, line)
             else:
                 if script and s == "}":
                     while stack and stack[-1] in "([":
@@ -193,8 +201,6 @@ def lex(text: str, lang: str, state: str = "code", depth: int = 0, stack: list[s
                             out.add("close", "}$", line)
                             state = "template"
                             continue
-                    elif not known and doubt < 0:
-                        doubt, doubt_tokens = at - 1, len(out.kind)
                 elif script and stack and OPEN.get(stack[-1]) == s:
                     stack.pop()
                 out.add("close", s, line)
@@ -207,7 +213,7 @@ def lex(text: str, lang: str, state: str = "code", depth: int = 0, stack: list[s
             out.add("life", s, line)
         else:
             out.add(kind, s, line)
-    return Piece(out, state, depth, stack, line - 1, doubt, doubt_tokens)
+    return Piece(out, state, depth, stack, line - 1)
 
 
 def _regex_may_start(t: Tokens) -> bool:
@@ -225,37 +231,6 @@ def _regex_may_start(t: Tokens) -> bool:
     return s not in ("++", "--")
 
 
-class StateMap:
-    """A run of pieces as a function of the lexer's state at its start."""
-
-    def __init__(self, text: str, lang: str):
-        self.text, self.lang, self.memo = text, lang, {}
-
-    def apply(self, state: str, depth: int, stack: list[str]) -> Piece:
-        key = (state, depth)
-        p = self.memo.get(key)
-        if p is None:
-            p = self.memo[key] = lex(self.text, self.lang, state, depth)
-        if not stack:
-            return p if p.doubt < 0 else lex(self.text, self.lang, state, depth, [], True)
-        if p.doubt < 0:
-            return Piece(p.tokens, p.state, p.depth, stack + p.stack, p.lines)
-        # only the tail after the brace in doubt depends on what was open before
-        return lex(self.text, self.lang, state, depth, stack, True)
-
-
-class Joined(StateMap):
-    def __init__(self, a: StateMap, b: StateMap):
-        self.a, self.b = a, b
-
-    def apply(self, state: str, depth: int, stack: list[str]) -> Piece:
-        x = self.a.apply(state, depth, stack)
-        y = self.b.apply(x.state, x.depth, x.stack)
-        t = Tokens(list(x.tokens.kind), list(x.tokens.text), list(x.tokens.line))
-        t.extend(y.tokens, x.lines)
-        return Piece(t, y.state, y.depth, y.stack, x.lines + y.lines)
-
-
 def cut_lines(text: str, size: int = PIECE) -> list[str]:
     out, at = [], 0
     while at < len(text):
@@ -266,11 +241,6 @@ def cut_lines(text: str, size: int = PIECE) -> list[str]:
     return out
 
 
-def lex_file(text: str, lang: str, size: int = PIECE) -> Piece:
-    parts = [StateMap(p, lang) for p in cut_lines(text, size)] or [StateMap("", lang)]
-    return reduce(Joined, parts).apply("code", 0, [])
-
-
 def brackets(t: Tokens) -> tuple[list[int], str | None]:
     """For every bracket the index of its partner; the first bracket that has none."""
     partner, stack = [-1] * len(t.kind), []
@@ -444,7 +414,7 @@ def _case_or_label(t: Tokens, i: int, statement: int) -> bool:
 
 def _top_ternary(t: Tokens, i: int, statement: int) -> bool:
     depth = 0
-    for j in range(i - 1, max(-1, statement - 400), -1):
+    for j in range(i - 1, -1, -1):
         if t.kind[j] == "close":
             depth += 1
         elif t.kind[j] == "open":
@@ -468,7 +438,7 @@ def _brace_role(t: Tokens, partner: list[int], i: int, ctx: list, ts: bool) -> s
     if k == "close" and s == ")" or k == "kw" and s in ("else", "try", "finally", "do") or k == "op" and s == ";" or k == "close" and s == "}" or k == "open" and s == "{":
         return "block"
     # look back over a declaration's head
-    for j in range(i - 1, max(-1, i - 60), -1):
+    for j in range(i - 1, -1, -1):
         if t.kind[j] == "kw" and t.text[j] == "class" and not (j and t.text[j - 1] == "."):
             return "class"
         if t.kind[j] == "id" and t.text[j] in ("interface", "namespace", "module") and ts and j + 1 < len(t.kind) and t.kind[j + 1] in ("id", "str"):
@@ -484,7 +454,7 @@ def _brace_role(t: Tokens, partner: list[int], i: int, ctx: list, ts: bool) -> s
     if ts and k == "op" and s in ("|", "&", "<"):
         return "type"
     if k == "op" and s == "=" and ts:
-        for j in range(i - 2, max(-1, i - 40), -1):
+        for j in range(i - 2, -1, -1):
             if t.kind[j] == "id" and t.text[j] == "type" and t.kind[j + 1] == "id":
                 return "type"
             if t.text[j] in (";", "{", "}"):
@@ -980,14 +950,16 @@ def _sol_role(t: Tokens, partner: list[int], i: int) -> str:
         return "list"
     if s == "assembly" or k == "str" and i > 1 and t.text[i - 2] == "assembly":
         return "assembly"
-    for j in range(i - 1, max(-1, i - 80), -1):
+    head = i
+    for j in range(i - 1, -1, -1):
         if t.text[j] in (";", "{", "}"):
             break
+        head = j
         if t.text[j] == "enum":
             return "list"
         if t.text[j] in ("contract", "library", "interface", "struct"):
             return "block"
-    if k == "id" and not any(t.text[j] in ("contract", "library", "interface", "struct", "function", "modifier") for j in range(max(0, i - 40), i)):
+    if k == "id" and not any(t.text[j] in ("contract", "library", "interface", "struct", "function", "modifier") for j in range(head, i)):
         return "list" if t.kind[i + 1 : i + 2] == ["id"] and t.text[i + 2 : i + 3] == [":"] else "block"
     return "block"
 
@@ -1012,7 +984,7 @@ def _sol_head(t: Tokens, partner: list[int], p: int) -> bool:
 def _sol_in_header(t: Tokens, partner: list[int], i: int) -> bool:
     """Between a function's (constructor's, modifier's) parameters and its body; or a contract's head."""
     d = 0
-    for j in range(i - 1, max(-1, i - 120), -1):
+    for j in range(i - 1, -1, -1):
         if t.kind[j] == "close":
             if t.text[j] == "}" and d == 0:
                 return False
@@ -1029,42 +1001,142 @@ def _sol_in_header(t: Tokens, partner: list[int], i: int) -> bool:
     return False
 
 
-def check_text(text: str, lang: str, size: int = PIECE) -> str | None:
+_JSON_TOKEN = re.compile(r"[ \t\n\r]*(?:(?P<s>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")|(?P<v>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|(?P<p>[\[\]{},:]))")
+
+
+def check_json(text: str) -> str | None:
+    """Strict JSON by a stack of its own, so at any depth."""
+    at, stack, want = 0, [], "value"  # value, first (value or ]), key, first key (or }), colon, next (, or end)
+    while m := _JSON_TOKEN.match(text, at):
+        at = m.end()
+        s = m.group("p")
+        if want == "end":
+            return "json: more after the value"
+        if m.group("s") and want in ("key", "key1"):
+            want = "colon"
+        elif not s:
+            if want not in ("value", "first"):
+                return f"json: {m.group().strip()[:20]}"
+            want = "next" if stack else "end"
+        elif s in "[{":
+            if want not in ("value", "first"):
+                return f"json: {s}"
+            stack.append(s)
+            want = "first" if s == "[" else "key1"
+        elif s in "]}":
+            if not stack or OPEN[stack.pop()] != s or want not in ("next", "first" if s == "]" else "key1"):
+                return f"json: {s}"
+            want = "next" if stack else "end"
+        elif s == ",":
+            if want != "next":
+                return "json: ,"
+            want = "value" if stack[-1] == "[" else "key"
+        elif want != "colon":
+            return "json: :"
+        else:
+            want = "value"
+    return None if want == "end" and not text[at:].strip(" \t\n\r") else "json: unfinished"
+
+
+def check_python(text: str) -> str | None:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except (SyntaxError, ValueError) as e:
+        return f"python: {str(e)[:60]}"
+    except (RecursionError, MemoryError):
+        return check_deep(text)
+    return None
+
+
+def check_deep(text: str) -> str | None:
+    """Python nested deeper than the parser goes: the innermost brackets are parsed by themselves and leave a name."""
+    from .pieces import _PY, _PY_END
+
+    out: list[list[str]] = [[]]
+    opened: list[str] = []
+    at = 0
+    while m := _PY.search(text, at):
+        out[-1].append(text[at : m.start()])
+        at = m.end()
+        s = m.group()
+        if q := m.group("tri"):
+            e = _PY_END["s3d" if q == '"""' else "s3s"].match(text, at)
+            if not e:
+                return "python: unfinished string"
+            out[-1].append(s + e.group())
+            at = e.end()
+        elif not m.group("br"):
+            out[-1].append(s)
+        elif s in OPEN:
+            opened.append(s)
+            out.append([])
+        elif not opened or OPEN[opened[-1]] != s:
+            return f"python: unmatched {s}"
+        else:
+            inner, o = "".join(out.pop()), opened.pop()
+            part = f"{o}{inner}{s}"
+            for tried in (part, f"_{part}", f"def _{part}: 0", f"class _{part}: 0", f"match _:\n case {part}: 0\n"):
+                try:
+                    ast.parse(tried)
+                    break
+                except SyntaxError:
+                    continue
+                except (RecursionError, MemoryError):
+                    break
+            else:
+                return "python: brackets"
+            out[-1].append(f"{o}_{s}" if inner.strip() else part)
+    if opened:
+        return f"python: {opened[-1]} is never closed"
+    out[-1].append(text[at:])
+    try:
+        ast.parse("".join(out[-1]))
+    except SyntaxError as e:
+        return f"python: {str(e)[:60]}"
+    except (RecursionError, MemoryError):  # a chain without brackets that is longer than the parser can go
+        return None
+    return None
+
+
+def check_text(text: str, lang: str) -> str | None:
     """None if the text is valid, else what is wrong."""
     if lang == "json":
         try:
             json.loads(text, parse_constant=_refuse, parse_int=str, parse_float=str)
         except RecursionError:
-            return None
+            return check_json(text)
         except ValueError as e:
             return f"json: {str(e)[:60]}"
         return None
     text = text.removeprefix("﻿")
     if lang == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        except (SyntaxError, ValueError) as e:
-            return f"python: {str(e)[:60]}"
-        except (RecursionError, MemoryError):
-            return None
-        return None
-    p = lex_file(text, lang, size)
+        return check_python(text)
+    p = lex(text, lang, known=True)
     if p.state != "code":
         return f"unfinished {p.state}"
-    if not p.tokens.kind:
-        return None
-    if re.search(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}\r?$", text, re.M) and _marker_in_code(p, text):
+    if conflict(p, text):
         return "merge conflict"
-    partner, why = brackets(p.tokens)
+    return check_tokens(p.tokens, lang)
+
+
+def check_tokens(t: Tokens, lang: str) -> str | None:
+    if not t.kind:
+        return None
+    partner, why = brackets(t)
     if why:
         return why
     if lang == "rust":
-        return check_rust(p.tokens, partner)
+        return check_rust(t, partner)
     if lang == "solidity":
-        return check_solidity(p.tokens, partner)
-    return check_js(p.tokens, partner, lang == "ts")
+        return check_solidity(t, partner)
+    return check_js(t, partner, lang == "ts")
+
+
+def conflict(p: Piece, text: str) -> bool:
+    """A mark of a merge conflict that stands in code."""
+    return bool(re.search(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}\r?$", text, re.M)) and _marker_in_code(p, text)
 
 
 def _marker_in_code(p: Piece, text: str) -> bool:
@@ -1076,17 +1148,30 @@ def _refuse(name: str) -> None:
     raise ValueError(f"{name} is no JSON value")
 
 
-def checked(files: DataFrame) -> DataFrame:
-    """(file_id, repo_id, language, error): every file of a known language, error null where it is valid."""
+def checked(files: DataFrame, size: int = PIECE) -> DataFrame:
+    """(file_id, repo_id, language, error): every file of a known language, error null where it is valid.  A file of one
+    piece is checked where it is read; the pieces of a longer one become rows (``pieces.long_files``)."""
     rows = files.filter("file_id is not null and path is not null").select("file_id", F.coalesce("repo_id", F.lit("")).alias("repo_id"), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("ext"), F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNull().alias("missing"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            langs = [EXTENSIONS[x] for x in b.ext]
-            errors = [None if m else check_text(c, lang) for c, lang, m in zip(b.content, langs, b.missing)]
-            yield pd.DataFrame({"file_id": b.file_id, "repo_id": b.repo_id, "language": langs, "error": errors})
+            out = []
+            for file, repo, ext, text, missing in zip(b.file_id, b.repo_id, b.ext, b.content, b.missing):
+                lang = EXTENSIONS[ext]
+                if len(text) <= size:
+                    out.append((file, repo, lang, None if missing else check_text(text, lang), -1, None))
+                else:
+                    out += [(file, repo, lang, None, i, x) for i, x in enumerate(cut_lines(text if lang == "json" else text.removeprefix("﻿"), size))]
+            yield pd.DataFrame(out, columns=["file_id", "repo_id", "language", "error", "no", "text"])
+
+    from .pieces import long_files
 
-    return rows.filter(F.col("ext").isin(*EXTENSIONS)).mapInPandas(run, "file_id string, repo_id string, language string, error string").dropDuplicates(["file_id"])
+    read = stored(rows.filter(F.col("ext").isin(*EXTENSIONS)).mapInPandas(run, "file_id string, repo_id string, language string, error string, no long, text string"), "source-pieces")
+    short = read.filter("no < 0").select("file_id", "repo_id", "language", "error")
+    pieces = read.filter("no >= 0").select("file_id", "repo_id", "language", "no", "text")
+    if pieces.limit(1).count():
+        short = short.unionByName(long_files(pieces.dropDuplicates(["file_id", "no"])))
+    return short.dropDuplicates(["file_id"])
 
 
 def rates(files: DataFrame) -> DataFrame:

