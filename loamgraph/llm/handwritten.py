@@ -3,9 +3,10 @@
 Merkle hashes are computed bottom-up over the directory trees of all repositories: a file's hash is that of its
 text, a directory's combines the names and hashes of its children by sums, so that every level is a partial
 aggregation and no directory's children are ever gathered.  Leaves found among the known library files are
-third-party copies wherever they lie; subtrees shared by unrelated repositories are reported (``shared_subtrees``).
-Shared content alone is no case, as short hand-written files recur too.  Headers, names, directories and layout
-mark generated, minified and data files.
+third-party copies wherever they lie.  A subtree that unrelated repositories share is vendored, with all its files, if
+there is a second ground for it: a library leaf, or another project's notice, directly in its root.  Shared content
+alone is no case, as short hand-written files recur too (``shared_subtrees`` reports them).  Headers, names, directories
+and layout mark generated, minified and data files.
 
 Defined results: a null path or content has no sign of its own; empty texts are only cases by their path; repeated
 rows count once; a repository without configuration skips nothing; other columns are ignored.
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 THIRD_PARTY_DIRS = {"vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "contrib", "node_modules", "bower_components", "jspm_packages", "site-packages"}
 GENERATED_DIRS = {"generated", "__generated__", "_generated", "gen", "autogen", "auto_generated", "generated-sources", "generated_src", "src-gen"}
@@ -104,23 +105,29 @@ def foreign_notice(text: str, own: str | None) -> bool:
     return False
 
 
-def is_minified(text: str, ext: str) -> bool:
-    if ext not in SCRIPT or len(text) < 200:
-        return False
-    lines = [x for x in text.splitlines() if x.strip()]
-    code = [x for x in lines if not _COMMENT_LINE.match(x)]
-    if not code:
-        return False
-    total = sum(map(len, code))
-    long_ = [x for x in code if len(x) > 200]
-    if sum(map(len, long_)) < 0.6 * total:
-        return False
-    body = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`", "''", "".join(long_))
-    if len(body) < 0.5 * sum(map(len, long_)):  # mostly strings: data, not script
+_STRING = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`")
+
+
+def _packed(line: str) -> bool:
+    """A line of script that holds several statements with next to no space between them."""
+    body = _STRING.sub("''", line)
+    if len(body) < 0.5 * len(line):  # mostly strings: data, not script
         return False
     spaces = body.count(" ") / len(body)
-    marks = sum(body.count(c) for c in "{}();=,") / len(body)
-    return spaces < 0.12 and marks > 0.12
+    marks = sum(body.count(c) for c in "{}();=,")
+    return spaces < 0.12 and marks > 0.12 * len(body) and body.count(";") + body.count("{") + body.count(",") >= PACKED
+
+
+#: Ends of statements, blocks and list items on one line that make it packed.
+PACKED = 6
+
+
+def is_minified(text: str, ext: str) -> bool:
+    """Most of the script stands in packed lines."""
+    if ext not in SCRIPT:
+        return False
+    code = [x for x in text.splitlines() if x.strip() and not _COMMENT_LINE.match(x)]
+    return sum(len(x) for x in code if _packed(x)) >= 0.6 * sum(map(len, code)) > 0
 
 
 _BLOB = re.compile(r"[A-Za-z0-9+/=_\-\\]{24,}")
@@ -129,20 +136,16 @@ _NUMBER = re.compile(r"[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)
 
 def is_data(text: str) -> bool:
     """Essentially one block of numbers or encoded bytes."""
-    if len(text) < 300:
-        return False
     body = re.sub(r"/\*.*?\*/", " ", text, flags=re.S)
     body = "\n".join(x for x in body.splitlines() if not _COMMENT_LINE.match(x))
     solid = len(re.sub(r"\s+", "", body))
-    if solid < 300:
+    if not solid:
         return False
     blob = 0
     for m in re.finditer(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`", body):
         s = m.group(1) or m.group(2) or m.group(3) or ""
         if _BLOB.fullmatch(re.sub(r"\s+", "", s)) and " " not in s.strip():
             blob += len(s) + 2
-        elif len(s) > 200 and " " not in s:
-            blob += len(s)
     numbers = 0
     for m in re.finditer(r"[\[({]((?:\s*" + _NUMBER.pattern + r"){24,})\s*[\])}]?", body):
         numbers += len(re.sub(r"\s+", "", m.group(1)))
@@ -172,60 +175,85 @@ def _text_hash() -> Column:
     return F.sha2(F.coalesce("content", F.lit("")), 256)
 
 
-def machine_files(files: DataFrame, config: DataFrame, libraries: DataFrame, repositories: DataFrame) -> DataFrame:
+def machine_files(files: DataFrame, config: DataFrame, libraries: DataFrame, repositories: DataFrame, least_repositories: int = 2) -> DataFrame:
     """(file_id, repo_id, path, signs): every file with a sign that it is not hand-written here."""
     base = files.filter("file_id is not null").select("file_id", "repo_id", "path", "content")
-    known = libraries.filter("content_hash is not null").select(F.lower("content_hash").alias("leaf")).distinct().withColumn("known", F.lit(True))
     skip = config.groupBy("repo_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("skip_dirs", F.array().cast("array<string>"))))).alias("skip"))
     own = repositories.groupBy("repo_id").agg(F.min("name").alias("own"))
     dirs = F.split("path", "/")
     dirs = F.slice(dirs, F.lit(1), F.greatest(F.size(dirs) - 1, F.lit(0)))
     rows = (
         base.withColumn("leaf", _text_hash())
-        .join(known, "leaf", "left")
         .join(skip, "repo_id", "left")
         .join(own, "repo_id", "left")
-        .select("file_id", "repo_id", "path", "content", "own", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce(F.arrays_overlap("skip", dirs), F.lit(False)).alias("skipped"))
+        .select("file_id", "repo_id", "path", "content", "own", "leaf", F.coalesce(F.arrays_overlap("skip", dirs), F.lit(False)).alias("skipped"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for path, text, own, known, skipped in zip(b.path, b.content, b.own, b.known, b.skipped):
-                found.append(["skipped_dir"] * bool(skipped) + ["library"] * bool(known) + signs(path, text, own))
-            out = pd.DataFrame({"file_id": b.file_id, "repo_id": b.repo_id, "path": b.path, "signs": found})
-            yield out[out.signs.map(len) > 0]
+            found = [["skipped_dir"] * bool(skipped) + signs(path, text, own) for path, text, own, skipped in zip(b.path, b.content, b.own, b.skipped)]
+            notice = [foreign_notice(text or "", own) for text, own in zip(b.content, b.own)]
+            yield pd.DataFrame({"file_id": b.file_id, "repo_id": b.repo_id, "path": b.path, "leaf": b.leaf, "notice": notice, "signs": found})
 
-    return rows.mapInPandas(run, "file_id string, repo_id string, path string, signs array<string>").dropDuplicates(["file_id"])
+    # what the texts are needed for, read once: from here on a file is its hash and its signs
+    seen = stored(rows.mapInPandas(run, "file_id string, repo_id string, path string, leaf string, notice boolean, signs array<string>"), "file-signs")
+    known = libraries.filter("content_hash is not null").select(F.lower("content_hash").alias("leaf")).distinct().withColumn("known", F.lit(True))
+    seen = seen.join(known, "leaf", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    tree = _tree(seen.select("repo_id", "path", F.col("leaf").alias("hash")))
+    shared = tree.filter("path <> '' and not is_file").groupBy("hash").agg(F.countDistinct("repo_id").alias("n")).filter(F.col("n") >= least_repositories).select("hash")
+    places = tree.filter("path <> '' and not is_file").join(shared, "hash").select("repo_id", F.col("path").alias("root"), "hash")
+    parent = F.regexp_replace("path", r"/?[^/]*$", "")
+    ground = seen.filter("known or notice").select("repo_id", parent.alias("root")).join(places, ["repo_id", "root"]).select("hash").distinct()
+    vendored = places.join(ground, "hash").select("repo_id", "root").distinct().withColumn("vendored", F.lit(True))
+    # every directory above a file
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.concat_ws("/", F.slice(F.split("path", "/"), F.lit(1), i)))
+    under = seen.filter("repo_id is not null and path like '%/%'").select("file_id", "repo_id", F.explode(above).alias("root")).join(vendored, ["repo_id", "root"]).select("file_id").distinct().withColumn("vendored", F.lit(True))
+    sign = lambda c, name: F.when(F.col(c), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    return (
+        seen.join(under, "file_id", "left")
+        .select("file_id", "repo_id", "path", F.concat("signs", sign("known", "library"), sign("vendored", "vendored_subtree")).alias("signs"))
+        .filter(F.size("signs") > 0)
+        .dropDuplicates(["file_id"])
+    )
 
 
 def merkle_tree(files: DataFrame) -> DataFrame:
     """(repo_id, path, depth, files, hash): every file and directory with the hash of its subtree; '' is the root."""
+    return _tree(files.select("repo_id", "path", _text_hash().alias("hash"))).drop("is_file")
+
+
+def _tree(hashed: DataFrame) -> DataFrame:
+    """The tree over (repo_id, path, hash) of files."""
     leaves = (
-        files.filter("repo_id is not null and path is not null")
-        .select("repo_id", "path", _text_hash().alias("hash"))
-        .distinct()
+        hashed.filter("repo_id is not null and path is not null")
         .groupBy("repo_id", "path")
         .agg(F.max("hash").alias("hash"))
         .withColumn("depth", F.size(F.split("path", "/")))
         .withColumn("files", F.lit(1).cast("long"))
     )
-    done = cut(leaves.select("repo_id", "path", "depth", "files", "hash"))
-    deepest = done.agg(F.max("depth")).first()[0] or 0
-    level_all = done
+    columns = ["repo_id", "path", "depth", "files", "hash", "is_file"]
+    level_all = stored(leaves.withColumn("is_file", F.lit(True)).select(columns), "tree")
+    deepest = level_all.agg(F.max("depth")).first()[0] or 0
+    levels = [level_all]
     for depth in range(deepest, 0, -1):
         name = F.element_at(F.split("path", "/"), -1)
         parts = [F.conv(F.substring(F.sha2(F.concat_ws("\0", name, F.col("hash")), 256), 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(4)]
         parent = F.regexp_replace("path", r"/?[^/]*$", "")
+        # the directories made last, and the files that lie beside them
+        here = levels[0].filter(F.col("depth") == depth)
+        if len(levels) > 1:
+            here = here.unionByName(levels[-1])
         up = (
-            level_all.filter(F.col("depth") == depth)
-            .select("repo_id", parent.alias("path"), "files", *[p.alias(f"s{i}") for i, p in enumerate(parts)])
+            here.select("repo_id", parent.alias("path"), "files", *[p.alias(f"s{i}") for i, p in enumerate(parts)])
             .groupBy("repo_id", "path")
             .agg(F.sum("files").alias("files"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)], F.count(F.lit(1)).alias("n"))
-            .select("repo_id", "path", F.lit(depth - 1).alias("depth"), "files", F.sha2(F.concat_ws("|", "n", "s0", "s1", "s2", "s3"), 256).alias("hash"))
+            .select("repo_id", "path", F.lit(depth - 1).alias("depth"), "files", F.sha2(F.concat_ws("|", "n", "s0", "s1", "s2", "s3"), 256).alias("hash"), F.lit(False).alias("is_file"))
         )
-        level_all = cut(level_all.unionByName(up))
-    return level_all
+        levels.append(stored(up, "tree"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def shared_subtrees(files: DataFrame, least_repositories: int = 2) -> DataFrame:

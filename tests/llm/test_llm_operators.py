@@ -170,3 +170,27 @@ def test_mojibake(spark):
     assert set(got) == {1000, 1001, 1002, 1003}
     assert got[1000] == good[0] and got[1001] == good[1] and got[1002] == good[1] and got[1003] is None
     assert mojibake.evidence(df.limit(0)).count() == 0
+
+
+def test_vendored_subtree(spark):
+    """Files that no other sign marks are third-party where unrelated repositories share their directory and a known
+    library file or another project's notice lies in its root."""
+    import hashlib
+
+    lib = "export function libcore(a) {\n  return a;\n}\n"
+    other = "export function helper(a) {\n  return a + 1;\n}\n"
+    rows = []
+    for repo in ("r1", "r2"):
+        rows += [(f"{repo}-lib", repo, "src/kit/core.js", lib), (f"{repo}-in", repo, "src/kit/more/util.js", other), (f"{repo}-own", repo, f"src/{repo}.js", f"let {repo} = 1;\n")]
+        rows += [(f"{repo}-same", repo, "src/plain/x.js", other)]  # shared, but no second ground
+    rows += [("r3-lib", "r3", "src/kit/core.js", lib), ("r3-in", "r3", "src/kit/more/util.js", other + "// changed\n"), rows[0], ("n", None, None, None), ("e", "r1", "", "")]
+    files = spark.createDataFrame(rows, "file_id string, repo_id string, path string, content string")
+    config = spark.createDataFrame([("r1", None)], "repo_id string, skip_dirs array<string>")
+    libraries = spark.createDataFrame([(hashlib.sha256(lib.encode()).hexdigest().upper(), "hash")], "content_hash string, files string")
+    repos = spark.createDataFrame([("r1", "one")], "repo_id string, name string")
+    got = {r.file_id: r.signs for r in handwritten.machine_files(files, config, libraries, repos).collect()}
+    both = ["library", "vendored_subtree"]
+    assert got == {"r1-lib": both, "r2-lib": both, "r3-lib": ["library"], "r1-in": ["vendored_subtree"], "r2-in": ["vendored_subtree"]}
+    tree = {(r.repo_id, r.path): r.hash for r in handwritten.merkle_tree(files).collect()}
+    assert tree["r1", "src/kit"] == tree["r2", "src/kit"] != tree["r3", "src/kit"] and tree["r1", ""] != tree["r2", ""]
+    assert handwritten.machine_files(files.limit(0), config, libraries, repos).count() == 0

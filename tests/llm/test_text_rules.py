@@ -198,3 +198,11 @@ def test_readings_of_repeated_swaps_and_code():
     assert "é" in dict(M.readings(twice))
     assert not list(M.units(f"shows `{once}` on purpose")) and list(M.units(f"a {once}"))
     assert not any(M._is_utf8(h) for _, h in M.readings("Граф"))
+
+
+def test_signs_at_any_length():
+    assert H.signs("a/b.js", "// x\n" * 61 + "// @generated by tool\nlet a = 1;\n", "o") == ["generated"]
+    packed = "!function(e){if(e>3)return;e+=1}(39);var s=(h,l)=>h&&h.height?l(h):2;" * 2
+    assert len(packed) < 150 and H.signs("a/b.js", packed, "o") == ["minified"]
+    assert H.signs("a/b.js", "const f = (a) => a.b;\n", "o") == [] and H.signs("a/b.js", "export const x=1;\n", "o") == []
+    assert H.signs("a/b.js", "let m = 1;\n//# sourceMappingURL=data:application/json;base64," + "A" * 5000 + "\n" * 600, "o") == ["minified"]
