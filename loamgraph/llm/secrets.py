@@ -1,9 +1,10 @@
 """Problem 2: credentials that stand literally in source and configuration text.
 
-One deterministic automaton (Aho-Corasick over lower-cased text) holds the anchors of all grammars: token prefixes,
-key armour, URL logins, authorization headers and credential words.  Overlapping windows of a text are scanned,
-each anchor's hit starts the local grammar at its place, and absolute spans are deduplicated, so the windows' size
-does not change the result.  Spans are spliced out and replaced by a placeholder.
+Token formats, key armour and connection strings are one deterministic automaton (``automaton``), which starts where an
+Aho-Corasick automaton over the lower-cased text meets one of their anchors; the same anchors' automaton finds
+authorization headers and credential words, whose values are judged by the grammar of assignments, calls and comments.
+Overlapping windows of a text are scanned and absolute spans are deduplicated, so the windows' size does not change the
+result: a grammar reads the text from its anchor to its own end.  Spans are spliced out and replaced by a placeholder.
 
 Defined results: a null content has no credential; a credential that is given in pieces or over several lines
 counts at its first line; spans that overlap are one; repeated rows count once; lines end at a line feed only;
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import Automaton
+
 WINDOW = 1 << 16
 OVERLAP = 1 << 13
 PLACEHOLDER = "<redacted>"
@@ -48,7 +51,6 @@ TOKENS = [
     ("ya29.", r"ya29\.[\w\-]{20,}"),
     ("eyj", r"eyJ[\w\-]{10,}\.eyJ[\w\-]{6,}\.[\w\-]{10,}"),
 ]
-_TOKEN_RX = [(a, re.compile(r)) for a, r in TOKENS]
 _SCHEME = "://"
 _ARMOUR = "-----begin"
 _HEADERS = ("authorization", "bearer", "basic")
@@ -63,7 +65,7 @@ _WORDS = (
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     kinds: dict[str, set] = {}
-    for i, (anchor, _) in enumerate(_TOKEN_RX):
+    for i, (anchor, _) in enumerate(TOKENS):
         kinds.setdefault(anchor, set()).add(("token", i))
     kinds.setdefault(_SCHEME, set()).add(("url", 0))
     kinds.setdefault(_ARMOUR, set()).add(("armour", 0))
@@ -78,6 +80,11 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _AUTOMATON: ahocorasick.Automaton | None = None
+#: Key armour and logins in connection strings; with the token formats they make the one automaton of grammars.
+_ARMOUR_BEGIN = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_LOGIN = r"://[^\s/@:\"'`<>{}$]*:[^\s/@\"'`<>]+@[\w.\-\[\]]+"
+GRAMMARS = Automaton([*(r for _, r in TOKENS), _ARMOUR_BEGIN, _LOGIN])
+ARMOUR, LOGIN = len(TOKENS), len(TOKENS) + 1
 
 _PLACE = re.compile(
     r"""^(?:|[xX]{3,}|\*+|\.+|-+|_+|0+|1234\w*|<[^>]*>|\$\{[^}]*\}.*|\$\{\{.*|\{\{.*|\$\(.*\)|\$\w+|%\w+%|%\([^)]*\)s|\{\w*\}|\[[^\]]*\]|@\w+@|__\w+__
@@ -232,7 +239,7 @@ def _value_after(t: _Text, a: int, b: int, line_start: int, encoded: bool) -> bo
     else:
         # KEY inside a call that gives a default: setdefault("KEY", value), get("KEY", value), set("KEY", value)
         call = re.compile(r"(?:\"|')\s*,\s*").match(text, b)
-        if call and re.search(r"(?:setdefault|putenv|set|put|insert|export|define|getenv|get)\(\s*(?:\"|')$", text[max(line_start, a - 60) : a]):
+        if call and re.search(r"(?:setdefault|putenv|set|put|insert|export|define|getenv|get)\(\s*(?:\"|')$", text[line_start:a]):
             at = call.end()
     if at is None:
         return False
@@ -314,7 +321,7 @@ def _call_argument(t: _Text, a: int, b: int, line_end: int, line_start: int, enc
 
 
 _COMMENTED = [
-    re.compile(r"\b(?:old|new|current|temp(?:orary)?|test|prod|staging|backup|admin|root|db)?\s*(?:api\s+)?(?:key|token|secret|pw|pass(?:word)?|pwd|credentials?)\b(?:\s*,?\s*(?:rotate|for|is|was|on|of|to|in|until|from)\b[\w\s.\-]{0,40}?)?\s*[:=]\s*(?P<v>[^\s'\"`,;]{6,})\s*(?:\*/)?\s*$", re.I),
+    re.compile(r"\b(?:old|new|current|temp(?:orary)?|test|prod|staging|backup|admin|root|db)?\s*(?:api\s+)?(?:key|token|secret|pw|pass(?:word)?|pwd|credentials?)\b(?:\s*,?\s*(?:rotate|for|is|was|on|of|to|in|until|from)\b[\w\s.\-]*?)?\s*[:=]\s*(?P<v>[^\s'\"`,;]{6,})\s*(?:\*/)?\s*$", re.I),
     re.compile(r"\b(?:login|log in|user|credentials?|account)\s*:?\s+[\w.@\-]+\s*(?:/|with|:)\s+(?P<v>[^\s'\"`,;]{6,})\s*(?:\*/)?\s*$", re.I),
 ]
 
@@ -333,34 +340,39 @@ def _comment(t: _Text, line: str, line_start: int) -> None:
                 return
 
 
-_URL = re.compile(r"://([^\s/@:\"'`<>{}$]*):([^\s/@\"'`<>]+)@[\w.\-\[\]]+")
-_ARMOUR_RX = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _SCHEME_WORD = re.compile(r"\b(?:bearer|basic|token)(?=\s)", re.I)
 _AUTH = re.compile(r"\b(?:(?P<scheme>bearer|basic|token)\s+)(?P<v>[A-Za-z0-9+/=._~\-]{8,})", re.I)
 
 
 def _url(t: _Text, at: int) -> None:
-    m = _URL.match(t.text, at)
-    if m and not is_placeholder(m.group(2)) and not re.match(r"[{$<%]", m.group(2)):
-        t.add([m.span(2)], "url")
+    end = GRAMMARS.match(t.text, at).get(LOGIN)
+    if end is None:
+        return
+    # neither the user's name nor the password holds a colon or an at sign before these
+    begin = t.text.index(":", at + 3) + 1
+    stop = t.text.index("@", begin)
+    word = t.text[begin:stop]
+    if not is_placeholder(word) and not re.match(r"[{$<%]", word):
+        t.add([(begin, stop)], "url")
 
 
 def _armour(t: _Text, at: int) -> None:
-    m = _ARMOUR_RX.match(t.text, at)
-    if not m:
+    head = GRAMMARS.match(t.text, at).get(ARMOUR)
+    if head is None:
         return
-    close = t.text.find(f"-----END {m.group(1)}-----", m.end())
-    end = close + len(f"-----END {m.group(1)}-----") if close >= 0 else None
+    last = f"-----END {t.text[at + 11 : head - 5]}-----"
+    close = t.text.find(last, head)
+    end = close + len(last) if close >= 0 else None
     if end is None:  # cut off: the key's own lines
-        k = re.compile(r"(?:\\n|\\r|[\sA-Za-z0-9+/=:,\-.\"'+\\])*").match(t.text, m.end())
+        k = re.compile(r"(?:\\n|\\r|[\sA-Za-z0-9+/=:,\-.\"'+\\])*").match(t.text, head)
         end = k.end()
-        while end > m.end() and t.text[end - 1].isspace():
+        while end > head and t.text[end - 1].isspace():
             end -= 1
-    body = t.text[m.end() : close if close >= 0 else end]
+    body = t.text[head : close if close >= 0 else end]
     material = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body)
     if len(material) < 24 and close >= 0 or re.search(r"<[^>]*>|\.\.\.|\$\{|\{\{|\bx{6,}", body, re.I) and len(material) < 64:
         return
-    t.add([(m.start(), end)], "private key")
+    t.add([(at, end)], "private key")
 
 
 def _header(t: _Text, at: int) -> None:
@@ -368,10 +380,8 @@ def _header(t: _Text, at: int) -> None:
     text = t.text
     line_start = text.rfind("\n", 0, at) + 1
     over = at
-    for begin in _SCHEME_WORD.finditer(text, at, min(len(text), at + 400)):
-        if "\n" in text[at : begin.start()]:
-            break
-        # the 400 characters bound where the scheme begins, not its value
+    line_end = text.find("\n", at)
+    for begin in _SCHEME_WORD.finditer(text, at, len(text) if line_end < 0 else line_end + 1):
         m = _AUTH.match(text, begin.start()) if begin.start() >= over else None
         if not m:
             continue
@@ -414,12 +424,12 @@ def scan(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[tuple[
                     if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
                         continue
                     if at and text[at - 1] in "\"'`" and (joined := _pieces(text, at - 1, True)) and len(joined[1]) > 1:
-                        if _TOKEN_RX[i][1].match(joined[0]) and not is_placeholder(joined[0]):
+                        if i in GRAMMARS.match(joined[0], 0) and not is_placeholder(joined[0]):
                             t.add(joined[1], "token")
                         continue
-                    m = _TOKEN_RX[i][1].match(text, at)
-                    if m and not is_placeholder(m.group()) and not re.search(r"(?i)example|x{8,}|0{12,}", m.group()):
-                        t.add([m.span()], "token")
+                    end = GRAMMARS.match(text, at).get(i, at)
+                    if end > at and not is_placeholder(text[at:end]) and not re.search(r"(?i)example|x{8,}|0{12,}", text[at:end]):
+                        t.add([(at, end)], "token")
                 elif kind == "url":
                     _url(t, at)
                 elif kind == "armour":
