@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from ..session import cut, stored
 
 THRESHOLD = 0.5
+#: Sets that share a prefix token are compared in blocks of about so many.
+BLOCK = 2048
 
 
 def _classes(detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,13 +62,24 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
         .select("class_id", "repo", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("s.m").alias("m"))
     )
     ordered = stored(ordered, "prefixes")
-    side = lambda p: ordered.select([F.col(c).alias(c if c in ("repo", "m") else f"{c}_{p}") for c in ordered.columns])
+    # a token that very many sets share would be one task's work: its sets are hashed into blocks, and every pair of blocks
+    # is a key of its own
+    hot = ordered.groupBy("repo", "m").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    ordered = (
+        ordered.join(hot, ["repo", "m"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("class_id", "repo", "n", "pos", "m", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    )
+    key = ["repo", "m", "lo", "hi"]
+    side = lambda p: ordered.select([F.col(c).alias(c if c in key else f"{c}_{p}") for c in ordered.columns])
     t = F.lit(threshold)
     need = F.ceil(t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     pairs = (
         side("a")
-        .join(side("b"), ["repo", "m"])
-        .filter("class_id_a < class_id_b")
+        .join(side("b"), key)
+        .filter("class_id_a < class_id_b and (block_a <> block_b or lo = hi)")
         .filter((F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9))
         .filter(1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1 + F.least("pos_a", "pos_b") >= need)
         .select("class_id_a", "class_id_b")
