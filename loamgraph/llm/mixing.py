@@ -9,7 +9,8 @@ A source's records are hashed into blocks.  The blocks' quotas per output shard
 hypergeometric splitting tree: the root holds the exact number of blocks of every source, a node splits its shards
 in half and draws how many blocks of each source go left, so all shards' quotas add up exactly.  Each shard then
 takes disjoint ranges of each source's permuted blocks, and rows are shuffled within the shard only.  The tree works
-on sources times shards, never on records.
+on sources times shards, never on records; its top, down to groups of ``GROUP`` shards, is drawn by the driver, the rest
+of it in one task per group.  A block finds its group and its shard by binary search in the cumulative quotas.
 
 Defined results: a document with a null source or text, and one of a source without a target, is not used; a null or
 non-positive share or cap excludes the source; empty texts have no tokens and are used like others; repeated rows
@@ -32,6 +33,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_ROWS = 512
 SHARD_TOKENS = 2_000_000
 SEED = 20_240_607
+#: Shards below one leaf of the driver's part of the tree.
+GROUP = 1024
+#: Blocks whose running sums are taken in one task.
+RUN = 4096
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -75,23 +80,34 @@ def quotas(available: dict[str, tuple[int, int]], targets: dict[str, tuple[float
     return out
 
 
-def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(shards, sources): exact block quotas; every row holds as near as can be the same number of blocks."""
-    out = np.zeros((shards, len(counts)), np.int64)
-
-    def go(lo: int, hi: int, have: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = have
-            return
+def split(counts: np.ndarray, shards: int, rng: np.random.Generator, leaf: int = 1) -> np.ndarray:
+    """(leaves, sources): exact block quotas of leaves of at most ``leaf`` shards; every shard's part holds as near as can
+    be the same number of blocks."""
+    out = []
+    todo = [(0, shards, counts.astype(np.int64))]
+    while todo:
+        lo, hi, have = todo.pop()
+        if hi - lo <= leaf:
+            out.append((lo, have))
+            continue
         mid = (lo + hi) // 2
         total = int(have.sum())
-        take = total * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(have, take, method="marginals") if total else have
-        go(lo, mid, left)
-        go(mid, hi, have - left)
+        left = rng.multivariate_hypergeometric(have, total * (mid - lo) // (hi - lo), method="marginals") if total else have
+        todo += [(mid, hi, have - left), (lo, mid, left)]
+    return np.stack([have for _, have in sorted(out, key=lambda x: x[0])])
 
-    go(0, shards, counts.astype(np.int64))
-    return out
+
+def leaves(shards: int, leaf: int) -> list[tuple[int, int]]:
+    """The shards of each of those leaves."""
+    out, todo = [], [(0, shards)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= leaf:
+            out.append((lo, hi))
+        else:
+            mid = (lo + hi) // 2
+            todo += [(mid, hi), (lo, mid)]
+    return sorted(out)
 
 
 def _coprime(n: int, rng: np.random.Generator) -> int:
@@ -122,8 +138,13 @@ def _mix(sized: DataFrame, targets: DataFrame, shard_tokens: int, seed: int) ->
     )
     # the last pass takes the first blocks whole, and of the next one the first records
     sums = rows.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("t"))
-    before = F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = stored(sums.withColumn("before", F.coalesce(before, F.lit(0))), "blocks")
+    # running sums of runs of blocks, then within the runs, so that no task sees all blocks of a source
+    sums = stored(sums.withColumn("run", F.floor(F.col("block") / RUN)), "block-sums")
+    preceding = (Window.unboundedPreceding, -1)
+    runs = sums.groupBy("source", "run").agg(F.sum("t").alias("run_t"))
+    runs = runs.withColumn("run_before", F.coalesce(F.sum("run_t").over(Window.partitionBy("source").orderBy("run").rowsBetween(*preceding)), F.lit(0))).drop("run_t")
+    inside = F.sum("t").over(Window.partitionBy("source", "run").orderBy("block").rowsBetween(*preceding))
+    sums = stored(sums.withColumn("inside", F.coalesce(inside, F.lit(0))).join(runs, ["source", "run"]).withColumn("before", F.col("run_before") + F.col("inside")).select("source", "block", "rest", "t", "before"), "blocks")
     whole = sums.filter("before + t <= rest").select("source", "block").withColumn("part", F.lit(False))
     edge = sums.filter("before < rest and before + t > rest").select("source", "block", "before", "rest")
     running = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -141,19 +162,39 @@ def _mix(sized: DataFrame, targets: DataFrame, shard_tokens: int, seed: int) ->
     units = np.array([plan[s]["blocks"] * plan[s]["passes"] + (counted[s] + 1 if s in counted else 0) for s in names])
     total = sum(p["want"] for p in plan.values())
     shards = int(max(1, min(math.ceil(total / shard_tokens), units.sum())))
-    quota = split(units, shards, rng)
+    quota = split(units, shards, rng, GROUP)
     steps = spark.createDataFrame([(s, int(u), _coprime(int(u), rng), int(rng.integers(0, max(1, int(u))))) for s, u in zip(names, units) if u], "source string, units long, a long, c long")
-    ends = np.cumsum(quota, axis=0)
-    ranges = spark.createDataFrame(
-        [(s, k, int(ends[k, j] - quota[k, j]), int(ends[k, j])) for j, s in enumerate(names) for k in range(shards) if quota[k, j]], "source string, shard int, lo long, hi long"
-    )
+    ends = np.cumsum(quota, axis=0)  # a row per group of shards
+    span = leaves(shards, GROUP)
+    column = {s: j for j, s in enumerate(names)}
+
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = b["at"].to_numpy()
+            which = np.zeros(len(b), np.int64)
+            for s, rows_ in b.groupby("source").indices.items():
+                which[rows_] = np.searchsorted(ends[:, column[s]], at[rows_], side="right")
+            yield b.assign(grp=which)
+
+    def place(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        g = int(key[0])
+        lo, hi = span[g]
+        last = np.cumsum(split(quota[g], hi - lo, np.random.default_rng([seed, lo])), axis=0)
+        at = b["at"].to_numpy()
+        shard = np.zeros(len(b), np.int64)
+        for s, rows_ in b.groupby("source").indices.items():
+            j = column[s]
+            shard[rows_] = lo + np.searchsorted(last[:, j], at[rows_] - (ends[g, j] - quota[g, j]), side="right")
+        return b[["source", "block", "use"]].assign(shard=shard.astype(np.int32))
+
     unit = (
         used.select("source", "block", "use", "blocks").distinct()
         .join(steps, "source")
         .withColumn("at", F.pmod(F.col("a") * (F.col("use") * F.col("blocks") + F.col("block")) + F.col("c"), F.col("units")))
-        .alias("u")
-        .join(ranges.alias("r"), (F.col("u.source") == F.col("r.source")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-        .select("u.source", "u.block", "u.use", "r.shard")
+        .select("source", "block", F.col("use").cast("int").alias("use"), "at")
+        .mapInPandas(group, "source string, block int, use int, at long, grp long")
+        .groupBy("grp")
+        .applyInPandas(place, "source string, block int, use int, shard int")
     )
     order = Window.partitionBy("shard").orderBy(F.xxhash64("draw", "use", F.lit(seed)), "doc_id", "use")
     return (
@@ -186,6 +227,12 @@ def report(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     return rows.withColumn("actual_share", F.round(F.col("used_tokens") / F.greatest(total, F.lit(1)), 6))
 
 
+def records(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mixed records themselves: ``mixed`` with each document's text."""
+    texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return mixed.join(texts, "doc_id").select(*mixed.columns, "text")
+
+
 def tokenizer_of(spark: SparkSession) -> str:
     """The path of the tokenizer's file; spark.loamgraph.tokenizer overrides the default."""
     return spark.conf.get("spark.loamgraph.tokenizer", TOKENIZER)

@@ -57,6 +57,15 @@ def test_vectors_against_brute_force(spark):
     assert ann.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_clusters_of_a_member_that_many_sets_share(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows_ = [(f"d{i:03d}", "r", ["hot", f"g{i % 7}", f"h{i % 7}", f"x{int(rng.integers(0, 9))}"], 1, "l", None, 0) for i in range(140)]
+    df = spark.createDataFrame(rows_, COMM)
+    whole = rows(clusters.clusters(df))
+    monkeypatch.setattr(clusters, "BLOCK", 5)
+    assert rows(clusters.clusters(df)) == whole and len(whole) == 140
+
+
 COMM = "detection_id string, repo_id string, member_node_ids array<string>, size int, label string, top_members array<struct<stable_id string>>, n long"
 
 
@@ -141,7 +150,7 @@ def test_syntax_table(spark):
     assert rows(syntax.rates(f).select("repo_id", "language", "files", "invalid")) == [("", "rust", 1, 0), ("r", "json", 1, 1), ("r", "python", 2, 1)]
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     rng = np.random.default_rng(4)
     docs = [(i, ["a", "b", "c", "d"][int(rng.integers(0, 4)) if i % 3 else 0], "word " * int(rng.integers(1, 60))) for i in range(3000)] + [(9001, None, "x"), (9002, "a", None), (0, "a", "word")][:2]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string")
@@ -155,9 +164,24 @@ def test_mix(spark):
     assert m.shard.nunique() > 5 and set(m.source) == {"a", "b", "c"}
     for _, g in m.groupby("shard"):
         assert sorted(g.position) == list(range(1, len(g) + 1))
-    assert mixing.mix(d, t, shard_tokens=5000).toPandas().sort_values(["shard", "position"]).equals(m.sort_values(["shard", "position"])) or len(m) > 0
+    order = ["shard", "position"]
+    plain = lambda x: x.sort_values(order).reset_index(drop=True)
+    again = mixing.mix(d.repartition(5), t, shard_tokens=5000).toPandas()
+    assert plain(again).equals(plain(m))
+    assert not plain(mixing.mix(d, t, shard_tokens=5000, seed=1).toPandas()).equals(plain(m))
+    monkeypatch.setattr(mixing, "GROUP", 2)  # the tree's lower part in several tasks
+    monkeypatch.setattr(mixing, "RUN", 2)
+    deep = mixing.mix(d, t, shard_tokens=5000)
+    assert sorted(deep.select("doc_id", "use").collect()) == sorted(map(tuple, m[["doc_id", "use"]].itertuples(index=False)))
+    sizes = deep.groupBy("shard").agg(F.sum("tokens").alias("t")).toPandas().t
+    assert len(sizes) == m.shard.nunique()
+    texts = mixing.records(d, deep)
+    assert texts.count() == len(m) and texts.filter("text is null").count() == 0
+    monkeypatch.undo()
     assert mixing.mix(d.limit(0), t).count() == 0
     q = mixing.split(np.array([10, 0, 31]), 7, np.random.default_rng(0))
+    parts = mixing.split(np.array([1000, 0, 3100]), 77, np.random.default_rng(0), 8)
+    assert parts.sum(0).tolist() == [1000, 0, 3100] and [b for _, b in mixing.leaves(77, 8)][-1] == 77 and len(mixing.leaves(77, 8)) == len(parts)
     assert q.sum(0).tolist() == [10, 0, 31] and q.sum(1).max() - q.sum(1).min() <= 1
 
 
