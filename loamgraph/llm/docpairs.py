@@ -37,7 +37,7 @@ _SIG = {
 }
 _LITERAL = {
     "rust": re.compile(r'b?r(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|b?\'(?:\\.[^\']*|[^\'\\])\'', re.S),
-    "js": re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S),
+    "js": re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[=(,:;!&|?{}\[+])\s?/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*", re.S),
     "solidity": re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
 }
 _SPACE = re.compile(r"\s+")
@@ -270,6 +270,8 @@ def pairs(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     text = (
         chunks.filter("node_id is not null and content is not null")
         .select("node_id", part.alias("part"), F.struct("chunk_id", "content").alias("c"))
+        # this spreads by node_id, as all that follows needs, so texts are sent once
+        .join(wanted.select("node_id"), "node_id", "left_semi")
         .groupBy("node_id", "part")
         .agg(F.min("c").alias("c"))
         # a function's own parts: as many as its metadata counts
