@@ -73,7 +73,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     found = hits.join(prefix, "h").select("doc_id", "text_id", "start", (F.col("dpos") - F.col("ipos") + F.col("start")).alias("at")).filter("at >= 0").distinct()
     # exact comparison; only documents with a candidate are tokenised again
     found = found.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("start", "at")).alias("tries"))
-    candidates = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").distinct().select("doc_id", words(F.col("text")).alias("dw"))
+    candidates = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", words(F.col("text")).alias("dw"))
     # tries are bounded by the item's words times the places of a prefix token in one document
     same = F.exists("tries", lambda t: (t["at"] + run <= F.size("dw")) & (F.slice("dw", t["at"] + 1, run) == F.slice("words", t["start"] + 1, run)))
     proven = found.join(candidates, "doc_id").join(texts.select("text_id", "words"), "text_id").filter(same).select("doc_id", "text_id").distinct()
