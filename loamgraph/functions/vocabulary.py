@@ -29,8 +29,29 @@ WORD_LAYERS = {
 LAYER_RANK = {"entry": 0, "interface": 1, "core": 2, "unknown": 3, "foundation": 4}
 # Services of infrastructure constructs; the first word found decides.
 CONSTRUCT_SERVICES = [("lambda", ["lambda", "function"]), ("dynamodb", ["dynamodb", "table"]), ("appsync", ["appsync", "graphql"]), ("s3", ["s3", "bucket"]), ("cloudfront", ["cloudfront", "distribution"]), ("sqs", ["sqs", "queue"]), ("sns", ["sns", "topic"]), ("iam", ["iam", "role", "policy"]), ("api_gateway", ["apigateway", "api"]), ("eventbridge", ["event", "rule"])]
-# Traversal cost and confidence of edges.
-EDGE_WEIGHTS = {"contains": (0.10, 1.0), "defines": (0.08, 1.0), "calls": (0.35, 0.7), "imports": (0.35, 1.0), "depends_on": (0.20, 1.0)}
+# Traversal cost and confidence of edges, by what they say.
+EDGE_WEIGHTS = {
+    "contains_code": (0.10, 1.0),
+    "contains_member": (0.10, 1.0),
+    "contains_doc": (0.45, 0.80),
+    "contains_pdf": (0.55, 0.75),
+    "depends_on": (0.20, 1.0),
+    "defines_script": (0.25, 1.0),
+    "defines": (0.08, 1.0),
+    "configures": (0.12, 0.95),
+    "configures_app": (0.15, 1.0),
+    "imports_rust": (0.40, 0.80),
+    "imports_module": (0.35, 1.0),
+    "imports_solidity": (0.30, 1.0),
+    "calls": (0.35, 0.70),
+    "implements": (0.20, 0.95),
+}
+# Endings of static files, which are no routes.
+STATIC_ENDINGS = ["js", "mjs", "cjs", "css", "map", "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "woff", "woff2", "ttf", "html", "json", "txt", "xml", "pdf"]
+# Commands that change a repository.
+MUTATING_COMMANDS = ["git commit", "git merge", "git pull", "git checkout"]
+# Confidence of links between repositories.
+LINK_CONFIDENCE = {"package_dep": 0.9, "abi": 0.8, "http_route": 0.65}
 # Markers of registered and of called routes.
 ROUTE_MARKERS = ["app.get(", "app.post(", "app.put(", "app.patch(", "app.delete(", "app.all(", "app.use(", "router.get(", "router.post(", "router.put(", "router.patch(", "router.delete(", "router.all(", "fastify.get(", "fastify.post(", "fastify.put(", "fastify.delete(", ".route(", "@get(", "@post(", "@put(", "@patch(", "@delete(", "@controller(", "#[get(", "#[post(", "#[put(", "#[patch(", "#[delete("]
 CALL_MARKERS = ["fetch(", "axios(", "axios.get(", "axios.post(", "axios.put(", "axios.patch(", "axios.delete(", "axios.request(", "useswr(", ".get(", ".post(", ".put(", ".patch(", ".delete(", "ky.get(", "ky.post(", "got("]

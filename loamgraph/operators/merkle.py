@@ -26,7 +26,7 @@ def community_hashes(members: DataFrame, nodes: DataFrame, hashes: DataFrame) ->
     return rows.groupBy("community_id").agg(_ordered(["path"], "hash").alias("hash"))
 
 
-def root_hashes(hashes: DataFrame, levels: int = 16) -> DataFrame:
+def root_hashes(hashes: DataFrame) -> DataFrame:
     """(repo_id, hash): over the files by path and hash, in two levels so that no repository is gathered whole: the
     paths' hash buckets first, then the buckets."""
     bucket = F.substring(F.sha2("path", 256), 1, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 
 
 def stale_links(roots: DataFrame, linked: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def event_term(tool: Column, payload: Column) -> Column:
 
 def changes_history(command: Column) -> Column:
     """The command changes the checked-out revision."""
-    return T.contains_any(command, ["git commit", "git merge", "git pull", "git checkout", "git rebase"])
+    return T.contains_any(F.lower(command), V.MUTATING_COMMANDS)
 
 
 def humanized_branch(branch: Column) -> Column:

@@ -1,4 +1,8 @@
-"""The relations of the knowledge graph over the given tables: repeated rows dropped, null hashes filled."""
+"""The relations of the knowledge graph over the given tables: repeated rows dropped, null hashes filled.
+
+Repeated rows are full copies, so a row is known by its id: what a query does not select is neither read nor compared,
+and no text goes through a shuffle that needs the ids only.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,27 @@ from ..session import table
 
 
 def nodes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "graph_nodes").select("node_id", "repo_id", "kind", "stable_id", "name", "file_path", "line_start", "line_end", "metadata").distinct()
+    return table(s, d, "graph_nodes").select("node_id", "repo_id", "kind", "stable_id", "name", "file_path", "line_start", "line_end", "metadata").dropDuplicates(["node_id"])
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "source_files")
-    return t.select("file_id", "repo_id", "path", "language", F.coalesce(F.lower("content_hash"), F.sha2("content", 256)).alias("content_hash"), "line_count", "content").distinct()
+    return t.select("file_id", "repo_id", "path", "language", F.coalesce(F.lower("content_hash"), F.sha2("content", 256)).alias("content_hash"), "line_count", "content").dropDuplicates(["file_id"])
 
 
 def chunks(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "chunks")
     return t.select(
         "chunk_id", "repo_id", "file_id", "node_id", "chunk_type", "content", F.coalesce(F.lower("content_hash"), F.sha2("content", 256)).alias("content_hash"), "line_start", "line_end", "metadata"
-    ).distinct()
+    ).dropDuplicates(["chunk_id"])
 
 
 def embeddings(s: SparkSession, d: str) -> DataFrame:
     """Usable vectors only."""
     t = table(s, d, "chunk_embeddings")
     v = F.col("embedding")
-    ok = v.isNotNull() & (F.size(v) == F.col("dimensions")) & F.forall(v, lambda e: ~F.isnan(e)) & F.exists(v, lambda e: e != 0)
-    return t.filter(ok).select("embedding_id", "chunk_id", "provider", "model_id", "dimensions", F.lower("content_hash").alias("content_hash"), "embedding").distinct()
+    ok = v.isNotNull() & (F.size(v) == F.col("dimensions")) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
+    return t.filter(ok).select("embedding_id", "chunk_id", "provider", "model_id", "dimensions", F.lower("content_hash").alias("content_hash"), "embedding").dropDuplicates(["embedding_id"])
 
 
 def communities(s: SparkSession, d: str) -> DataFrame:
@@ -86,7 +90,7 @@ nodes AS (SELECT DISTINCT node_id, repo_id, kind, stable_id, name, file_path, li
 files AS (SELECT DISTINCT file_id, repo_id, path, language, coalesce(lower(content_hash), sha256(content)) AS content_hash, line_count, content FROM source_files),
 chks AS (SELECT DISTINCT chunk_id, repo_id, file_id, node_id, chunk_type, content, coalesce(lower(content_hash), sha256(content)) AS content_hash, line_start, line_end, metadata FROM chunks),
 vecs AS (SELECT DISTINCT embedding_id, chunk_id, provider, model_id, dimensions, lower(content_hash) AS content_hash, embedding FROM chunk_embeddings
-         WHERE embedding IS NOT NULL AND len(embedding) = dimensions AND NOT list_bool_or([isnan(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+         WHERE embedding IS NOT NULL AND len(embedding) = dimensions AND NOT list_bool_or([NOT isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
 comms AS (SELECT community_id, repo_id, label, size, list_distinct(member_node_ids) AS members, internal_edges, dominant_language FROM
           (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY detected_at DESC, detection_id) AS r FROM (SELECT DISTINCT * FROM detected_communities WHERE member_node_ids IS NOT NULL)) WHERE r = 1),
 mems AS (SELECT DISTINCT community_id, repo_id, unnest(members) AS node_id FROM comms),
