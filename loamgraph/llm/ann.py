@@ -1,6 +1,6 @@
 """Problem 1: the most similar vectors for every vector.
 
-Pivots are fitted per model to a bounded sample (``SAMPLE`` vectors, two-level k-means); a vector belongs to the shard of
+Pivots are fitted per model to a bounded sample (``PER_PIVOT`` vectors a pivot, ``SAMPLE`` at most; two-level k-means); a vector belongs to the shard of
 its nearest pivot, so a shard holds about ``SHARD`` vectors and near vectors mostly share one.  Each shard builds a
 hierarchical navigable small-world graph, kept as flat neighbour arrays (one int32 matrix per layer) and written once to
 the shared folder.  A vector is searched in its own shard (its insertion is that search) and in every shard whose
@@ -36,7 +36,8 @@ from ..session import stored
 SHARD = 4_096
 #: Pivots are held by the driver and by every task that routes: at most so many per model; beyond, shards grow.
 MOST_SHARDS = 65_536
-#: Vectors per model to which the pivots are fitted.
+#: Vectors per pivot, and most per model, to which the pivots are fitted.
+PER_PIVOT = 256
 SAMPLE = 131_072
 #: Width of the zone beside a dividing plane from which the neighbouring shard is searched; most shards so searched.
 SIGMAS = 2.5
@@ -361,7 +362,7 @@ def routed(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     cells = {m: max(1, min(MOST_SHARDS, -(-n // shard))) for m, n in sizes.items()}
     if not sizes:
         return spark.createDataFrame([], _ROUTED)
-    share = spark.createDataFrame([(*m, min(1.0, SAMPLE / n)) for m, n in sizes.items()], "provider string, model_id string, dimensions int, share double")
+    share = spark.createDataFrame([(*m, min(1.0, min(SAMPLE, PER_PIVOT * cells[m]) / n)) for m, n in sizes.items()], "provider string, model_id string, dimensions int, share double")
     h = F.xxhash64(F.lit(5), F.col("class_id"))
     in_sample = F.shiftrightunsigned(h, 11) / float(2**53) < F.col("share")
     sample = rows.join(F.broadcast(share), MODEL).filter(in_sample).groupBy(*MODEL, "class_id").agg(F.first("embedding").alias("embedding"))
