@@ -163,3 +163,19 @@ def import_package(spec: Column) -> Column:
 
 def is_bare(spec: Column) -> Column:
     return ~spec.rlike(r"^(\.|/|~/|@/)")
+
+
+def task_tokens(c: Column) -> Column:
+    """Tokens of a task, longer than two characters and without stop words, each once."""
+    return F.array_distinct(F.filter(search_tokens(c, 2), lambda t: ~t.isin(*V.TASK_STOP)))
+
+
+def rust_uses(content: Column, name: Column) -> Column:
+    """A Rust text uses the crate; a dash in its name is an underscore in code."""
+    n = F.translate(name, "-", "_")
+    return content.contains(F.concat(F.lit("use "), n, F.lit("::"))) | content.contains(F.concat(F.lit("use "), n, F.lit(";"))) | content.contains(F.concat(F.lit("extern crate "), n))
+
+
+def looks_like_constructs(content: Column) -> Column:
+    # Marks of a file with infrastructure constructs.
+    return contains_any(content, ["aws-cdk-lib", "@aws-cdk/", "constructs", "extends Stack", "cdk."])

@@ -6,6 +6,8 @@ LITERAL_STOP = ["architecture", "configuration", "contracts", "documentation", "
 ROUTE_STOP = ["and", "api", "app", "apps", "are", "can", "does", "for", "from", "has", "hood", "how", "into", "its", "lib", "src", "that", "the", "this", "under", "was", "web", "what", "when", "where", "which", "who", "why", "with", "work", "works", "you", "your"]
 # Words left out of lexical area matching.
 LEXICAL_STOP = ["and", "the", "for", "with", "from", "into", "that", "this", "are", "was", "has", "you", "our", "its", "all", "any", "how", "via", "per", "out", "use"]
+# Words left out of a task.
+TASK_STOP = ["and", "are", "for", "from", "how", "into", "the", "this", "that", "then", "with", "would", "should", "could", "feature", "implement", "implementation", "store"]
 # Words that make a question one about dependencies or deployment.
 DEPENDENCY_WORDS = ["dependency", "dependencies", "package", "library", "sdk", "version", "npm", "crate"]
 DEPLOYMENT_WORDS = ["deploy", "deployment", "infrastructure", "stack", "cdk", "terraform", "kubernetes", "configured", "configuration"]

@@ -62,17 +62,32 @@ def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.unionByName(into).distinct().join(s, "node_id", "left_anti")
 
 
-def cheapest_paths(edges: DataFrame, seeds: DataFrame, hops: int = 4, backwards: float = 0.15) -> DataFrame:
-    """(start, end, cost, hops): least cost from each seed to other seeds over at most ``hops`` edges; an edge may be
-    used against its direction at a surcharge.  Relaxation: one join and one minimum per hop."""
+def cheapest_paths(edges: DataFrame, seeds: DataFrame, hops: int | None = None, backwards: float = 0.15, nodes: bool = False) -> DataFrame:
+    """(start, end, cost, hops): least cost from each seed to other seeds, over at most ``hops`` edges if that is given; an
+    edge may be used against its direction at a surcharge.  With ``nodes`` also the way.  Relaxation from what the last
+    round improved, one join and one minimum a round, until nothing does; a way dearer than the dearest known one from
+    its start to any seed cannot shorten one and isn't followed once all seeds are reached."""
     both = edges.select("source", "target", "cost").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), (F.col("cost") + backwards).alias("cost")))
-    arcs = both.groupBy("source", "target").agg(F.min("cost").alias("cost"))
+    arcs = both.filter("source <> target").groupBy("source", "target").agg(F.min("cost").alias("cost"))
     s = seeds.select("node_id").distinct()
-    best = cut(s.select(F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.lit(0.0).alias("total"), F.lit(0).alias("hops")))
-    for _ in range(hops):
-        step = best.join(arcs.withColumnRenamed("source", "at"), "at").select("start", F.col("target").alias("at"), (F.col("total") + F.col("cost")).alias("total"), (F.col("hops") + 1).alias("hops"))
-        best = cut(best.unionByName(step).groupBy("start", "at").agg(F.min(F.struct("total", "hops")).alias("b")).select("start", "at", "b.total", "b.hops"))
-    return best.join(s.withColumnRenamed("node_id", "at"), "at", "left_semi").filter("start <> at").select("start", F.col("at").alias("end"), F.round("total", 6).alias("cost"), "hops")
+    n = s.count()
+    path = F.array("node_id") if nodes else F.array().cast("array<string>")
+    best = cut(s.select(F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.lit(0.0).alias("total"), F.lit(0).alias("hops"), path.alias("nodes")))
+    front, done = best, 0
+    while hops is None or done < hops:
+        more = F.concat("nodes", F.array("target")) if nodes else F.col("nodes")
+        step = front.join(arcs.withColumnRenamed("source", "at"), "at").select("start", F.col("target").alias("at"), (F.col("total") + F.col("cost")).alias("total"), (F.col("hops") + 1).alias("hops"), more.alias("nodes"))
+        reached = best.join(s.withColumnRenamed("node_id", "at"), "at", "left_semi").groupBy("start").agg(F.max("total").alias("bound"), F.count(F.lit(1)).alias("k"))
+        step = step.join(reached, "start").filter((F.col("k") < n) | (F.col("total") < F.col("bound"))).drop("bound", "k")
+        step = step.groupBy("start", "at").agg(F.min(F.struct(F.round("total", 9).alias("r"), "hops", "nodes", "total")).alias("b")).select("start", "at", "b.total", "b.hops", "b.nodes")
+        known = best.select("start", "at", F.col("total").alias("was"))
+        front = cut(step.join(known, ["start", "at"], "left").filter("was is null or total < was - 1e-9").drop("was"))
+        done += 1
+        if not front.limit(1).count():
+            break
+        best = cut(best.join(front.select("start", "at"), ["start", "at"], "left_anti").unionByName(front))
+    out = best.join(s.withColumnRenamed("node_id", "at"), "at", "left_semi").filter("start <> at")
+    return out.select("start", F.col("at").alias("end"), F.round("total", 6).alias("cost"), "hops", *(["nodes"] if nodes else []))
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:

@@ -77,3 +77,10 @@ def invalid(vectors: DataFrame) -> DataFrame:
 
 
 __all__ = ["best_to_seeds", "centroid", "cosine", "dot", "invalid", "norm", "pairwise", "routed_layers", "top_k", "words"]
+
+
+def literal(vector: Column, places: int = 3) -> Column:
+    """The vector as text, numbers that are not finite as 0."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    one = lambda x: F.when(good(x), F.round(x.cast("double"), places)).otherwise(0.0).cast(f"decimal(12,{places})").cast("string")
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, one), ","), F.lit("]"))

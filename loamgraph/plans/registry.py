@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "graph", "incremental", "lexical", "reports", "retrieval", "sources", "workspace")
+MODULES = ("catalog", "graph", "incremental", "lexical", "lookups", "reports", "retrieval", "sources", "workspace", "writes")
 
 
 def collect(attr: str) -> dict:
