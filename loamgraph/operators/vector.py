@@ -84,3 +84,38 @@ def literal(vector: Column, places: int = 3) -> Column:
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     one = lambda x: F.when(good(x), F.round(x.cast("double"), places)).otherwise(0.0).cast(f"decimal(12,{places})").cast("string")
     return F.concat(F.lit("["), F.array_join(F.transform(vector, one), ","), F.lit("]"))
+
+
+def neighbours_of_seeds(vectors: DataFrame, seeds: DataFrame, key: str, least: float, block: int = 8192, seed_block: int = 4096) -> DataFrame:
+    """(key, best): best similarity of every vector that is no seed to any seed, where it is at least ``least``.
+
+    Both sides are hashed into blocks of bounded size; a pair of blocks is one matrix product in one task, and the best of
+    each vector over the seeds' blocks is a partial maximum.  Every seed meets every vector, once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n, m = vectors.count(), seeds.count()
+    rows, cols = max(1, -(-n // block)), max(1, -(-m // seed_block))
+    at = lambda df, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    own = seeds.select(key).distinct()
+    left = vectors.join(own, key, "left_anti").select(key, "embedding", at(vectors, rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
+    right = seeds.select(F.col("embedding").alias("s_embedding"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("s_i"), at(seeds, cols).alias("s_j"))
+    kind = vectors.schema[key].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
+
+    def unit(column):
+        a = column.combine_chunks()
+        x = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def run(group: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], arrow), pa.array([], pa.float64())], names=[key, "best"])
+        x, q = unit(a["embedding"]), unit(b["s_embedding"])
+        best = np.concatenate([(x[k : k + 1024] @ q.T).max(1) for k in range(0, len(x), 1024)])
+        return pa.table([a[key].combine_chunks().cast(arrow), pa.array(best)], names=[key, "best"])
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("s_i", "s_j")).applyInArrow(run, f"{key} {kind}, best double")
+    return pairs.groupBy(key).agg(F.round(F.max("best"), 6).alias("best")).filter(F.col("best") >= least)

@@ -42,11 +42,11 @@ def humanized_branch(branch: Column) -> Column:
     return F.trim(F.translate(F.element_at(F.split(branch, "/"), -1), "-_", "  "))
 
 
-def domains(cards: DataFrame, most: int = 12, depth: int = 6) -> DataFrame:
+def domains(cards: DataFrame, most: int = 12) -> DataFrame:
     """(card, domain): cards grouped by the shortest folder prefix that holds at most ``most`` of them; what is alone
     rolls up to the folder above.  cards: card, path."""
     parts = F.split("path", "/")
-    steps = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     above = cards.select("card", F.posexplode(steps).alias("level", "domain"))
     sizes = above.groupBy("domain").agg(F.countDistinct("card").alias("n"))
     rows = above.join(sizes, "domain").filter("n > 1")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import merkle as M
 from ..sources import relations as R
+from . import expected as A
+from . import fixture as X
 from .catalog import _W
 
 
@@ -12,6 +14,13 @@ def _labels(s, d):
     return R.nodes(s, d).filter("file_path is not null").select("node_id", F.element_at(F.split("file_path", "/"), 1).alias("label"))
 
 
+def _cliques(s):
+    """Three triangles, the middle one on thin bridges to the others."""
+    inside = [(3 * k + i, 3 * k + j, 1.0) for k in range(3) for i in range(3) for j in range(i)]
+    rows = [("r", f"n{min(a, b)}", f"n{max(a, b)}", w, 1) for a, b, w in [*inside, (2, 3, 0.1), (5, 6, 0.1)]]
+    return s.createDataFrame(rows, "repo_id string, a string, b string, weight double, links long")
+
+
 def _seeds(s, d):
     return R.nodes(s, d).filter("kind = 'method'").select("node_id", "repo_id")
 
@@ -62,8 +71,12 @@ QUERIES = {
     "modularity": lambda s, d: G.modularity(G.pair_weights(R.edges(s, d)), _labels(s, d)),
     "internal_edges": lambda s, d: G.internal_edges(R.edges(s, d), R.members(s, d)),
     "one_hop_neighbors": lambda s, d: G.one_hop(R.edges(s, d), _seeds(s, d)),
-    "shortest_paths": lambda s, d: G.cheapest_paths(R.edges(s, d), _seeds(s, d), 2),
-    "call_edges": lambda s, d: R.edges(s, d).filter("kind = 'calls'").select("repo_id", "source", "target"),
+    "shortest_paths": lambda s, d: G.cheapest_paths(R.edges(s, d), _seeds(s, d)),
+    "call_edges": lambda s, d: X.named_edges(X.graph(s)).filter("kind = 'calls'").select("source_id", "target_id"),
+    "louvain_cliques": lambda s, d: G.louvain(_cliques(s), s.createDataFrame([(f"n{i}", f"n{i}") for i in range(9)], "node_id string, stable_id string")).select("node_id", "label"),
+    "louvain_modularity": lambda s, d: G.modularity(_cliques(s), G.louvain(_cliques(s), s.createDataFrame([(f"n{i}", f"n{i}") for i in range(9)], "node_id string, stable_id string")).select("node_id", "label")),
+    "topo_order_cycle": lambda s, d: G.reading_order(s.createDataFrame([("p", x, i + 1) for i, x in enumerate("abcde")], "plan string, item string, priority int"), s.createDataFrame([("p", "a", "c"), ("p", "c", "d"), ("p", "b", "a"), ("p", "d", "c"), ("p", "a", "c"), ("p", "e", "e")], "plan string, item string, needs string")).select("item", "place"),
+    "cut_tree_folders": lambda s, d: G.cut_tree(s.createDataFrame([("r", p) for p in ("a/b/1", "a/b/2", "a/c/3", "a/c/d/4", "e/5", "6")], "repo_id string, path string"), 2),
     "innermost_symbol": lambda s, d: G.innermost(_points(s, d), R.nodes(s, d).filter("kind <> 'file' and line_start is not null").select("node_id", "repo_id", "file_path", "stable_id", "line_start", "line_end")),
     "community_label": _labelled,
     "dominant_language": _languages,
@@ -92,8 +105,16 @@ SQL = {
     "modularity": _W + _pairs + ", l AS (SELECT node_id, string_split(file_path, '/')[1] AS label FROM nodes WHERE file_path IS NOT NULL), p AS (SELECT pw.repo_id, weight, x.label AS la, y.label AS lb FROM pw JOIN l x ON x.node_id = a JOIN l y ON y.node_id = b), m AS (SELECT repo_id, sum(weight) AS m FROM p GROUP BY 1), dg AS (SELECT repo_id, label, sum(weight) AS deg FROM (SELECT repo_id, la AS label, weight FROM p UNION ALL SELECT repo_id, lb, weight FROM p) GROUP BY ALL), ins AS (SELECT repo_id, la AS label, sum(weight) AS i FROM p WHERE la = lb GROUP BY ALL) SELECT repo_id, round(sum(coalesce(i, 0) / m - power(deg / (2 * m), 2)), 6) AS modularity FROM dg JOIN m USING (repo_id) LEFT JOIN ins USING (repo_id, label) GROUP BY repo_id",
     "internal_edges": _W + "SELECT community_id, count(*) AS pairs FROM (SELECT DISTINCT x.community_id, least(source, target) AS a, greatest(source, target) AS b FROM edges e JOIN mems x ON x.node_id = e.source JOIN mems y ON y.node_id = e.target AND x.community_id = y.community_id WHERE source <> target) GROUP BY 1",
     "one_hop_neighbors": _W + ", sd AS (SELECT node_id FROM nodes WHERE kind = 'method') SELECT DISTINCT n AS node_id FROM (SELECT target AS n FROM edges WHERE source IN (SELECT node_id FROM sd) UNION ALL SELECT source FROM edges WHERE target IN (SELECT node_id FROM sd)) WHERE n NOT IN (SELECT node_id FROM sd)",
-    "shortest_paths": _W + ", sd AS (SELECT node_id FROM nodes WHERE kind = 'method'), arcs AS (SELECT source, target, min(cost) AS cost FROM (SELECT source, target, cost FROM edges UNION ALL SELECT target, source, cost + 0.15 FROM edges) GROUP BY ALL), w AS (SELECT a.source AS s, a.target AS t, a.cost AS c, 1 AS h FROM arcs a WHERE a.source IN (SELECT node_id FROM sd) UNION ALL SELECT a.source, b.target, a.cost + b.cost, 2 FROM arcs a JOIN arcs b ON a.target = b.source WHERE a.source IN (SELECT node_id FROM sd)) SELECT s AS start, t AS \"end\", round(min(c), 6) AS cost, CAST(min_by(h, (c, h)) AS INT) AS hops FROM w WHERE s <> t AND t IN (SELECT node_id FROM sd) GROUP BY s, t",
-    "call_edges": _W + "SELECT repo_id, source, target FROM edges WHERE kind = 'calls'",
+    # ways of up to six edges; longer ones are dearer than any here
+    "shortest_paths": _W.replace("WITH ", "WITH RECURSIVE ", 1) + ", sd AS (SELECT node_id FROM nodes WHERE kind = 'method'), arcs AS (SELECT source, target, min(cost) AS cost FROM (SELECT source, target, cost FROM edges UNION ALL SELECT target, source, cost + 0.15 FROM edges) GROUP BY ALL), w AS (SELECT source AS s, target AS t, round(cost, 9) AS c, 1 AS h FROM arcs WHERE source IN (SELECT node_id FROM sd) UNION SELECT w.s, b.target, round(w.c + b.cost, 9), h + 1 FROM w JOIN arcs b ON w.t = b.source WHERE h < 6 AND b.target <> w.s) SELECT s AS start, t AS \"end\", round(min(c), 6) AS cost, CAST(min_by(h, (c, h)) AS INT) AS hops FROM w WHERE s <> t AND t IN (SELECT node_id FROM sd) GROUP BY s, t",
+    "call_edges": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for k, a, b, _, _ in A.EDGES if k == "calls") + ") t(source_id, target_id)",
+    # two triangles and one more on a thin bridge
+    "louvain_cliques": "SELECT * FROM (VALUES ('n0', 'n0'), ('n1', 'n0'), ('n2', 'n0'), ('n3', 'n3'), ('n4', 'n3'), ('n5', 'n3'), ('n6', 'n6'), ('n7', 'n6'), ('n8', 'n6')) t(node_id, label)",
+    # 9 links of weight 1 inside and 2 of weight 0.1 between: 9 / 9.2 - 2 (6.1 / 18.4)^2 - (6.2 / 18.4)^2
+    "louvain_modularity": "SELECT 'r' AS repo_id, round(9 / 9.2 - 2 * (6.1 / 18.4) * (6.1 / 18.4) - (6.2 / 18.4) * (6.2 / 18.4), 6)::DOUBLE AS modularity",
+    # only e needs nothing; then nothing is ready, as c and d need each other, and the best priority left goes on
+    "topo_order_cycle": "SELECT * FROM (VALUES ('e', 1), ('a', 2), ('b', 3), ('c', 4), ('d', 5)) t(item, place)",
+    "cut_tree_folders": "SELECT * FROM (VALUES ('r', 'a/b/1', 'a/b'), ('r', 'a/b/2', 'a/b'), ('r', 'a/c/3', 'a/c'), ('r', 'a/c/d/4', 'a/c'), ('r', 'e/5', 'e'), ('r', '6', '')) t(repo_id, path, folder)",
     "innermost_symbol": _W + "SELECT key, node_id FROM (SELECT c.chunk_id AS key, n.node_id, row_number() OVER (PARTITION BY c.chunk_id ORDER BY n.line_end - n.line_start, n.stable_id) AS r FROM chks c JOIN files f USING (file_id) JOIN nodes n ON n.repo_id = c.repo_id AND n.file_path = f.path AND c.line_start BETWEEN n.line_start AND n.line_end WHERE c.node_id IS NOT NULL AND n.kind <> 'file') WHERE r = 1",
     "community_label": _W + "SELECT community_id, folder, n FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, folder) AS r FROM (SELECT community_id, string_split(file_path, '/')[1] AS folder, count(*) AS n FROM mems JOIN nodes USING (node_id) WHERE file_path IS NOT NULL GROUP BY ALL)) WHERE r = 1",
     "dominant_language": _W + "SELECT community_id, language, n FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY n DESC, language) AS r FROM (SELECT community_id, json_extract_string(metadata, '$.language') AS language, count(*) AS n FROM mems JOIN nodes USING (node_id) GROUP BY ALL) WHERE language IS NOT NULL) WHERE r = 1",

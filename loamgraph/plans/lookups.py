@@ -13,6 +13,7 @@ from ..session import table
 from ..sources import extract as E
 from ..sources import graph_rows as G
 from ..sources import relations as R
+from . import fixture as FX
 from .catalog import _W, LAYER_SQL
 
 SKIP = [".git", "target", "node_modules", ".venv", "dist", "build"]  # fixed values: directories that are skipped by default
@@ -38,7 +39,26 @@ def _stack(s, d):
     return P.dependencies(R.nodes(s, d))
 
 
+CONTRACTS = [("Vault", "a.sol", "solidity", "contract"), ("PayVault", "a.sol", "solidity", "contract"), ("Governor", "b.sol", "solidity", "interface"), ("IVault", None, "solidity", "interface"), ("payVaultLong", "c.sol", "solidity", "library"), ("PayEvent", "c.sol", "solidity", "event"), ("PayVault", "d.ts", "typescript", "contract")]
+FLAGS = [(1, "x", "core", None, None), (2, "x", " ", "src", "t"), (3, " ", None, None, None), (4, "the client layer", None, None, None), (5, "access control", None, None, None), (6, "a/b", None, None, None), (7, "docs", None, None, None)]
+
+
+def _flags(s):
+    rows = s.createDataFrame(FLAGS, "no int, q string, layer string, folder string, topic string")
+    r = K.resolved_filter(F.col("q"), F.col("layer"), F.col("folder"), F.col("topic"), T.words("docs"))
+    return rows.select("no", r.alias("r")).select("no", "r.kind", "r.value", "r.detected")
+
+
+def _curated(s):
+    cards = s.createDataFrame([("c1", "app · Run", 1), ("c2", "Run", 2), ("c3", "lib · Store", 3)], "card string, label string, order int")
+    wanted = s.createDataFrame([(1, 1, "A", "Run", None), (1, 2, "A", "Run", None), (2, 1, "B", "Store", "n"), (2, 2, "B", "Store", None)], "group_no int, place int, title string, label string, note string")
+    return K.curated(cards, wanted).select("group_no", "place", "card")
+
+
 QUERIES = {
+    "fixture_external_imports": lambda s, d: E.records(FX.files(s, FX.TREE)).filter("record = 'import' and path like '%.ts'").select(F.col("name").alias("module"), (T.is_bare(F.col("name")) & ~F.col("name").startswith("@acme/web")).alias("external")).distinct(),
+    "resolved_flags": lambda s, d: _flags(s),
+    "curated_domains": lambda s, d: _curated(s),
     "lookup_repositories": lambda s, d: K.repositories(_repos(s, d)),
     "lookup_projects": lambda s, d: _projects(s, d).select("name"),
     "lookup_project": lambda s, d: K.project(_projects(s, d), "forge").join(_members(s, d), "project_id").select("name", "repo_id", "alias"),
@@ -61,7 +81,7 @@ QUERIES = {
     "external_imports": lambda s, d: E.records(R.files(s, d)).filter("record = 'import'").select("repo_id", "path", F.col("name").alias("module")).filter(F.col("path").rlike(r"[.](ts|mts|js|mjs|jsx)$")).distinct().select("repo_id", "path", "module", (T.is_bare(F.col("module")) & ~T.import_package(F.col("module")).isin("react")).alias("external")),
     "merged_metadata": lambda s, d: R.nodes(s, d).select("node_id", W.merged_metadata(F.col("metadata"), F.lit('{"language":"x","seen":1}')).alias("m")).select("node_id", F.get_json_object("m", "$.language").alias("language"), F.get_json_object("m", "$.async").alias("is_async"), F.get_json_object("m", "$.seen").cast("int").alias("seen")),
     "vector_literals": lambda s, d: table(s, d, "chunk_embeddings").filter("embedding is not null").dropDuplicates(["embedding_id"]).select("embedding_id", X.literal(F.col("embedding")).alias("text")),
-    "solidity_contracts": lambda s, d: K.contracts(R.nodes(s, d).withColumn("metadata", F.when(F.col("file_path").endswith(".sol") & F.col("kind").isin("struct", "trait", "module"), F.lit('{"language":"solidity","solidity_kind":"contract"}')))),
+    "solidity_contracts": lambda s, d: K.contracts(s.createDataFrame([("r", n, f, '{"language":"%s","solidity_kind":"%s"}' % (lang, k)) for n, f, lang, k in CONTRACTS], "repo_id string, name string, file_path string, metadata string")),
     "declared_dependencies": _stack,
     "config_files": lambda s, d: P.configs(R.chunks(s, d).join(R.files(s, d).select("file_id", F.col("path").alias("file_path")), "file_id")),
     "select_folder": lambda s, d: K.selected(R.communities(s, d), R.members(s, d), R.nodes(s, d), "folder", "app"),
@@ -101,7 +121,10 @@ SQL = {
     "construct_files": _W + "SELECT file_id, contains(content, 'aws-cdk-lib') OR contains(content, '@aws-cdk/') OR contains(content, 'constructs') OR contains(content, 'extends Stack') OR contains(content, 'cdk.') AS cdk FROM files",
     "merged_metadata": _W + "SELECT node_id, 'x' AS language, json_extract_string(metadata, '$.async') AS is_async, 1 AS seen FROM nodes",
     "vector_literals": "SELECT DISTINCT embedding_id, '[' || array_to_string([CASE WHEN x IS NULL OR NOT isfinite(x) THEN '0.000' ELSE CAST(CAST(round(x::DOUBLE, 3) AS DECIMAL(12, 3)) AS VARCHAR) END FOR x IN embedding], ',') || ']' AS text FROM chunk_embeddings WHERE embedding IS NOT NULL",
-    "solidity_contracts": _W + "SELECT repo_id, name, 'contract' AS kind, file_path AS path FROM nodes WHERE file_path LIKE '%.sol' AND kind IN ('struct', 'trait', 'module') AND length(name) >= 5 AND regexp_matches(name, '^[A-Z]') AND (length(name) >= 8 OR regexp_matches(name, '^.+[A-Z]'))",
+    "solidity_contracts": "SELECT * FROM (VALUES ('r', 'PayVault', 'contract', 'a.sol'), ('r', 'Governor', 'interface', 'b.sol'), ('r', 'IVault', 'interface', '')) t(repo_id, name, kind, path)",
+    "fixture_external_imports": "SELECT * FROM (VALUES ('react', TRUE), ('@acme/web/kit', FALSE), ('./style', FALSE), ('aws-cdk-lib', TRUE), ('aws-cdk-lib/aws-lambda', TRUE)) t(module, external)",
+    "resolved_flags": "SELECT * FROM (VALUES (1, 'layer', 'core', FALSE), (2, 'folder', 'src', FALSE), (3, 'all', NULL, FALSE), (4, 'layer', 'the client layer', TRUE), (5, 'topic', 'access control', TRUE), (6, 'folder', 'a/b', TRUE), (7, 'folder', 'docs', TRUE)) t(no, kind, value, detected)",
+    "curated_domains": "SELECT * FROM (VALUES (1, 1, 'c2'), (1, 2, 'c1'), (2, 1, 'c3'), (2, 2, NULL)) t(group_no, place, card)",
     "declared_dependencies": _W + "SELECT repo_id, CASE WHEN contains(stable_id, ':cargo:dependency:') THEN 'cargo' ELSE 'npm' END AS ecosystem, name, coalesce(json_extract_string(metadata, '$.version'), '') AS version, coalesce(json_extract_string(metadata, '$.section'), '') AS section, coalesce(file_path, '') AS manifest FROM nodes WHERE kind = 'dependency' AND (contains(stable_id, ':npm:dependency:') OR contains(stable_id, ':cargo:dependency:'))",
     "config_files": _W + "SELECT DISTINCT c.repo_id, coalesce(json_extract_string(c.metadata, '$.config'), f.path) AS path FROM chks c JOIN files f USING (file_id) WHERE chunk_type = 'config'",
     "select_folder": _W + _BIG + " SELECT community_id, label FROM big WHERE community_id IN (SELECT community_id FROM mems JOIN nodes USING (node_id) WHERE lower(file_path) LIKE 'app/%' OR lower(file_path) = 'app')",

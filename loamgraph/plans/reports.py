@@ -7,9 +7,13 @@ from ..operators import catalog as C
 from ..operators import links as K
 from ..operators import merkle as M
 from ..operators import reports as P
+from ..operators import search as Q
+from ..operators import stack as K2
 from ..operators import summary as S
+from ..operators import vector as X
 from ..session import table
 from ..sources import relations as R
+from . import fixture as FX
 from .catalog import _W, LAYER_SQL
 from .graph import _CM, _MK, _comm_hash, _edited, _h
 
@@ -34,19 +38,6 @@ def _restore(s, d):
     return S.restored(_comm_hash(s, d).select("community_id", "hash"), cache)
 
 
-def _deps(s, d):
-    """Settings of configuration files as declared packages: the key is the name, the value its version."""
-    f = R.files(s, d).filter(F.col("path").rlike("[.]json$"))
-    kv = F.explode(F.regexp_extract_all("content", F.lit(r'"([A-Za-z_]+)\d*": \d+'), F.lit(0))).alias("kv")
-    rows = f.select("repo_id", F.col("path").alias("manifest"), kv)
-    name, value = F.regexp_extract("kv", r'"([A-Za-z_]+)\d*"', 1), F.regexp_extract("kv", r": (\d+)", 1)
-    return rows.select(F.lit("npm").alias("ecosystem"), name.alias("name"), (value.cast("long") % 7).cast("string").alias("version"), F.when(value.cast("long") % 2 == 0, "devDependencies").otherwise("dependencies").alias("section"), "manifest").distinct()
-
-
-_DEPS = r""", kv AS (SELECT path AS manifest, unnest(regexp_extract_all(content, '"[A-Za-z_]+[0-9]*": [0-9]+')) AS kv FROM files WHERE regexp_matches(path, '[.]json$')),
- deps AS (SELECT DISTINCT 'npm' AS ecosystem, regexp_extract(kv, '"([A-Za-z_]+)[0-9]*"', 1) AS name, (regexp_extract(kv, ': ([0-9]+)', 1)::BIGINT % 7)::VARCHAR AS version, CASE WHEN regexp_extract(kv, ': ([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'devDependencies' ELSE 'dependencies' END AS section, manifest FROM kv)"""
-
-
 def _symbol_links(s, d):
     n = R.nodes(s, d).filter("file_path is not null")
     definitions = n.filter("kind = 'struct'").select(F.lit("symbol").alias("kind"), "name", "repo_id", F.col("file_path").alias("path"))
@@ -61,8 +52,22 @@ def _pages(s, d):
 
 
 def _hits(s, d):
+    """Literal hits of two questions."""
     p = R.chunks(s, d).join(R.files(s, d).select("file_id", "path"), "file_id")
-    return p.select(F.col("repo_id").alias("question"), "path", "chunk_type", (F.length("content") % 97 / 10.0).alias("score"))
+    out = None
+    for term in ("ledger", "cursor"):
+        one = Q.literal(p, term).select("chunk_id", "score", F.lit(term).alias("question"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(p.select("chunk_id", "path", "chunk_type"), "chunk_id")
+
+
+def _semantic(s, d):
+    """Communities by the mean of their chunks' vectors against one question's."""
+    v = R.embeddings(s, d).filter("model_id = 'quillmini-64'").join(R.chunks(s, d).select("chunk_id", "node_id"), "chunk_id").join(R.members(s, d), "node_id")
+    return X.top_k(X.centroid(v, "community_id"), "community_id", QUESTION, 24)
+
+
+QUESTION = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
 
 
 QUERIES = {
@@ -71,15 +76,15 @@ QUERIES = {
     "layer_vote": _roles,
     "summary_gate": _gate,
     "summary_cache_restore": _restore,
-    "stack_dependencies": lambda s, d: P.packages(_deps(s, d)),
-    "stack_scripts": lambda s, d: P.scripts(_deps(s, d).select("name", F.when(F.col("version") == "0", "").otherwise(F.concat(F.lit("run "), "version")).alias("command"), F.concat("manifest", F.lit("#"), "version").alias("manifest"))),
-    "stack_infra": lambda s, d: P.infrastructure(R.files(s, d).filter(F.col("path").rlike("[.](ya?ml|toml|env)$")).select(F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("technology"), F.regexp_extract("content", r"service\s*[:=]\s*[\"']?(\w+)", 1).alias("service"), F.col("path").alias("name"), F.col("path").alias("file")).distinct()),
+    "stack_dependencies": lambda s, d: P.packages(K2.dependencies(R.nodes(s, d))),
+    "stack_scripts": lambda s, d: P.scripts(K2.scripts(FX.graph(s)["nodes"])),
+    "stack_infra": lambda s, d: P.infrastructure(K2.deployments(FX.graph(s)["nodes"])),
     "impact_summary": lambda s, d: P.impact(_hits(s, d)),
     "manifest_correlate": lambda s, d: P.correlated(_pages(s, d)),
     "link_matches": _symbol_links,
     "link_aggregate": lambda s, d: K.aggregated(_symbol_links(s, d), C.dominant_community(R.nodes(s, d), R.members(s, d))),
     "feature_inventory": lambda s, d: P.features(R.communities(s, d), R.members(s, d), R.nodes(s, d), ["report", "ledger"]),
-    "change_plan": lambda s, d: P.change_plan(R.communities(s, d).select("community_id", (F.length("label") / 100.0).alias("score")).filter("score >= 0.1"), M.changed(_comm_hash(s, d), _comm_hash(s, d, _edited(s, d)), "community_id").filter("community_id < '3'"), 40),
+    "change_plan": lambda s, d: P.change_plan(_semantic(s, d).filter("score >= 0.05"), M.changed(_comm_hash(s, d), _comm_hash(s, d, _edited(s, d)), "community_id")),
     "context_warnings": lambda s, d: P.context_warnings(R.files(s, d).select(F.col("path").alias("word")).distinct(), R.files(s, d), R.files(s, d).filter("language = 'python'")),
 }
 
@@ -93,14 +98,14 @@ SQL = {
     "layer_vote": _W + f", v AS (SELECT m.community_id, {LAYER_SQL.format(p='coalesce(file_path, ' + repr('') + ')', k='kind')} AS layer FROM mems m JOIN nodes USING (node_id)) SELECT community_id, layer FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY (layer = 'unknown')::INT, n DESC, CASE layer WHEN 'entry' THEN 0 WHEN 'interface' THEN 1 WHEN 'core' THEN 2 WHEN 'unknown' THEN 3 ELSE 4 END) AS r FROM (SELECT community_id, layer, count(*) AS n FROM v GROUP BY ALL)) WHERE r = 1",
     "summary_gate": _W + _MK.format(h=_h) + _CM.format(n="ch", f="fh") + _MK.format(h="CASE WHEN chunk_type = 'struct' THEN sha256(content || '!') ELSE content_hash END").replace("fh AS", "fh2 AS") + _CM.format(n="ch2", f="fh2") + "SELECT ch2.community_id, ch2.hash FROM ch2 LEFT JOIN ch USING (community_id) WHERE (ch.hash || '-sum3') IS DISTINCT FROM (ch2.hash || '-sum3')",
     "summary_cache_restore": _W + _MK.format(h=_h) + _CM.format(n="ch", f="fh") + "SELECT community_id, min(substr(community_id, 1, 8)) OVER (PARTITION BY hash) AS summary FROM ch",
-    "stack_dependencies": _W + _DEPS + ", v AS (SELECT ecosystem, name, version, min(manifest) AS m FROM deps WHERE version <> '' GROUP BY ALL), vv AS (SELECT ecosystem, name, string_agg(version, ',' ORDER BY m, version) AS versions FROM (SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY m, version) AS r FROM v) WHERE r <= 4 GROUP BY ALL) SELECT ecosystem, name, versions, CASE WHEN count(DISTINCT section) = 2 THEN 'mixed' WHEN min(section) = 'devDependencies' THEN 'dev' ELSE 'runtime' END AS scope, count(DISTINCT manifest) AS manifests FROM deps JOIN vv USING (ecosystem, name) GROUP BY ALL",
-    "stack_scripts": _W + _DEPS + ", sc AS (SELECT DISTINCT name, CASE WHEN version = '0' THEN '' ELSE 'run ' || version END AS command, manifest || '#' || version AS manifest FROM deps) SELECT name, count(DISTINCT manifest) AS manifests, coalesce(min_by(command, manifest) FILTER (command <> ''), '') AS command FROM sc GROUP BY name",
-    "stack_infra": _W + r", i AS (SELECT DISTINCT regexp_extract(path, '[.]([a-z]+)$', 1) AS technology, regexp_extract(content, 'service\s*[:=]\s*[\x22'']?([A-Za-z0-9_]+)', 1) AS service, path AS name FROM files WHERE regexp_matches(path, '[.](ya?ml|toml|env)$')) SELECT technology, service, count(*) AS resources, string_agg(CASE WHEN r <= 3 THEN name END, ',' ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY technology, service ORDER BY name) AS r FROM i) GROUP BY ALL",
-    "impact_summary": _W + ", h AS (SELECT c.repo_id AS question, f.path, chunk_type, length(content) % 97 / 10.0 AS score FROM chks c JOIN (SELECT file_id, path FROM files) f USING (file_id)), g AS (SELECT question, path, count(*) AS hits, round(max(score), 6)::DOUBLE AS score, max((chunk_type NOT IN ('documentation', 'config'))::INT) AS code FROM h GROUP BY ALL) SELECT question, path, hits, score, code, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY code DESC, score DESC, path) AS place FROM g) WHERE place <= 24",
+    "stack_dependencies": _W + ", deps AS (SELECT 'npm' AS ecosystem, name, coalesce(json_extract_string(metadata, '$.version'), '') AS version, coalesce(file_path, '') AS manifest FROM nodes WHERE kind = 'dependency' AND contains(stable_id, ':npm:dependency:')), v AS (SELECT name, version, min(manifest) AS m FROM deps WHERE version <> '' GROUP BY ALL), vv AS (SELECT name, string_agg(version, ',' ORDER BY m, version) AS versions FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY m, version) AS r FROM v) WHERE r <= 4 GROUP BY ALL) SELECT ecosystem, name, coalesce(versions, '') AS versions, 'runtime' AS scope, count(DISTINCT manifest) AS manifests FROM deps LEFT JOIN vv USING (name) GROUP BY ALL",
+    "stack_scripts": "SELECT 'build' AS name, 1 AS manifests, 'vite build' AS command",
+    "stack_infra": "SELECT * FROM (VALUES ('aws_cdk', '', 2, 'AWS CDK app,LedgerStack'), ('aws_cdk', 'lambda', 1, 'lambda.Function Handler')) t(technology, service, resources, examples)",
+    "impact_summary": _W + ", h AS (SELECT q AS question, path, chunk_type, CASE WHEN contains(lower(path), q) THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(content), q) THEN 0.35 ELSE 0 END AS score FROM (SELECT f.path, chunk_type, content, unnest(['ledger', 'cursor']) AS q FROM chks c JOIN (SELECT file_id, path FROM files) f USING (file_id)) WHERE contains(lower(path), q) OR contains(lower(content), q)), g AS (SELECT question, path, count(*) AS hits, round(max(score), 6)::DOUBLE AS score, max((chunk_type NOT IN ('documentation', 'config'))::INT) AS code FROM h GROUP BY ALL) SELECT question, path, hits, score, code, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY code DESC, score DESC, path) AS place FROM g) WHERE place <= 24",
     "manifest_correlate": _W + ", p AS (SELECT DISTINCT m.community_id AS page, 'file' AS kind, lower(file_path) AS item FROM mems m JOIN nodes USING (node_id) WHERE file_path IS NOT NULL UNION SELECT m.community_id, 'symbol', lower(name) FROM mems m JOIN nodes USING (node_id) WHERE file_path IS NOT NULL AND kind <> 'file') SELECT a.page AS a, b.page AS b, CAST(sum(CASE WHEN kind = 'file' THEN 2 ELSE 1 END) AS BIGINT) AS score FROM p a JOIN p b USING (kind, item) WHERE a.page < b.page GROUP BY ALL",
     "link_matches": _W + _SYM + "SELECT * FROM lm",
     "link_aggregate": _W + _SYM + f", dm AS {_DM}, x AS (SELECT lm.kind, s.community_id AS source, t.community_id AS target, lm.name, count(*) AS n FROM lm JOIN dm s ON s.repo_id = from_repo AND s.file_path = from_path JOIN dm t ON t.repo_id = to_repo AND t.file_path = to_path WHERE s.community_id <> t.community_id GROUP BY ALL) SELECT kind, source, target, CAST(sum(n) AS BIGINT) AS total, string_agg(CASE WHEN r <= 6 THEN name END, ',' ORDER BY name) AS names, 0.8::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY kind, source, target ORDER BY name) AS r FROM x) GROUP BY kind, source, target",
     "feature_inventory": _W + ", g AS (SELECT community_id, count(*) AS symbols, CAST(sum((contains(lower(name), 'report') OR contains(lower(name), 'ledger'))::INT) AS BIGINT) AS matched FROM mems JOIN nodes USING (node_id) WHERE kind <> 'file' GROUP BY 1) SELECT community_id, label, matched, symbols FROM comms JOIN g USING (community_id) WHERE matched > 0 OR list_bool_or([starts_with(s, 'report') OR starts_with(s, 'ledger') FOR s IN regexp_split_to_array(lower(label), '[^a-z0-9]+')])",
-    "change_plan": _W + _MK.format(h=_h) + _CM.format(n="ch", f="fh") + _MK.format(h="CASE WHEN chunk_type = 'struct' THEN sha256(content || '!') ELSE content_hash END").replace("fh AS", "fh2 AS") + _CM.format(n="ch2", f="fh2") + ", z AS (SELECT community_id, length(label) / 100.0 AS c, 'semantic' AS why FROM comms WHERE length(label) >= 10 UNION ALL SELECT ch2.community_id, 1.0, 'diff' FROM ch2 LEFT JOIN ch USING (community_id) WHERE ch2.hash IS DISTINCT FROM ch.hash AND ch2.community_id < '3') SELECT community_id, round(max(c), 6)::DOUBLE AS confidence, string_agg(DISTINCT why, '+' ORDER BY why) AS reasons FROM z GROUP BY 1 ORDER BY confidence DESC, community_id LIMIT 40",
+    "change_plan": _W + _MK.format(h=_h) + _CM.format(n="ch", f="fh") + _MK.format(h="CASE WHEN chunk_type = 'struct' THEN sha256(content || '!') ELSE content_hash END").replace("fh AS", "fh2 AS") + _CM.format(n="ch2", f="fh2") + f", p AS (SELECT m.community_id, unnest(v.embedding) AS x, generate_subscripts(v.embedding, 1) AS i FROM vecs v JOIN chks c USING (chunk_id) JOIN mems m ON m.node_id = c.node_id WHERE model_id = 'quillmini-64'), mv AS (SELECT community_id, i, avg(x::DOUBLE) AS m FROM p GROUP BY ALL), e AS (SELECT community_id, list(m ORDER BY i) AS embedding FROM mv GROUP BY 1), sem AS (SELECT community_id, round(list_cosine_similarity(embedding, {[float(x) for x in QUESTION]}::DOUBLE[]), 6) AS c FROM e ORDER BY c DESC, community_id LIMIT 24), z AS (SELECT community_id, c, 'semantic' AS why FROM sem WHERE c >= 0.05 UNION ALL SELECT ch2.community_id, 1.0, 'diff' FROM ch2 LEFT JOIN ch USING (community_id) WHERE ch2.hash IS DISTINCT FROM ch.hash) SELECT community_id, round(max(c), 6)::DOUBLE AS confidence, string_agg(DISTINCT why, '+' ORDER BY why) AS reasons FROM z GROUP BY 1 ORDER BY confidence DESC, community_id LIMIT 8",
     "context_warnings": "SELECT DISTINCT path AS word FROM source_files WHERE path NOT IN (SELECT path FROM source_files WHERE language = 'python')",
 }

@@ -74,9 +74,9 @@ _factor = f"""CASE WHEN lex > 0 THEN 1 + least(lex * 0.08, 0.8) ELSE 1 END
   * CASE WHEN content IN ('function', 'struct', 'trait') THEN 1.04 ELSE 1 END"""
 
 
-def _seeds(s, d):
-    rows = _mini(s, d).orderBy("chunk_id", "embedding_id").limit(5).select("chunk_id", "embedding").collect()  # five seeds
-    return [(r.chunk_id, list(r.embedding)) for r in rows]
+def _asked(s, d):
+    """The vectors of every hundredth chunk, by its id's last four digits."""
+    return _mini(s, d).filter("conv(right(chunk_id, 4), 16, 10) % 100 = 0")
 
 
 def _layer_scores(s, d):
@@ -91,7 +91,7 @@ def _layer_scores(s, d):
 QUERIES = {
     "semantic_topk": lambda s, d: X.top_k(_mini(s, d), "chunk_id", _Q, 20),
     "community_topk": lambda s, d: X.top_k(X.centroid(_mini(s, d).join(R.chunks(s, d).select("chunk_id", "repo_id"), "chunk_id"), "repo_id"), "repo_id", _Q, 8),
-    "semantic_neighbors": lambda s, d: X.best_to_seeds(_mini(s, d), "chunk_id", _seeds(s, d), 0.3),
+    "semantic_neighbors": lambda s, d: X.neighbours_of_seeds(_mini(s, d), _asked(s, d), "chunk_id", 0.3),
     "pairwise_similarity": lambda s, d: X.pairwise(_mini(s, d).join(R.chunks(s, d).select("chunk_id", "file_id"), "chunk_id"), "embedding_id", ["file_id"]),
     "layer_route_maxpool": lambda s, d: X.routed_layers(_layer_scores(s, d)),
     "invalid_vectors": lambda s, d: X.invalid(table(s, d, "chunk_embeddings")),
@@ -116,7 +116,7 @@ QUERIES = {
 SQL = {
     "semantic_topk": _W + f"SELECT chunk_id, {_COS.format(q=_QSQL)} AS score FROM vecs WHERE model_id = 'quillmini-64' ORDER BY score DESC, chunk_id LIMIT 20",
     "community_topk": _W + f", p AS (SELECT c.repo_id, unnest(v.embedding) AS x, generate_subscripts(v.embedding, 1) AS i FROM vecs v JOIN chks c USING (chunk_id) WHERE model_id = 'quillmini-64'), m AS (SELECT repo_id, i, avg(x::DOUBLE) AS m FROM p GROUP BY ALL), e AS (SELECT repo_id, list(m ORDER BY i) AS embedding FROM m GROUP BY repo_id) SELECT repo_id, {_COS.format(q=_QSQL)} AS score FROM e ORDER BY score DESC, repo_id LIMIT 8",
-    "semantic_neighbors": _W + ", seeds AS (SELECT chunk_id AS sid, embedding AS se FROM vecs WHERE model_id = 'quillmini-64' ORDER BY chunk_id, embedding_id LIMIT 5) SELECT chunk_id, max(round(list_cosine_similarity(embedding::DOUBLE[], se::DOUBLE[]), 6)) AS best FROM vecs, seeds WHERE model_id = 'quillmini-64' AND chunk_id NOT IN (SELECT sid FROM seeds) GROUP BY chunk_id, embedding_id HAVING best >= 0.3",
+    "semantic_neighbors": _W + ", seeds AS (SELECT chunk_id AS sid, embedding AS se FROM vecs WHERE model_id = 'quillmini-64' AND ('0x' || right(chunk_id, 4))::INT % 100 = 0) SELECT chunk_id, max(round(list_cosine_similarity(embedding::DOUBLE[], se::DOUBLE[]), 6)) AS best FROM vecs, seeds WHERE model_id = 'quillmini-64' AND chunk_id NOT IN (SELECT sid FROM seeds) GROUP BY chunk_id HAVING best >= 0.3",
     "pairwise_similarity": _W + ", v AS (SELECT v.*, c.file_id FROM vecs v JOIN chks c USING (chunk_id) WHERE model_id = 'quillmini-64') SELECT a.embedding_id AS a, b.embedding_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM v a JOIN v b USING (file_id) WHERE a.embedding_id < b.embedding_id",
     "invalid_vectors": "SELECT DISTINCT embedding_id, CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) <> dimensions THEN 'size' WHEN list_bool_or([isnan(x) OR isinf(x) FOR x IN embedding]) THEN 'not finite' WHEN list_bool_and([x = 0 FOR x IN embedding]) THEN 'zero' END AS reason FROM chunk_embeddings WHERE reason IS NOT NULL",
     "benchmark_vectors_topk": f"SELECT vec_id, {_COS.format(q=_QSQL)} AS score FROM embeddings WHERE len(embedding) = 64 ORDER BY score DESC, vec_id LIMIT 10",

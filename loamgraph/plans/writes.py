@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embedding as E
+from ..operators import links as L
+from ..operators import search as Q
 from ..operators import stack as P
 from ..operators import summary as S
+from ..operators import vector as V
+from ..operators import workspace as K
 from ..operators import writes as W
 from ..session import table
+from ..sinks import notes as N
 from ..sources import relations as R
 from . import expected as A
 from . import fixture as X
@@ -132,7 +137,62 @@ def _links(s):
     return W.load_links(W.replace_links(rows, "q", s.createDataFrame([("abi", "x", "z", 0.8)], "kind string, source string, target string, confidence double")))
 
 
+def _cards(s):
+    """Fifteen cards in one folder and three apart."""
+    rows = [(f"c{i:02d}", f"app/{'ui' if i < 5 else 'api'}/f{i}.ts") for i in range(15)] + [("d1", "lib/a.py"), ("d2", "lib/b.py"), ("e1", "tools/x/y.py")]
+    return K.domains(s.createDataFrame(rows, "card string, path string"))
+
+
+def _composed(s):
+    member = "struct<name:string,kind:string,path:string>"
+    rows = s.createDataFrame([("c", "app/ledger", 3, [("load", "function", "app/b.py"), ("app/a.py", "file", "app/a.py"), ("Store", "struct", "app/a.py")], ["def load(): ..."])], f"community_id string, label string, member_count int, members array<{member}>, snippets array<string>")
+    return S.composed(rows, s.createDataFrame([("c", "core")], "community_id string, layer string"))
+
+
+def _peers(s):
+    comms = s.createDataFrame([("a", "one", ["x", "y"]), ("b", "two", ["z"]), ("c", "three", ["q"])], "community_id string, label string, members array<string>")
+    return N.community_notes(comms, s.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0)], "a string, b string, weight double"))
+
+
+def _pooled(s):
+    rows = [("q1", "core", 0.70), ("q1", "core", 0.60), ("q1", "entry", 0.66), ("q1", "interface", 0.63), ("q2", "core", 0.64), ("q3", "entry", 0.90), ("q3", "core", 0.80)]
+    return V.routed_layers(s.createDataFrame(rows, "query string, layer string, score double"))
+
+
+def _retained(s):
+    """Nine hits for five places: none of the first five is a document, so the best later one comes just before the cut."""
+    rows = [("q", f"h{i}", 1.0 - i / 10, i in (6, 8)) for i in range(9)]
+    return Q.retained_documents(s.createDataFrame(rows, "question string, chunk_id string, score double, supplemental boolean"), 5)
+
+
+#: (repo, path, text) of three repositories that use each other.
+SHARED = [
+    ("api", "package.json", '{"name": "@acme/api-kit"}'), ("core", "crates/core/Cargo.toml", '[package]\nname = "ledger-core"\n'), ("web", "package.json", '{"name": "ab"}'), ("web", "x/package.json", "{"),
+    ("api", "src/routes.ts", "app.get('/api/users/:id', f);\napp.post('/login', g);\n"), ("web", "src/a.ts", "import { k } from '@acme/api-kit/deep';\nfetch('/api/users/42');\nfetch('/nothing');\n"),
+    ("web", "src/b.rs", "use ledger_core::Ledger;\n"), ("core", "crates/core/src/lib.rs", "use ledger_core::own;\n"), ("web", "src/c.ts", "fetch(`/v1/api/users/${id}`); fetch('/log')\n"), ("web", "src/d.js", "const k = require('@acme/api-kit');\n"),
+]
+
+
+def _shared(s):
+    return s.createDataFrame(SHARED, "repo_id string, path string, content string")
+
+
+def _code(s):
+    return _shared(s).filter("path rlike '[.](ts|js|rs)$'")
+
+
 QUERIES = {
+    "published_packages": lambda s, d: L.packages(_shared(s)),
+    "registered_routes": lambda s, d: L.routes(_code(s)),
+    "called_routes": lambda s, d: L.calls(_code(s)),
+    "package_links": lambda s, d: L.package_matches(L.packages(_shared(s)), _code(s)),
+    "route_links": lambda s, d: L.route_matches(L.calls(_code(s)), L.routes(_code(s))),
+    "package_communities": lambda s, d: L.package_places(s.createDataFrame([("c1", "n1"), ("c1", "n2"), ("c2", "n3"), ("c2", "n4"), ("c2", "n5"), ("c3", "n6")], "community_id string, node_id string"), s.createDataFrame([(f"n{i}", "r", p) for i, p in ((1, "a/x.ts"), (2, "a/y.ts"), (3, "a/b/z.ts"), (4, "q.ts"), (5, "q.ts"), (6, "a/w.ts"))], "node_id string, repo_id string, file_path string"), s.createDataFrame([("r", "a"), ("r", ""), ("r", "a/b"), ("r", "zz")], "repo_id string, dir string")),
+    "domains_of_cards": lambda s, d: _cards(s),
+    "composed_text": lambda s, d: _composed(s),
+    "peer_notes": lambda s, d: _peers(s),
+    "pooled_layers": lambda s, d: _pooled(s),
+    "retained_hits": lambda s, d: _retained(s),
     "extract_nodes": lambda s, d: X.graph(s)["nodes"].select(NODE),
     "extract_edges": lambda s, d: X.named_edges(X.graph(s)).select(EDGE),
     "extract_chunks": lambda s, d: X.graph(s)["chunks"].select(CHUNK),
@@ -158,6 +218,18 @@ QUERIES = {
 }
 
 SQL = {
+    "published_packages": "SELECT * FROM (VALUES ('api', '@acme/api-kit', ''), ('core', 'ledger-core', 'crates/core')) t(repo_id, name, dir)",
+    "registered_routes": "SELECT * FROM (VALUES ('api', '/api/users/*', 'src/routes.ts'), ('api', '/login', 'src/routes.ts')) t(repo_id, route, path)",
+    # what follows .get( and .post( counts as called too
+    "called_routes": "SELECT * FROM (VALUES ('api', '/api/users/*', 'src/routes.ts'), ('api', '/login', 'src/routes.ts'), ('web', '/api/users/42', 'src/a.ts'), ('web', '/nothing', 'src/a.ts'), ('web', '/v1/api/users/*', 'src/c.ts'), ('web', '/log', 'src/c.ts')) t(repo_id, route, path)",
+    "package_links": "SELECT * FROM (VALUES ('package_dep', '@acme/api-kit', 'web', 'src/a.ts', 'api', ''), ('package_dep', '@acme/api-kit', 'web', 'src/d.js', 'api', ''), ('package_dep', 'ledger-core', 'web', 'src/b.rs', 'core', 'crates/core')) t(kind, name, from_repo, from_path, to_repo, to_dir)",
+    "route_links": "SELECT * FROM (VALUES ('http_route', '/api/users/*', 'web', 'src/a.ts', 'api', 'src/routes.ts'), ('http_route', '/api/users/*', 'web', 'src/c.ts', 'api', 'src/routes.ts')) t(kind, name, from_repo, from_path, to_repo, to_path)",
+    "package_communities": "SELECT * FROM (VALUES ('r', 'a', 'c2'), ('r', '', 'c2'), ('r', 'a/b', 'c2')) t(repo_id, dir, community_id)",
+    "domains_of_cards": "SELECT * FROM (VALUES " + ", ".join(f"('c{i:02d}', 'app/{'ui' if i < 5 else 'api'}')" for i in range(15)) + ", ('d1', 'lib'), ('d2', 'lib'), ('e1', 'other')) t(card, domain)",
+    "composed_text": "SELECT 'c' AS community_id, 'app/ledger (app ledger)' || chr(10) || 'Role: core logic.' || chr(10) || 'Key symbols: load, Store.' || chr(10) || 'Files: app/a.py, app/b.py.' || chr(10) || 'Composition: 1 file, 1 function, 1 struct (3 members).' || chr(10) || 'Representative code:' || chr(10) || 'def load(): ...' || chr(10) AS summary",
+    "peer_notes": "SELECT * FROM (VALUES ('a', '# one' || chr(10) || 'members: 2' || chr(10) || '## Peers' || chr(10) || '- three' || chr(10) || '- two' || chr(10)), ('b', '# two' || chr(10) || 'members: 1' || chr(10) || '## Peers' || chr(10) || '- one' || chr(10)), ('c', '# three' || chr(10) || 'members: 1' || chr(10) || '## Peers' || chr(10) || '- one' || chr(10))) t(community_id, note)",
+    "pooled_layers": "SELECT * FROM (VALUES ('q1', 'core', 0.70::DOUBLE, 2), ('q1', 'entry', 0.66, 0), ('q3', 'entry', 0.90, 0)) t(query, layer, score, rank)",
+    "retained_hits": "SELECT * FROM (VALUES ('q', 'h0', 1), ('q', 'h1', 2), ('q', 'h2', 3), ('q', 'h3', 4), ('q', 'h6', 5)) t(question, chunk_id, place)",
     "extract_nodes": _values(A.NODES, NODE),
     "extract_edges": _values(A.EDGES, EDGE),
     "extract_chunks": _values(A.CHUNKS, CHUNK),

@@ -41,6 +41,7 @@ _IMPORTS = {
     "js": re.compile(r"""(?m)^[ \t]*import\b[^;'"\n]*['"]([^'"\n]+)['"]"""),
     "solidity": re.compile(r"""(?m)^[ \t]*import\b[^;'"\n]*['"]([^'"\n]+)['"]"""),
 }
+_ENDS = re.compile(r"[{};]")
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\s*\(")
 LANGUAGES = {"py": "python", "pyi": "python", "rs": "rust", "ts": "js", "mts": "js", "tsx": "js", "js": "js", "mjs": "js", "jsx": "js", "sol": "solidity"}
 
@@ -53,16 +54,16 @@ def _blanked(text: str, lang: str) -> str:
 def block_end(text: str, at: int) -> int:
     """End of the item that begins at ``at``: its closing brace, or a semicolon that comes before any brace."""
     depth = 0
-    for i in range(at, len(text)):
-        c = text[i]
+    for m in _ENDS.finditer(text, at):
+        c = m.group()
         if c == "{":
             depth += 1
         elif c == "}":
             depth -= 1
             if depth <= 0:
-                return i
-        elif c == ";" and depth == 0:
-            return i
+                return m.start()
+        elif depth == 0:
+            return m.start()
     return len(text) - 1
 
 
@@ -83,6 +84,7 @@ def python_records(text: str) -> list[tuple]:
                 for c in ast.walk(n):
                     if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute)):
                         out.append(("call", "calls", c.func.id if isinstance(c.func, ast.Name) else c.func.attr, c.lineno, c.lineno))
+                closures(n)
             elif isinstance(n, ast.ClassDef):
                 out.append(("symbol", "struct", n.name, n.lineno, n.end_lineno))
                 visit(n, True)
@@ -91,6 +93,14 @@ def python_records(text: str) -> list[tuple]:
             elif isinstance(n, ast.ImportFrom):
                 out.append(("import", "imports", "." * n.level + (n.module or ""), n.lineno, n.lineno))
 
+    def closures(f: ast.AST) -> None:
+        """Functions defined inside a function; their calls are counted with it."""
+        for n in ast.iter_child_nodes(f):
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                start = min([n.lineno, *(d.lineno for d in n.decorator_list)])
+                out.append(("symbol", "function", n.name, start, n.end_lineno))
+            closures(n)
+
     visit(tree, False)
     return out
 
@@ -203,3 +213,27 @@ def workspace_packages(files: DataFrame) -> DataFrame:
     """Names that the tree's own package manifests declare."""
     name = F.get_json_object("content", "$.name")
     return files.filter(F.col("path").rlike(r"(^|/)package\.json$")).select("repo_id", name.alias("name")).filter("name is not null").distinct()
+
+
+def manifest_name(path: str, text: str) -> str | None:
+    """The name that a package manifest publishes, of three characters at least."""
+    try:
+        data = json.loads(text) if path.endswith("package.json") else tomllib.loads(text).get("package")
+        name = data.get("name") if isinstance(data, dict) else None
+    except (ValueError, RecursionError):
+        return None
+    name = name.strip() if isinstance(name, str) else ""
+    return name if len(name) >= 3 else None
+
+
+def manifest_names(files: DataFrame) -> DataFrame:
+    """(repo_id, path, name) of package.json and Cargo.toml."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names = [manifest_name(p, t) for p, t in zip(b.path, b.content)]
+            out = pd.DataFrame({"repo_id": b.repo_id, "path": b.path, "name": names})
+            yield out[out.name.notna()]
+
+    known = files.filter(F.col("path").rlike(r"(^|/)(package\.json|Cargo\.toml)$") & F.col("content").isNotNull()).select("repo_id", "path", "content")
+    return known.mapInPandas(run, "repo_id string, path string, name string")
