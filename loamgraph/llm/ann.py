@@ -272,10 +272,13 @@ def partners(x: np.ndarray, q: np.ndarray, least: float, top: int, size: int = 1
 def usable(embeddings: DataFrame) -> DataFrame:
     """(provider, model_id, dimensions, embedding_id, chunk_id, embedding) of usable vectors."""
     v = F.col("embedding")
-    finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    # NaN is the greatest of all numbers, so the greatest and the least tell whether all are finite, and whether any is not 0
+    top, low = F.array_max(v), F.array_min(v)
+    finite = ~F.isnan(top) & (top < float("inf")) & (low > float("-inf")) & ((top != 0) | (low != 0))
+    whole = (F.size(v) == F.col("dimensions")) & finite & F.forall(v, lambda e: e.isNotNull())
     return embeddings.select(*MODEL, "embedding_id", "chunk_id", "embedding").filter(
         "chunk_id is not null and embedding_id is not null and provider is not null and model_id is not null and embedding is not null"
-    ).filter((F.size(v) == F.col("dimensions")) & finite & F.exists(v, lambda e: e != 0))
+    ).filter(whole)
 
 
 def keyed(embeddings: DataFrame) -> DataFrame:
@@ -354,11 +357,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 _ROUTED = "provider string, model_id string, dimensions int, class_id string, embedding array<float>, cell int, routes array<int>, far array<float>"
 
 
-def routed(rows: DataFrame, shard: int = SHARD) -> DataFrame:
+def routed(rows: DataFrame, about: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per different vector of a model, with the cell of its nearest pivot and the cells beside it."""
     spark = rows.sparkSession
     # one row per model; the number of different vectors is only needed about
-    sizes = {(r.provider, r.model_id, r.dimensions): max(1, r.n) for r in rows.groupBy(*MODEL).agg(F.approx_count_distinct("class_id", 0.02).alias("n")).collect()}
+    sizes = {(r.provider, r.model_id, r.dimensions): max(1, r.n) for r in about.groupBy(*MODEL).agg(F.approx_count_distinct(F.xxhash64("embedding"), 0.02).alias("n")).collect()}
     cells = {m: max(1, min(MOST_SHARDS, -(-n // shard))) for m, n in sizes.items()}
     if not sizes:
         return spark.createDataFrame([], _ROUTED)
@@ -410,7 +413,7 @@ def routed(rows: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def classes(embeddings: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors with their shard (cell, sub) and the cells beside it, and (class_id, chunk_id) of all members."""
-    v = routed(keyed(embeddings), shard)
+    v = routed(keyed(embeddings), embeddings.filter("embedding is not null"), shard)
     # at most MOST_SHARDS rows per model
     parts = v.groupBy(*MODEL, "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).cast("int").alias("subs"))
     v = v.join(F.broadcast(parts), [*MODEL, "cell"])
