@@ -1,8 +1,9 @@
 """Immutable table versions and the record deltas between them.
 
-A table is a folder of immutable Parquet data files.  Each commit writes a *manifest* (one row per live file:
+A table is a folder of immutable Parquet data files.  Each commit writes a *manifest* (one line per live file:
 path, bucket, row count, digest of the rows, path of its deletion vector) and then one small JSON commit file,
-created exclusively, that names the manifest and carries free metadata.  Readers see a version only once its
+created exclusively, that names the manifest and carries free metadata.  Manifests are read and compared by the driver,
+without a job.  Readers see a version only once its
 commit file exists, so a job that dies leaves files no version names.
 
 ``changes(a, b)`` diffs two manifests: files only in ``b`` are added, files only in ``a`` removed, and a file in
@@ -25,24 +26,31 @@ table commits an empty manifest; columns may have any name except the prefix ``_
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MANIFEST = T.StructType(
-    [
-        T.StructField("file", T.StringType()),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("digest_a", T.LongType()),
-        T.StructField("digest_b", T.LongType()),
-        T.StructField("dv", T.StringType()),
-    ]
-)
+class DataFile(NamedTuple):
+    """A live file of a version."""
+
+    file: str
+    bucket: int
+    rows: int
+    digest_a: int
+    digest_b: int
+    dv: str | None = None
+
+    @property
+    def content(self) -> tuple:
+        """Equal for files that hold the same rows."""
+        return self.bucket, self.rows, self.digest_a, self.digest_b
 
 
 class CommitConflict(RuntimeError):
@@ -73,11 +81,7 @@ class VersionedTable:
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[0] != "_"), default=-1)
 
     def commit_info(self, version: int) -> dict:
-        stream = self._fs.open(self._path(self._commit_path(version)))
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
+        return json.loads(self._read(self._commit_path(version)).decode())
 
     def _commit(self, version: int, manifest: str, meta: dict) -> int:
         body = json.dumps({"version": version, "manifest": manifest, "buckets": self.buckets, "meta": meta}).encode()
@@ -92,15 +96,26 @@ class VersionedTable:
             raise CommitConflict(f"version {version} of {self.root} exists")
         return version
 
-    def _write_manifest(self, rows: DataFrame) -> str:
-        path = f"{self.root}/manifests/{uuid.uuid4().hex}"
-        rows.select([F.col(f.name).cast(f.dataType) for f in MANIFEST]).coalesce(1).write.parquet(path)
+    def _read(self, path: str) -> bytes:
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def _write_manifest(self, files: list[DataFile]) -> str:
+        path = f"{self.root}/manifests/{uuid.uuid4().hex}.json.gz"
+        out = self._fs.create(self._path(path), False)
+        out.write(bytearray(gzip.compress("\n".join(json.dumps(f) for f in files).encode())))
+        out.close()
         return path
 
-    def manifest(self, version: int) -> DataFrame:
+    def manifest(self, version: int) -> list[DataFile]:
+        """The files of a version: names and five numbers each, which the driver plans reading by, as for any scan."""
         if version < 0:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(self.commit_info(version)["manifest"])
+            return []
+        body = gzip.decompress(self._read(self.commit_info(version)["manifest"])).decode()
+        return [DataFile(*json.loads(line)) for line in body.split("\n") if line]
 
     # -- writing ---------------------------------------------------------------------------------------------
     def bucket_of(self, *key: Column) -> Column:
@@ -113,16 +128,17 @@ class VersionedTable:
         a, b = F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
         return [F.count(F.lit(1)).alias("rows"), F.sum(F.shiftright(a, 28)).alias("digest_a"), F.sum(F.shiftright(b, 28)).alias("digest_b")]
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        """Write the rows, one file for each bucket that has any; give back the manifest rows of the new files."""
+    def _write(self, df: DataFrame) -> list[DataFile]:
+        """Write the rows, one file for each bucket that has any; the new files."""
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         bucketed = df.withColumn("_vt_bucket", self.bucket_of(*self.key))
         bucketed.repartition(self.buckets, "_vt_bucket").write.partitionBy("_vt_bucket").parquet(path)
         if not self._fs.globStatus(self._path(f"{path}/_vt_bucket=*/*.parquet")):  # no rows, no files
-            return self.spark.createDataFrame([], MANIFEST)
+            return []
         back = self.spark.read.schema(bucketed.schema).option("basePath", path).parquet(path)
         row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_vt_bucket").alias("bucket"))
-        return back.select(row.alias("f"), *df.columns).groupBy("f").agg(*self._digest(df.columns)).select("f.file", "f.bucket", "rows", "digest_a", "digest_b", F.lit(None).cast("string").alias("dv"))
+        made = back.select(row.alias("f"), *[F.col(f"`{c}`") for c in df.columns]).groupBy("f").agg(*self._digest(df.columns)).select("f.file", "f.bucket", "rows", "digest_a", "digest_b")
+        return [DataFile(*r) for r in made.collect()]
 
     def overwrite(self, df: DataFrame, meta: dict | None = None) -> int:
         version = self.latest() + 1
@@ -130,8 +146,7 @@ class VersionedTable:
 
     def append(self, df: DataFrame, meta: dict | None = None) -> int:
         now = self.latest()
-        rows = self.manifest(now).unionByName(self._write(df))
-        return self._commit(now + 1, self._write_manifest(rows), {"op": "append", **(meta or {})})
+        return self._commit(now + 1, self._write_manifest(self.manifest(now) + self._write(df)), {"op": "append", **(meta or {})})
 
     def refresh(self, df: DataFrame, meta: dict | None = None, back: int = 16) -> int:
         """The version that holds exactly ``df``: an old one of the last ``back``, or a new one for which only those
@@ -139,45 +154,43 @@ class VersionedTable:
         now = self.latest()
         if now < 0:
             return self.overwrite(df, meta)
-        fingerprint = ["bucket", "rows", "digest_a", "digest_b"]
-        versions = range(now, max(-1, now - back), -1)
-        known: dict[tuple, str] = {}
+        known: dict[tuple, DataFile] = {}
         held: dict[frozenset, int] = {}
-        for v in versions:  # a row of a manifest is a file's name and four numbers
-            rows = self.manifest(v).collect()
-            held.setdefault(frozenset((r.file, r.dv) for r in rows), v)
-            for r in rows:
-                if r.dv is None:
-                    known.setdefault((r.bucket, r.rows, r.digest_a, r.digest_b), r.file)
-        wanted = df.withColumn("_vt_bucket", self.bucket_of(*self.key)).groupBy("_vt_bucket").agg(*self._digest(df.columns)).withColumnRenamed("_vt_bucket", "bucket").collect()
-        keep = [(known[tuple(r)], *tuple(r), None) for r in wanted if tuple(r) in known]
-        fresh = [r.bucket for r in wanted if tuple(r) not in known]
+        for v in range(now, max(-1, now - back), -1):
+            files = self.manifest(v)
+            held.setdefault(frozenset((f.file, f.dv) for f in files), v)
+            for f in files:
+                if f.dv is None:
+                    known.setdefault(f.content, f)
+        wanted = [tuple(r) for r in df.withColumn("_vt_bucket", self.bucket_of(*self.key)).groupBy("_vt_bucket").agg(*self._digest(df.columns)).collect()]
+        keep = [known[w] for w in wanted if w in known]
+        fresh = [w[0] for w in wanted if w not in known]
         if not fresh:
-            same = held.get(frozenset((k[0], None) for k in keep))
+            same = held.get(frozenset((f.file, None) for f in keep))
             if same is not None:
                 return same
-        rows = self.spark.createDataFrame(keep, MANIFEST)
-        if fresh:
-            rows = rows.unionByName(self._write(df.filter(self.bucket_of(*self.key).isin(fresh)) if keep else df))
-        return self._commit(now + 1, self._write_manifest(rows.select("file", *fingerprint, "dv")), {"op": "refresh", **(meta or {})})
+        else:
+            keep += self._write(df.filter(self.bucket_of(*self.key).isin(fresh)) if keep else df)
+        return self._commit(now + 1, self._write_manifest(keep), {"op": "refresh", **(meta or {})})
 
     def replace_buckets(self, df: DataFrame, buckets: list[int] | None, meta: dict | None = None) -> int:
         """Put ``df`` in place of all rows of the given buckets (None: of all)."""
         now = self.latest()
-        kept = self.manifest(now).filter(~F.col("bucket").isin(buckets)) if buckets is not None else self.manifest(-1)
-        return self._commit(now + 1, self._write_manifest(kept.unionByName(self._write(df))), {"op": "replace", **(meta or {})})
+        gone = None if buckets is None else set(buckets)
+        kept = [f for f in self.manifest(now) if gone is not None and f.bucket not in gone]
+        return self._commit(now + 1, self._write_manifest(kept + self._write(df)), {"op": "replace", **(meta or {})})
 
-    def _mark(self, files: DataFrame, keys: DataFrame, on: list[str] | None = None) -> DataFrame:
-        """The manifest rows with every row deleted that has one of the keys; no data file is rewritten."""
+    def _mark(self, files: list[DataFile], keys: DataFrame, on: list[str] | None = None) -> list[DataFile]:
+        """The files with every row deleted that has one of the keys; no data file is rewritten."""
         on = on or self.key
-        if not files.limit(1).count():
+        if not files:
             return files
         dv = f"{self.root}/dv/{uuid.uuid4().hex}"
         named = keys.select([F.col(f"`{c}`").alias(f"_vt_k{i}") for i, c in enumerate(keys.columns)]).distinct()
         hit = self._rows(files, positions=True).join(named, [F.col(f"`{k}`").eqNullSafe(F.col(f"_vt_k{i}")) for i, k in enumerate(on)], "left_semi")
         hit.select("_vt_file", "_vt_pos").unionByName(self._dead(files)).distinct().write.parquet(dv)
-        touched = self.spark.read.schema("_vt_file string, _vt_pos long").parquet(dv).select(F.col("_vt_file").alias("file")).distinct()
-        return files.join(touched.withColumn("_vt_hit", F.lit(True)), "file", "left").withColumn("dv", F.when(F.col("_vt_hit"), F.lit(dv)).otherwise(F.col("dv"))).drop("_vt_hit")
+        touched = {r[0] for r in self.spark.read.schema("_vt_file string, _vt_pos long").parquet(dv).select("_vt_file").distinct().collect()}
+        return [f._replace(dv=dv) if f.file in touched else f for f in files]
 
     def delete(self, keys: DataFrame, meta: dict | None = None) -> int:
         now = self.latest()
@@ -186,52 +199,42 @@ class VersionedTable:
     def upsert(self, df: DataFrame, meta: dict | None = None) -> int:
         """Replace all rows of the keys in ``df`` by its rows, in one commit."""
         now = self.latest()
-        files = self._mark(self.manifest(now), df.select(*self.key)) if now >= 0 else self.manifest(-1)
-        return self._commit(now + 1, self._write_manifest(files.unionByName(self._write(df))), {"op": "upsert", **(meta or {})})
+        return self._commit(now + 1, self._write_manifest(self._mark(self.manifest(now), df.select(*self.key)) + self._write(df)), {"op": "upsert", **(meta or {})})
 
     # -- reading ---------------------------------------------------------------------------------------------
-    def _schema_of(self, paths: list[str]) -> T.StructType:
-        return self.spark.read.parquet(paths[0]).schema
-
-    def _rows(self, files: DataFrame, positions: bool = False) -> DataFrame:
-        """Live rows of the given files (a manifest's list of names goes to the driver, never their rows)."""
-        named = [r.file for r in files.select("file").collect()]
-        if not named:
+    def _rows(self, files: list[DataFile], positions: bool = False) -> DataFrame:
+        """Live rows of the given files."""
+        if not files:
             return self.spark.createDataFrame([], T.StructType([T.StructField("_vt_none", T.StringType())]))
-        df = self.spark.read.schema(self._schema_of(named)).parquet(*named)
-        dead = self._dead(files)
-        if positions or dead is not None and self._has_dead(files):
-            df = df.withColumns(
-                {"_vt_file": F.col("_metadata.file_path"), "_vt_pos": F.col("_metadata.row_index").cast("long")}
-            )
-            if self._has_dead(files):
-                df = df.join(dead, ["_vt_file", "_vt_pos"], "left_anti")
+        df = self.spark.read.schema(self.spark.read.parquet(files[0].file).schema).parquet(*[f.file for f in files])
+        marked = any(f.dv for f in files)
+        if positions or marked:
+            df = df.withColumns({"_vt_file": F.col("_metadata.file_path"), "_vt_pos": F.col("_metadata.row_index").cast("long")})
+            if marked:
+                df = df.join(self._dead(files), ["_vt_file", "_vt_pos"], "left_anti")
             if not positions:
                 df = df.drop("_vt_file", "_vt_pos")
         return df
 
-    def _has_dead(self, files: DataFrame) -> bool:
-        return bool(files.filter("dv is not null").limit(1).count())
-
-    def _dead(self, files: DataFrame) -> DataFrame:
+    def _dead(self, files: list[DataFile]) -> DataFrame:
         """(file, position) of every deleted row of the given files."""
         schema = "_vt_file string, _vt_pos long"
-        paths = [r.dv for r in files.filter("dv is not null").select("dv").distinct().collect()]
-        if not paths:
+        marked = [f for f in files if f.dv]
+        if not marked:
             return self.spark.createDataFrame([], schema)
-        live = files.filter("dv is not null").select(F.col("file").alias("_vt_file"), "dv")
-        all_dv = self.spark.read.schema(schema).parquet(*paths).withColumn("dv", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
         # a path may come back with another spelling of the scheme (file:/ and file:///): compare the last folder
-        tail = lambda c: F.substring_index(c, "/", -1)
-        return all_dv.join(live.withColumnRenamed("dv", "of"), ["_vt_file"]).filter(tail(F.col("dv")) == tail(F.col("of"))).select("_vt_file", "_vt_pos").distinct()
+        live = self.spark.createDataFrame([(f.file, f.dv.rpartition("/")[2]) for f in marked], "_vt_file string, of string")
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        all_dv = self.spark.read.schema(schema).parquet(*sorted({f.dv for f in marked})).withColumn("of", folder)
+        return all_dv.join(live, ["_vt_file", "of"]).select("_vt_file", "_vt_pos").distinct()
 
     def snapshot(self, version: int | None = None) -> DataFrame:
         return self._rows(self.manifest(self.latest() if version is None else version))
 
     def files_changed(self, start: int, end: int) -> list[int]:
         """The buckets that don't have the same files and deletion vectors in both versions; only manifests are read."""
-        both = self.manifest(start).select("bucket", "file", "dv").withColumn("n", F.lit(1)).unionByName(self.manifest(end).select("bucket", "file", "dv").withColumn("n", F.lit(-1)))
-        return [r.bucket for r in both.groupBy("bucket", "file", "dv").agg(F.sum("n").alias("n")).filter("n <> 0").select("bucket").distinct().collect()]
+        old, new = ({(f.bucket, f.file, f.dv) for f in self.manifest(v)} for v in (start, end))
+        return sorted({b for b, _, _ in old ^ new})
 
     def changes(self, start: int, end: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Net record delta from version ``start`` (-1: before the first) to ``end``, of all buckets or the given ones.
@@ -240,22 +243,28 @@ class VersionedTable:
         """
         old, new = self.manifest(start), self.manifest(self.latest() if end is None else end)
         if buckets is not None:
-            old, new = (m.filter(F.col("bucket").isin(buckets)) for m in (old, new))
-        same_file = ["file"]
-        fingerprint = ["bucket", "rows", "digest_a", "digest_b"]
-        only_new = new.join(old, same_file, "left_anti")
-        only_old = old.join(new, same_file, "left_anti")
+            some = set(buckets)
+            old, new = ([f for f in m if f.bucket in some] for m in (old, new))
+        was, now = {f.file: f for f in old}, {f.file: f for f in new}
+        came, went = [f for f in new if f.file not in was], [f for f in old if f.file not in now]
         # a file that came cancels one equal file that went, one for one
-        nth = F.row_number().over(Window.partitionBy(*fingerprint).orderBy("file"))
-        clean_old, clean_new = (x.filter("dv is null").withColumn("_vt_nth", nth) for x in (only_old, only_new))
-        equal = [*fingerprint, "_vt_nth"]
-        added = only_new.filter("dv is not null").unionByName(clean_new.join(clean_old, equal, "left_anti").drop("_vt_nth"))
-        removed = only_old.filter("dv is not null").unionByName(clean_old.join(clean_new, equal, "left_anti").drop("_vt_nth"))
+        spare = Counter(f.content for f in went if f.dv is None) & Counter(f.content for f in came if f.dv is None)
+
+        def without(files: list[DataFile]) -> list[DataFile]:
+            left, out = Counter(spare), []
+            for f in files:
+                if f.dv is None and left[f.content] > 0:
+                    left[f.content] -= 1
+                else:
+                    out.append(f)
+            return out
+
+        added, removed = without(came), without(went)
         parts = [(self._rows(added), 1), (self._rows(removed), -1)]
-        kept = new.join(old.select("file", F.col("dv").alias("was")), "file").filter("not (dv <=> was)")
-        if kept.limit(1).count():
-            dead_new, dead_old = self._dead(kept), self._dead(kept.withColumn("dv", F.col("was")))
-            rows = self._rows(kept.withColumn("dv", F.lit(None).cast("string")), positions=True)
+        kept = [f for f in new if f.file in was and was[f.file].dv != f.dv]
+        if kept:
+            dead_new, dead_old = self._dead(kept), self._dead([was[f.file] for f in kept])
+            rows = self._rows([f._replace(dv=None) for f in kept], positions=True)
             at = ["_vt_file", "_vt_pos"]
             for marked, sign in ((dead_new.join(dead_old, at, "left_anti"), -1), (dead_old.join(dead_new, at, "left_anti"), 1)):
                 parts.append((rows.join(marked, at, "left_semi").drop(*at), sign))
@@ -302,4 +311,4 @@ def run_incremental(source: VersionedTable, sink: VersionedTable, work: Callable
     if missing := set(holds) - set(out.columns):
         raise ValueError(f"the output has no column {sorted(missing)}: name those that hold the source's key, so that changed records can be replaced")
     fresh = sink._write(out)
-    return sink._commit(done + 1, sink._write_manifest(sink._mark(files, keys, holds).unionByName(fresh)), {"op": "incremental", "source_version": now})
+    return sink._commit(done + 1, sink._write_manifest(sink._mark(files, keys, holds) + fresh), {"op": "incremental", "source_version": now})

@@ -41,7 +41,7 @@ def kept(spark: SparkSession, name: str, of: str) -> str:
     """The path of what is kept between runs over the tables in ``of``: in ``spark.loamgraph.state.dir`` if that is set,
     else in the shared folder."""
     base = spark.conf.get("spark.loamgraph.state.dir", None) or shared_dir(spark)
-    return f"{base.rstrip('/')}/{name}-v1-{hashlib.sha256(of.rstrip('/').encode()).hexdigest()[:24]}"
+    return f"{base.rstrip('/')}/{name}-v2-{hashlib.sha256(of.rstrip('/').encode()).hexdigest()[:24]}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -60,8 +60,7 @@ class GraphStore:
         for name, df in relations.items():
             columns = [c.strip().split(" ")[0] for c in RELATIONS[name][0].split(", ")]
             versions[name] = self.tables[name].refresh(df.select(columns))
-        manifest = self.state._write_manifest(self.state.manifest(-1))
-        self.state._commit(self.state.latest() + 1, manifest, {"versions": versions, "note": note})
+        self.state._commit(self.state.latest() + 1, self.state._write_manifest([]), {"versions": versions, "note": note})
         return versions
 
     # -- what the commands are made of -----------------------------------------------------------------------
