@@ -11,8 +11,6 @@ the order of chunk_id; null contents are found by nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ from . import vector as X
 # Routing floor, score and number of routes by label, sizes of what is returned.
 ROUTE_FLOOR, LABEL_SCORE, LABEL_ROUTES, ROUTES = 0.30, 0.5, 5, 8
 CHUNK_CHARS, SUMMARY_CHARS = 800, 400
-LITERAL_TERMS, LITERAL_HITS = 10, 12
+LITERAL_TERMS = 10
 
 
 def _words(spark, column) -> list[str]:
@@ -32,36 +30,25 @@ def _words(spark, column) -> list[str]:
     return spark.range(1).select(column).first()[0] or []
 
 
-def candidates(graph: dict[str, DataFrame], question: str, vector: list[float] | None, expansion: int, limit: int) -> DataFrame:
-    """(question, expansion, chunk_id, score, method_no, method) by meaning, by words and by literal terms."""
+def candidates(graph: dict[str, DataFrame], questions: list[tuple[str, list[float] | None]], limit: int) -> DataFrame:
+    """(question, expansion, chunk_id, score, method_no, method) by meaning, by words and by literal terms; the chunks are
+    passed over once for all questions."""
     chunks = graph["chunks"].filter("content is not null")
     spark = chunks.sparkSession
-    parts = []
-    if vector is not None:
-        parts.append(X.top_k(graph["vectors"], "chunk_id", vector, limit).select("chunk_id", "score", F.lit(0).alias("method_no"), F.lit("semantic").alias("method")))
-    words = sorted({t for t in _words(spark, T.search_tokens(F.lit(question)))})
-    if words:
-        # all words are looked for in the text as it is before any of it is cut into words
-        could = reduce(lambda a, b: a & b, [T.ascii_lower(F.col("content")).contains(w) for w in words])
-        hits = S.keyword(chunks.filter(could), question)
-        parts.append(hits.orderBy(F.desc("score"), "chunk_id").limit(limit).select("chunk_id", "score", F.lit(1).alias("method_no"), F.lit("keyword").alias("method")))
-    for i, term in enumerate(_words(spark, T.literal_terms(F.lit(question)))[:LITERAL_TERMS]):
-        parts.append(S.literal(chunks, term, LITERAL_HITS).select("chunk_id", "score", F.lit(2 + i).alias("method_no"), F.lit("literal").alias("method")))
-    if not parts:
-        return spark.createDataFrame([], "question string, expansion int, chunk_id string, score double, method_no int, method string")
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.select(F.lit(question).alias("question"), F.lit(expansion).alias("expansion"), "chunk_id", F.col("score").cast("double").alias("score"), "method_no", "method")
+    terms = [_words(spark, T.literal_terms(F.lit(q)))[:LITERAL_TERMS] for q, _ in questions]
+    rows = S.hits(chunks, [(str(i), q, t, limit) for i, ((q, _), t) in enumerate(zip(questions, terms))])
+    for i, (_, vector) in enumerate(questions):
+        if vector is not None:
+            near = X.top_k(graph["vectors"], "chunk_id", vector, limit)
+            rows = rows.unionByName(near.select(F.lit(str(i)).alias("question"), "chunk_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("method_no"), F.lit("semantic").alias("method")))
+    return rows.withColumn("expansion", F.col("question").cast("int"))
 
 
 def answer(graph: dict[str, DataFrame], task: str, questions: list[tuple[str, list[float] | None]], limit: int = 12) -> DataFrame:
     """(place, chunk_id, node_id, path, score, retrieved_by, content) of the first ``limit`` hits."""
     many = max(40, min(200, 8 * limit))
     chunks = graph["chunks"]
-    merged = []
-    for i, (question, vector) in enumerate(questions):
-        found = candidates(graph, question, vector, i, many)
-        merged.append(S.merged(found).withColumn("expansion", F.lit(i)))
-    every = reduce(DataFrame.unionByName, merged).withColumn("question", F.lit(task))
+    every = S.merged(candidates(graph, questions, many)).withColumn("expansion", F.col("question").cast("int")).withColumn("question", F.lit(task))
     methods = every.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("retrieved_by", ","))))), ",").alias("retrieved_by"))
     hits = S.merged_duplicates(every.select("question", "chunk_id", "expansion", "score")).join(chunks, "chunk_id")
     ranked = S.reranked(hits, F.lit(task))

@@ -43,6 +43,49 @@ def keyword(chunks: DataFrame, query: str) -> DataFrame:
     return base.select("chunk_id", F.size(at).alias("places"), F.round(F.size(covers) / F.lit(8.0), 6).alias("score"))
 
 
+def literal_score(path: Column, content: Column, term: str) -> Column:
+    """1.5 if the path has the term and 0.35 if the content has it; null if neither has."""
+    t = term.lower()
+    in_path, in_content = F.lower(path).contains(t), F.lower(content).contains(t)
+    return F.when(in_path | in_content, F.when(in_path, 1.5).otherwise(0.0) + F.when(in_content, 0.35).otherwise(0.0))
+
+
+def keyword_score(content: Column, query: str) -> Column:
+    """The score of ``keyword`` where the content holds all words, else null.  The text is looked through as it is before
+    it is cut into words."""
+    terms = sorted({t for t in "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in query).split() if len(t) > 1})
+    if not terms:
+        return F.lit(None).cast("double")
+    every = lambda x, has: reduce(lambda a, b: a & b, [has(x, t) for t in terms])
+
+    def score(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when(x == terms[0], i)), lambda i: i.isNotNull())
+        near = lambda i: F.slice(w, F.greatest(F.lit(1), i - 7), F.lit(16))
+        covers = F.filter(at, lambda i: every(near(i), F.array_contains))
+        return F.when(every(w, F.array_contains), F.round(F.size(covers) / F.lit(8.0), 6))
+
+    # the words are bound once
+    scored = F.transform(F.array(T.search_tokens(content, 0)), score)
+    return F.when(every(T.ascii_lower(content), lambda x, t: x.contains(t)), F.element_at(scored, 1))
+
+
+def hits(chunks: DataFrame, asked: list[tuple[str, str, list[str], int]]) -> DataFrame:
+    """(question, chunk_id, score, method_no, method) of the keyword search (1) and the literal terms (2, ...) of all
+    questions in one pass over the chunks (chunk_id, path, content, line_start).  asked: (question, keywords, terms, most
+    keyword hits); of every term the twelve best, and no limit where that is 0."""
+    columns = [F.struct(F.lit(q).alias("question"), F.lit(1).alias("method_no"), F.lit("keyword").alias("method"), F.lit(most).alias("most"), keyword_score(F.col("content"), k).alias("score")) for q, k, _, most in asked]
+    for q, _, terms, most in asked:
+        columns += [F.struct(F.lit(q).alias("question"), F.lit(2 + i).alias("method_no"), F.lit("literal").alias("method"), F.lit(min(12, most) if most else 0).alias("most"), literal_score(F.col("path"), F.col("content"), t).alias("score")) for i, t in enumerate(terms)]
+    rows = chunks.select("chunk_id", "line_start", F.explode(F.filter(F.array(*columns), lambda x: x["score"].isNotNull())).alias("h")).select("chunk_id", "line_start", "h.*")
+    if any(most for *_, most in asked):
+        order = [F.desc("score"), F.when(F.col("method_no") > 1, F.coalesce("line_start", F.lit(2**31 - 1))), "chunk_id"]
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("question", "method_no").orderBy(*order)))
+        if all(most for *_, most in asked):  # a constant bound is applied before the shuffle
+            rows = rows.filter(F.col("r") <= max(12, *(most for *_, most in asked), 0))
+        rows = rows.filter("most = 0 or r <= most").drop("r")
+    return rows.select("question", "chunk_id", F.col("score").cast("double").alias("score"), "method_no", "method")
+
+
 def merged(hits: DataFrame, order: str = "method_no", base: int = 0) -> DataFrame:
     """(question, chunk_id, score, retrieved_by): the first method's score (three quarters of it unless it is the
     base) and a quarter of each later one."""

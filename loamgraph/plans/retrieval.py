@@ -26,17 +26,10 @@ def _placed(s, d):
 
 
 def _hits(s, d):
-    """Three methods' hits of two questions."""
-    p = _placed(s, d)
-    out = None
-    for question, term in (("q1", "ledger"), ("q2", "cursor")):
-        lit = S.literal(p, term).select("chunk_id", "score")
-        kw = S.keyword(R.chunks(s, d), f"{term} limit").select("chunk_id", "score")
-        sem = X.top_k(_mini(s, d), "chunk_id", _Q, 40)
-        for no, (method, df) in enumerate((("semantic", sem), ("keyword", kw), ("literal", lit))):
-            one = df.select(F.lit(question).alias("question"), "chunk_id", "score", F.lit(no).alias("method_no"), F.lit(method).alias("method"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Three methods' hits of two questions; the chunks are read once for both."""
+    words = S.hits(_placed(s, d), [("q1", "ledger limit", ["ledger"], 0), ("q2", "cursor limit", ["cursor"], 0)])
+    near = X.top_k(_mini(s, d), "chunk_id", _Q, 40).select(F.explode(T.words("q1", "q2")).alias("question"), "chunk_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("method_no"), F.lit("semantic").alias("method"))
+    return words.unionByName(near)
 
 
 def _rank_input(s, d):
