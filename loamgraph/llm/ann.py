@@ -459,7 +459,8 @@ def _answers(x: np.ndarray, raw: np.ndarray, ids: np.ndarray, layers: list[np.nd
         parts.append((r + at, f))
     r, f = (np.concatenate(p) for p in zip(*parts))
     cos = _exact(qr[r], raw[f])
-    ok = cos >= (least if least is not None else -2)
+    # without a bound for all, what is not as near as the fifth that a query has already is of no use to it
+    ok = cos >= (least if least is not None else q["q_floor"].to_numpy()[r] - 1e-12)
     return names[r[ok]], ids[f[ok]], cos[ok]
 
 
@@ -490,6 +491,13 @@ def graphs(vectors: DataFrame, queries: DataFrame | None = None, least: float |
         cos = _exact(raw[pairs[:, 0]], raw[pairs[:, 1]])
         ok = cos >= (least if least is not None else -2)
         a, b, cos = ids[pairs[ok, 0]], ids[pairs[ok, 1]], cos[ok]
+        if least is None:
+            # the top-th of each vector, as a row without a partner
+            o = np.lexsort((-cos, pairs[ok, 0]))
+            who = pairs[ok, 0][o]
+            begin = np.searchsorted(who, np.arange(len(ids)))
+            enough = np.flatnonzero(begin + top - 1 < np.searchsorted(who, np.arange(len(ids)), side="right"))
+            a, b, cos = np.concatenate([a, ids[enough]]), np.concatenate([b, np.full(len(enough), None)]), np.concatenate([cos, cos[o][begin[enough] + top - 1]])
         if q is not None and q.num_rows:
             qa, qb, qc = _answers(x, raw, ids, layers, q, least, top)
             a, b, cos = np.concatenate([a, qa]), np.concatenate([b, qb]), np.concatenate([cos, qc])
@@ -528,7 +536,8 @@ def searched(index: DataFrame, queries: DataFrame, slots: DataFrame, least: floa
     )
     key = [*SHARD_KEY, "slot"]
     n = max(1, min(slots.agg(F.sum("slots")).first()[0] or 0, 16_384))
-    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "class_id", "embedding")])
+    more = ["floor"] if least is None else []
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "class_id", "embedding", *more)])
     q_key = [f"q_{c}" for c in key]
     return stacks.repartition(n, *key).groupBy(*key).cogroup(asked.repartition(n, *q_key).groupBy(*q_key)).applyInArrow(run, _PAIRS_SQL)
 
@@ -554,15 +563,14 @@ def neighbours(vectors: DataFrame, least: float | None = None, top: int = TOP) -
     parts = vectors.groupBy(*MODEL, F.col("cell").alias("to")).agg(F.max("subs").alias("to_subs"))
     counted = lambda hops: hops.groupBy(*SHARD_KEY).agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots"))
     placed = lambda hops, slots: hops.join(F.broadcast(slots), SHARD_KEY).withColumn("slot", F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("slots")).cast("int"))
-    pairs = lambda index: index.filter("a is not null").select("provider", "model_id", "a", "b", "cos")
+    pairs = lambda index: index.filter("a is not null and b is not null").select("provider", "model_id", "a", "b", "cos")
     if least is None:
         index = stored(graphs(vectors, None, None, top), "graphs")
-        rank = F.row_number().over(Window.partitionBy("provider", "model_id", "a").orderBy(F.desc("cos"), "b"))
-        fifth = pairs(index).withColumn("r", rank).filter(F.col("r") == top).select("provider", "model_id", F.col("a").alias("class_id"), "cos")
+        fifth = index.filter("a is not null and b is null").select("provider", "model_id", F.col("a").alias("class_id"), "cos")
         reach = F.lit(SIGMAS_NEAREST) * F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(0.0)) / F.col("dimensions"))
-        asked = vectors.join(fifth, ["provider", "model_id", "class_id"], "left").withColumn("reach", F.coalesce(reach, F.lit(9.0))).drop("cos")
-        hops = stored(_hops(asked, parts, "embedding"), "hops")
-        slots = stored(counted(hops), "slots")
+        asked = vectors.join(fifth, ["provider", "model_id", "class_id"], "left").withColumns({"reach": F.coalesce(reach, F.lit(9.0)), "floor": F.coalesce("cos", F.lit(-2.0))})
+        slots = stored(counted(_hops(asked, parts)), "slots")
+        hops = _hops(asked, parts, "embedding", "floor")
         return pairs(index).unionByName(searched(index, placed(hops, slots), slots, None, top))
     # of two partners one is no farther from the dividing plane than half their distance across it
     asked = vectors.withColumn("reach", F.lit(SIGMAS / 2 * (2 - 2 * least) ** 0.5) / F.sqrt("dimensions"))
